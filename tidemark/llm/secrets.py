@@ -93,7 +93,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     found = find_spans(docs, scope)
     base = F.filter("spans", lambda s: s["kind"] < len(STRONG))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(STRONG)]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(STRONG)]
     return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
 
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .common import put_on_path, text_blocks
 
 #: Labelled rows that a model is fitted on, at most: those whose hashed doc_id is smallest.
-FIT_ROWS = 6_000
-FEATURES = 1 << 18
-#: A feature takes part when this many of the fitted rows have it.
-LEAST_ROWS = 4
+FIT_ROWS = 5_000
+#: Characters of the word beginnings that are features beside the words themselves.
+BEGINNINGS = (4, 5, 6)
+#: A feature takes part when its G statistic against some threshold of the grades is at least this.
+LEAST_G = 24.0
 #: A document is rejected when grade 1 or more is likelier than this.
 REJECT = 0.5
 
@@ -29,57 +30,78 @@ def words(text: str) -> set[bytes]:
     return set(text.encode().translate(_SPACES).lower().split())
 
 
-def feature(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word) % FEATURES
+def features(word: bytes) -> list[int]:
+    """64-bit hashes of the word and of its longer beginnings; so many bits that features don't meet."""
+    return [xxhash.xxh3_64_intdigest(word, 1) >> 1, *(xxhash.xxh3_64_intdigest(word[:n], 2 + n) >> 1 for n in BEGINNINGS if len(word) >= n)]
 
 
 @dataclass
 class OrdinalModel:
-    """P(grade > k) = sigmoid(w.x - cut[k]) with ascending cuts: one weight vector for every threshold."""
+    """P(grade > k) = sigmoid(w.x - cut[k]) with ascending cuts: one weight per feature for every threshold.
 
-    weights: np.ndarray
+    x counts a document's distinct words with the feature.
+    """
+
+    weights: dict[int, float]
     cuts: np.ndarray
 
+    def word_score(self, word: bytes) -> float:
+        return sum(self.weights.get(f, 0.0) for f in features(word))
+
     def above(self, scores: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, features: int = FEATURES, rounds: int = 150, ridge: float = 0.02) -> OrdinalModel:
-    """Fits the summed log losses of the thresholds by Adam on all rows at once, with a ridge on the weights.
+def g_statistic(with_feature: np.ndarray, of_them: np.ndarray, rows: int, positive: int) -> np.ndarray:
+    """The G statistic of features that ``with_feature`` of ``rows`` rows have, ``of_them`` of these positive."""
+    total = np.zeros(len(with_feature))
+    for n, k in ((with_feature, of_them), (rows - with_feature, positive - of_them)):
+        for part, share in ((k, positive / rows), (n - k, 1 - positive / rows)):
+            expected = np.maximum(n * share, 1e-12)
+            total += np.where(part > 0, 2 * part * np.log(np.maximum(part, 1e-12) / expected), 0.0)
+    return total
+
 
-    Cuts are the first one plus exponentials, so that they ascend. Each threshold's loss is that of
-    'grade > k'; a grade that no row has leaves its cut far out by the data alone.
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 600, ridge: float = 0.05) -> OrdinalModel:
+    """Fits a model of rows of feature hashes (repeats count) and their grades.
+
+    Features are screened by their G statistic against each threshold. Then the summed log losses of
+    the thresholds, with a ridge on the weights, are lowered by Adam on all rows at once, in shrinking steps. Cuts are the first
+    one plus exponentials, so that they ascend. With no rows, or all of one grade, no feature
+    has a weight and the cuts follow the shares.
     """
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    used = np.flatnonzero(np.bincount(flat, minlength=features) >= LEAST_ROWS)
-    place = np.full(features, -1)
-    place[used] = np.arange(len(used))
-    of_row = np.repeat(np.arange(len(rows)), lengths)
-    keep = place[flat] >= 0
-    col, row, n = place[flat][keep], of_row[keep], max(1, len(rows))
-    k = n_grades - 1
+    n, k = max(1, len(rows)), n_grades - 1
     target = (grades[:, None] > np.arange(k)[None, :]).astype(float)
-    share = np.clip(target.mean(axis=0) if len(rows) else np.full(k, 0.5), 1e-3, 1 - 1e-3)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    flat, code = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_inverse=True)
+    pair, count = np.unique(np.repeat(np.arange(len(rows)), lengths) * max(1, len(flat)) + code, return_counts=True)
+    row, col = pair // max(1, len(flat)), pair % max(1, len(flat))
+    have = np.bincount(col, minlength=len(flat))
+    used = np.zeros(len(flat), bool)
+    for j in range(k):
+        positive = int(target[:, j].sum())
+        if 0 < positive < len(rows):
+            used |= g_statistic(have, np.bincount(col, weights=target[row, j], minlength=len(flat)), len(rows), positive) >= LEAST_G
+    place = np.cumsum(used) - 1
+    keep, names = used[col], flat[used]
+    row, col, value = row[keep], place[col[keep]], count[keep].astype(float)
+    share = np.clip(target.mean(axis=0) if rows else np.full(k, 0.5), 1e-3, 1 - 1e-3)
     base = -np.log(share / (1 - share))
-    theta = np.concatenate([np.zeros(len(used)), base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
+    f = len(names)
+    theta = np.concatenate([np.zeros(f), base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, rounds + 1):
-        w, first, steps = theta[: len(used)], theta[len(used)], np.exp(theta[len(used) + 1 :])
-        cuts = first + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(row, weights=w[col], minlength=n)[:n]
-        error = 1 / (1 + np.exp(-np.clip(score[: len(rows), None] - cuts[None, :], -40, 40))) - target
-        by_row = error.sum(axis=1) / n
-        by_cut = -error.sum(axis=0) / n
-        grad_w = np.bincount(col, weights=by_row[row], minlength=len(used)) + ridge * w / n
-        grad_steps = np.array([by_cut[i + 1 :].sum() * steps[i] for i in range(k - 1)])
-        grad = np.concatenate([grad_w, [by_cut.sum()], grad_steps])
+    for t in range(1, rounds + 1 if rows else 1):
+        steps = np.exp(theta[f + 1 :])
+        cuts = theta[f] + np.concatenate([[0.0], np.cumsum(steps)])
+        score = np.bincount(row, weights=theta[:f][col] * value, minlength=n)
+        error = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -40, 40))) - target
+        by_row, by_cut = error.sum(axis=1) / n, -error.sum(axis=0) / n
+        weights = np.bincount(col, weights=by_row[row] * value, minlength=f) + ridge * theta[:f] / n
+        grad = np.concatenate([weights, [by_cut.sum()], [by_cut[i + 1 :].sum() * steps[i] for i in range(k - 1)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-        theta[len(used) + 1 :] = np.clip(theta[len(used) + 1 :], -5, 3)
-    weights = np.zeros(features, np.float32)
-    weights[used] = theta[: len(used)]
-    return OrdinalModel(weights, theta[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(theta[len(used) + 1 :]))]))
+        theta = theta - 0.03 * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        theta[f + 1 :] = np.clip(theta[f + 1 :], -5, 3)
+    return OrdinalModel(dict(zip(names.tolist(), theta[:f].tolist(), strict=True)), theta[f] + np.concatenate([[0.0], np.cumsum(np.exp(theta[f + 1 :]))]))
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
@@ -101,41 +123,46 @@ def fit_toxicity(docs: DataFrame, graded: DataFrame, n_grades: int = 3, fit_rows
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in text_blocks(batches, 1):
-            found = [np.unique(np.fromiter(map(feature, words(t)), np.int64)).astype(np.int32) for t in block]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["grade", "features"])
+            found = [np.array(sorted(f for w in words(t) for f in features(w)), np.int64).tobytes() for t in block]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["grade", "features"])
 
-    got = texts.mapInArrow(features, "grade int, features binary").toArrow().to_pydict()
+    got = texts.mapInArrow(run, "grade int, features binary").toArrow().to_pydict()
     order = sorted(range(len(got["grade"])), key=lambda i: (got["features"][i], got["grade"][i]))
-    rows = [np.frombuffer(got["features"][i], np.int32).astype(np.int64) for i in order]
+    rows = [np.frombuffer(got["features"][i], np.int64) for i in order]
     return fit_ordinal(rows, np.array([got["grade"][i] for i in order], np.int64), n_grades)
 
 
+class _WordScores(dict):
+    def __init__(self, model: OrdinalModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = value = self.model.word_score(word)
+        return value
+
+
+def _above(model: OrdinalModel, known: _WordScores, texts: list[str]) -> np.ndarray:
+    return model.above(np.array([sum(sorted(map(known.__getitem__, words(t)))) for t in texts], float))
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, severity (expected grade), grade (the likeliest), p_toxic (of grade 1 or more), toxic.
 
     A null or empty text has no features and gets what the cuts alone say; a null doc_id stays null;
     repeated rows are scored each; an empty table gives no rows; further columns are ignored. The
-    model's weights have a fixed size (FEATURES numbers) and travel with the task.
+    model holds the screened features of at most FIT_ROWS documents and travels with the task.
     """
     put_on_path(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-
-        class Weights(dict):
-            def __missing__(self, word: bytes) -> float:
-                value = float(fitted.weights[feature(word)])
-                if len(self) > 500_000:
-                    self.clear()
-                self[word] = value
-                return value
-
-        weight = Weights().__getitem__
+        known = _WordScores(model)
         for rows, texts in text_blocks(batches, 1):
-            above = fitted.above(np.array([sum(map(weight, sorted(words(t)))) for t in texts]))
+            above = _above(model, known, texts)
             each = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1)
             arrays = [rows.column(0), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] > reject)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -146,19 +173,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = REJECT)
 def without_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, scored in place: no row is shuffled."""
     put_on_path(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, known = shared.value, {}
+        known = _WordScores(model)
         for rows, texts in text_blocks(batches, at):
-            if len(known) > 500_000:
-                known.clear()
-            scores = []
-            for t in texts:
-                found = words(t)
-                known.update((w, float(fitted.weights[feature(w)])) for w in found.difference(known))
-                scores.append(sum(map(known.__getitem__, sorted(found))))
-            yield rows.filter(pa.array(fitted.above(np.array(scores))[:, 0] <= reject))
+            yield rows.filter(pa.array(_above(model, known, texts)[:, 0] <= reject))
 
     return docs.mapInArrow(run, docs.schema)
