@@ -10,12 +10,12 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.secrets import redact
-from tidemark.llm.toxicity import fit_toxicity, severity_grades, without_toxic
+from tidemark.llm.toxicity import fit_toxicity, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject; it is fitted on a bounded sample of labels."""
-    return without_toxic(docs, fit_toxicity(docs, severity_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return without_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from .secrets import scan_secrets
 from .sharding import assign_shards
 from .token_counts import attribute_tokens
 from .token_files import read_token_files, token_folder, write_token_files
-from .toxicity import fit_toxicity, score_toxicity, severity_grades
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score_toxicity(docs, fit_toxicity(docs, severity_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

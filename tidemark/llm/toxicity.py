@@ -62,29 +62,36 @@ def g_statistic(with_feature: np.ndarray, of_them: np.ndarray, rows: int, positi
     return total
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 600, ridge: float = 0.05) -> OrdinalModel:
-    """Fits a model of rows of feature hashes (repeats count) and their grades.
-
-    Features are screened by their G statistic against each threshold. Then the summed log losses of
-    the thresholds, with a ridge on the weights, are lowered by Adam on all rows at once, in shrinking steps. Cuts are the first
-    one plus exponentials, so that they ascend. With no rows, or all of one grade, no feature
-    has a weight and the cuts follow the shares.
-    """
-    n, k = max(1, len(rows)), n_grades - 1
-    target = (grades[:, None] > np.arange(k)[None, :]).astype(float)
+def screened(rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The features whose G statistic reaches LEAST_G against some column of ``target``: their hashes, and row, place and count of each use."""
     lengths = np.array([len(r) for r in rows], np.int64)
     flat, code = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_inverse=True)
-    pair, count = np.unique(np.repeat(np.arange(len(rows)), lengths) * max(1, len(flat)) + code, return_counts=True)
-    row, col = pair // max(1, len(flat)), pair % max(1, len(flat))
+    width = max(1, len(flat))
+    pair, count = np.unique(np.repeat(np.arange(len(rows)), lengths) * width + code, return_counts=True)
+    row, col = pair // width, pair % width
     have = np.bincount(col, minlength=len(flat))
     used = np.zeros(len(flat), bool)
-    for j in range(k):
+    for j in range(target.shape[1]):
         positive = int(target[:, j].sum())
         if 0 < positive < len(rows):
             used |= g_statistic(have, np.bincount(col, weights=target[row, j], minlength=len(flat)), len(rows), positive) >= LEAST_G
-    place = np.cumsum(used) - 1
-    keep, names = used[col], flat[used]
-    row, col, value = row[keep], place[col[keep]], count[keep].astype(float)
+    place, keep = np.cumsum(used) - 1, used[col]
+    return flat[used], row[keep], place[col[keep]], count[keep].astype(float)
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 600, ridge: float = 0.05) -> OrdinalModel:
+    """Fits a model of rows of feature hashes (repeats count) and their grades.
+
+    Features are screened by their G statistic against each threshold. Then the summed log losses of
+    the thresholds, with a ridge on the weights, are lowered by Adam on all rows at once, in shrinking
+    steps. Cuts are the first one plus exponentials, so that they ascend. A threshold that no row
+    lies above has no loss; its cut lies far out. With no rows, or all of one grade, no feature has
+    a weight and the cuts follow the shares.
+    """
+    n, wanted = max(1, len(rows)), n_grades - 1
+    k = max(1, int((grades[:, None] > np.arange(wanted)[None, :]).any(axis=0).sum())) if rows else wanted
+    target = (grades[:, None] > np.arange(k)[None, :]).astype(float)
+    names, row, col, value = screened(rows, target)
     share = np.clip(target.mean(axis=0) if rows else np.full(k, 0.5), 1e-3, 1 - 1e-3)
     base = -np.log(share / (1 - share))
     f = len(names)
@@ -99,39 +106,46 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, round
         weights = np.bincount(col, weights=by_row[row] * value, minlength=f) + ridge * theta[:f] / n
         grad = np.concatenate([weights, [by_cut.sum()], [by_cut[i + 1 :].sum() * steps[i] for i in range(k - 1)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.03 * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        theta[f + 1 :] = np.clip(theta[f + 1 :], -5, 3)
-    return OrdinalModel(dict(zip(names.tolist(), theta[:f].tolist(), strict=True)), theta[f] + np.concatenate([[0.0], np.cumsum(np.exp(theta[f + 1 :]))]))
+        theta = theta - 0.05 * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    cuts = theta[f] + np.concatenate([[0.0], np.cumsum(np.exp(theta[f + 1 :]))])
+    return OrdinalModel(dict(zip(names.tolist(), theta[:f].tolist(), strict=True)), np.concatenate([cuts, cuts[-1] + 20.0 * np.arange(1, wanted - k + 1)]))
 
 
-def severity_grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from labels (doc_id, quality, toxic): 0 not toxic, 1 toxic, 2 toxic and of low quality as well.
+def grades_by_evidence(rows: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarray:
+    """Severity grades where labels say only toxic or not: 0, or 1 and up by even parts of the toxic rows' numbers of screened features."""
+    names, row, _, value = screened(rows, toxic[:, None].astype(float))
+    hits = np.bincount(row, weights=value, minlength=len(rows)) if len(names) else np.zeros(len(rows))
+    if not toxic.any():
+        return np.zeros(len(rows), np.int64)
+    edges = np.quantile(hits[toxic], np.arange(1, n_grades - 1) / (n_grades - 1))
+    return np.where(toxic, 1 + np.searchsorted(edges, hits, "left"), 0)
 
-    Rows without doc_id or toxic take no part; an unknown quality counts as good; of rows that
-    repeat a doc_id the severest counts.
-    """
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    return labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).alias("grade"))
 
+def toxic_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) from labels (doc_id, toxic): rows without either take no part; of rows that repeat a doc_id the severest counts."""
+    return labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
 
-def fit_toxicity(docs: DataFrame, graded: DataFrame, n_grades: int = 3, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """A model of graded (doc_id, grade) documents, on the ``fit_rows`` rows whose hashed doc_id is smallest.
 
-    The sample is bounded by ``fit_rows``; features are made where the texts are, and only
-    their numbers come to the driver, which fits.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, n_grades: int = 4, fit_rows: int = FIT_ROWS) -> OrdinalModel:
+    """A model of ``docs`` labelled toxic or not, on the ``fit_rows`` labelled rows whose hashed doc_id is smallest.
+
+    The sample is bounded by ``fit_rows``, so it is broadcast; features are made where the texts are,
+    and only their hashes come to the driver, which grades the toxic rows and fits.
     """
-    sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
+    put_on_path(docs.sparkSession)
+    sample = toxic_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in text_blocks(batches, 1):
             found = [np.array(sorted(f for w in words(t) for f in features(w)), np.int64).tobytes() for t in block]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.binary())], ["grade", "features"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int32()), pa.array(found, pa.binary())], ["toxic", "features"])
 
-    got = texts.mapInArrow(run, "grade int, features binary").toArrow().to_pydict()
-    order = sorted(range(len(got["grade"])), key=lambda i: (got["features"][i], got["grade"][i]))
+    got = texts.mapInArrow(run, "toxic int, features binary").toArrow().to_pydict()
+    order = sorted(range(len(got["toxic"])), key=lambda i: (got["features"][i], got["toxic"][i]))
     rows = [np.frombuffer(got["features"][i], np.int64) for i in order]
-    return fit_ordinal(rows, np.array([got["grade"][i] for i in order], np.int64), n_grades)
+    toxic = np.array([got["toxic"][i] > 0 for i in order], bool)
+    return fit_ordinal(rows, grades_by_evidence(rows, toxic, n_grades), n_grades)
 
 
 class _WordScores(dict):
