@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import forecasting, market, records
+from .plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
+__all__ = ["forecasting", "market", "oracle_sql", "queries", "records"]
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
