@@ -11,6 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import put_on_path
+
+__all__ = ["documents", "put_on_path", "shared_dir", "text_blocks", "written"]
+
 #: Rows are worked on in blocks of about this many bytes of text, so that a worker's memory
 #: follows the block and not Arrow's batch.
 BLOCK_BYTES = 1 << 20
@@ -52,11 +56,3 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tup
                 part = batch.slice(start, i + 1 - start)
                 yield part, [t if t is not None else "" for t in part.column(text_at).to_pylist()]
                 start, total = i + 1, 0
-
-
-def put_on_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed (local runs, shared folders)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
