@@ -33,7 +33,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     scale = 1 + z * z / n
     middle = (share + z * z / (2 * n)) / scale
     margin = (z / scale) * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
-    return F.greatest(F.lit(0.0), middle - margin), F.least(F.lit(1.0), middle + margin)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), middle - margin)), F.when(n.isNotNull(), F.least(F.lit(1.0), middle + margin))
 
 
 def probability_bin(p: Column, bins: int) -> Column:

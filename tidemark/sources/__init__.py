@@ -1 +1 @@
-
+"""Readers and writers: landed payloads, segments, metrics, fixtures, partitioned tables."""
