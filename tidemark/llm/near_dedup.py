@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,8 +30,10 @@ BANDS, ROWS = 40, 7
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SHINGLE_WORDS = 5
-#: Members of a block in which sketches are compared, and partners of one copy of a hub's set.
-BLOCK = 256
+#: Members of a block in which sketches are compared, on average.
+BLOCK = 4096
+#: Partners of one copy of a hub's set.
+HUB_PARTNERS = 256
 #: Class ids (8 bytes each) up to which a side is broadcast; beyond it the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
@@ -99,17 +100,18 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def sketch_distance_limit(threshold: float) -> int:
+def sketch_distance_limit(threshold: float, deviations: float = 5.0) -> int:
     """The largest XOR population count of a pair that is still confirmed on full sets.
 
-    A pair at the threshold has about 2k(1-J) differing items, with the deviation of the k samples;
-    five deviations are added, and five of the folding into bits. Fewer than one in a million pairs
-    at the threshold lie beyond it.
+    A pair at the threshold has on average d = 2k(1-J) differing items, which leave m/2 * (1 - exp(-2d/m))
+    odd bits. Their deviation comes from the k samples and from the folding into m bits; five of
+    both together are added, so that fewer than one in a million pairs at the threshold lie beyond.
     """
-    spread = math.sqrt(threshold * (1 - threshold) / SAMPLES)
-    differing = 2 * SAMPLES * min(1.0, 1 - threshold + 5 * spread)
-    ones = SKETCH_BITS / 2 * (1 - math.exp(-2 * differing / SKETCH_BITS))
-    return math.ceil(ones + 5 * math.sqrt(ones * math.exp(-2 * differing / SKETCH_BITS)))
+    m, d = SKETCH_BITS, 2 * SAMPLES * (1 - threshold)
+    ones = m / 2 * (1 - math.exp(-2 * d / m))
+    of_samples = 2 * SAMPLES * math.sqrt(threshold * (1 - threshold) / SAMPLES) * math.exp(-2 * d / m)
+    of_folding = m / 4 * (1 - math.exp(-4 * d / m)) - d * math.exp(-4 * d / m)
+    return math.ceil(ones + deviations * math.sqrt(of_samples**2 + of_folding))
 
 
 def estimated_similarity(distance: np.ndarray) -> np.ndarray:
@@ -165,12 +167,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links by their full sets.
 
-    The set of a hub with many partners is laid out once per BLOCK partners, so that no task gets all.
+    The set of a hub with many partners is laid out once per HUB_PARTNERS partners, so that no task gets all.
     """
     pairs = written(pairs, "pairs")
     ids = written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "ids")
     sets = _sets(docs, ids)
-    hubs = pairs.groupBy("a").count().select("a", F.explode(F.sequence(F.lit(0), (F.col("count") / BLOCK).cast("int"))).alias("salt"), (F.col("count") / BLOCK).cast("int").alias("last"))
+    hubs = pairs.groupBy("a").count().select("a", F.explode(F.sequence(F.lit(0), (F.col("count") / HUB_PARTNERS).cast("int"))).alias("salt"), (F.col("count") / HUB_PARTNERS).cast("int").alias("last"))
     dealt = pairs.join(hubs.where("salt = 0").select("a", "last"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int"))
     left = hubs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), "a").select("a", "salt", "items_a")
     both = dealt.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b")), "b").join(left, ["a", "salt"])
@@ -178,42 +180,59 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return written(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
 
 
+def _compare(ids: np.ndarray, components: np.ndarray, outside: np.ndarray, blocks: np.ndarray, sketches: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Pairs of an outside row and any row of another component whose sketches are near; between two blocks only pairs across."""
+    found, two = [], blocks.min() != blocks.max()
+    for k in np.flatnonzero(outside):
+        near = np.bitwise_count(sketches ^ sketches[k]).sum(axis=1) <= limit
+        near &= (components != components[k]) & (~outside | (ids > ids[k]))
+        if two:
+            near &= blocks != blocks[k]
+        if near.any():
+            found.append(np.stack([np.minimum(ids[k], ids[near]), np.maximum(ids[k], ids[near])], axis=1))
+    return found
+
+
 def _rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, limit: int) -> DataFrame:
     """Pairs of a bucket that are not in one component, compared on sketches in blocks.
 
-    Of each bucket, the members outside the component of its smallest member (or of no component)
-    are compared with all, block by block; a block pair is one group of at most 2 * BLOCK rows
-    on average, and only pairs that pass leave it.
+    Of each bucket, the members outside its largest component are compared with all, block by block;
+    a task streams through its block pairs, each of 2 * BLOCK rows on average, and only pairs
+    that pass leave it.
     """
     named = members.join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    named = written(named.select("band", "cid", "lo", "component"), "buckets")
-    heads = named.where("cid = lo").select("band", F.col("component").alias("head")).distinct()
-    sizes = named.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("first"), F.max("component").alias("last"))
-    open_ = sizes.where("first < last").join(heads, "band").withColumn("blocks", (F.col("n") / BLOCK).cast("int") + 1).select("band", "head", "blocks")
+    named = written(named.select("band", "cid", "component"), "buckets")
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
+    open_ = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = open_.select("band", "head", (F.col("total") / BLOCK).cast("int").alias("last"))
     rows = named.join(open_, "band").join(classes.select("cid", "sketch"), "cid")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("outside", F.col("component") != F.col("head"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_right = rows.withColumn("right", F.col("block")).withColumn("left", F.explode(every)).withColumn("is_left", F.lit(False))
-    as_left = rows.where("outside").withColumn("left", F.col("block")).withColumn("right", F.explode(every)).withColumn("is_left", F.lit(True))
-    cols = ["band", "left", "right", "is_left", "cid", "component", "outside", "sketch"]
-    dealt = as_left.select(cols).union(as_right.join(rows.where("outside").select("band", F.col("block").alias("left")).distinct(), ["band", "left"], "left_semi").select(cols))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["is_left"]], group[~group["is_left"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = (np.stack(g["sketch"].to_list()).astype(np.int64) for g in (a, b))
-        ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
-        ia, ib, outside = a["cid"].to_numpy(), b["cid"].to_numpy(), b["outside"].to_numpy()
-        found = []
-        for k in range(len(a)):
-            near = np.bitwise_count(y ^ x[k]).sum(axis=1) <= limit
-            near &= (cb != ca[k]) & (~outside | (ib > ia[k]))
-            found.append(np.stack([np.minimum(ia[k], ib[near]), np.maximum(ia[k], ib[near])], axis=1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("band", "left", "right").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int")).withColumn("outside", F.col("component") != F.col("head"))
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    dealt = rows.withColumn("other", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "component", "outside", "block", "sketch")
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            cid, component, block = (t.column(c).to_numpy() for c in ("cid", "component", "block"))
+            outside = t.column("outside").to_numpy(zero_copy_only=False)
+            sketch = t.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
+            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) if outside[s:e].any() for x in _compare(cid[s:e], component[s:e], outside[s:e], block[s:e], sketch[s:e], limit)]
+            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([t.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            if len(edges) > 1:  # the last group may go on in the next batch
+                yield pairs(t, edges)
+            held = t.slice(edges[-1])
+        if held is not None and len(held):
+            yield pairs(held, np.array([0, len(held)]))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:

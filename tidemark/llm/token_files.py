@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         for rows, texts in text_blocks(batches, 1):
             if sink is None:
                 store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(mine)
+                sink = store.open_output_stream(mine, compression=None)
                 out = FrameWriter(sink, level)
             for doc_id, data in zip(rows.column(0).to_pylist(), encode_ids(path, texts), strict=True):
                 out.add(doc_id, data + END_ID.to_bytes(4, "little"))
