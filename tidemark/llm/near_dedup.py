@@ -84,7 +84,9 @@ def minhash(values: np.ndarray) -> np.ndarray:
     a, b = _odd_numbers(SAMPLES, 1, "uint32")[:, None], _odd_numbers(SAMPLES, 2, "uint32")[:, None]
     out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(values), 1024):
-        np.minimum(out, (a * low[at : at + 1024] + b * high[at : at + 1024]).min(axis=1), out=out)
+        v = a * low[at : at + 1024] + b * high[at : at + 1024]
+        v ^= v >> np.uint32(15)
+        np.minimum(out, v.min(axis=1), out=out)
     return out
 
 
@@ -100,6 +102,11 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
+def xor_count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between sketches; numpy counts the bits of absolute values, so as unsigned numbers."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1)
+
+
 def sketch_distance_limit(threshold: float, deviations: float = 5.0) -> int:
     """The largest XOR population count of a pair that is still confirmed on full sets.
 
@@ -184,7 +191,7 @@ def _compare(ids: np.ndarray, components: np.ndarray, outside: np.ndarray, block
     """Pairs of an outside row and any row of another component whose sketches are near; between two blocks only pairs across."""
     found, two = [], blocks.min() != blocks.max()
     for k in np.flatnonzero(outside):
-        near = np.bitwise_count(sketches ^ sketches[k]).sum(axis=1) <= limit
+        near = xor_count(sketches, sketches[k]) <= limit
         near &= (components != components[k]) & (~outside | (ids > ids[k]))
         if two:
             near &= blocks != blocks[k]
