@@ -18,7 +18,7 @@ FIT_ROWS = 5_000
 #: Characters of the word beginnings that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6)
 #: A feature takes part when its G statistic against some threshold of the grades is at least this.
-LEAST_G = 24.0
+LEAST_G = 12.0
 #: A document is rejected when grade 1 or more is likelier than this.
 REJECT = 0.5
 
@@ -79,7 +79,7 @@ def screened(rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np
     return flat[used], row[keep], place[col[keep]], count[keep].astype(float)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 600, ridge: float = 0.05) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 600, ridge: float = 0.5) -> OrdinalModel:
     """Fits a model of rows of feature hashes (repeats count) and their grades.
 
     Features are screened by their G statistic against each threshold. Then the summed log losses of
