@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
-from .secrets import scan_secrets
+from .secrets import IDENTIFIERS, SCOPE, SECRETS, STRONG, WEAK, scan_secrets
 from .sharding import assign_shards
 from .token_counts import attribute_tokens
 from .token_files import read_token_files, token_folder, write_token_files
@@ -67,5 +68,55 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_secrets, op3_bpe, op4_token_files, op5_near_dedup, op6_sharding, op7_token_counts, op8_exact_dedup, op9_toxicity, op10_neighbours)}
 
 
+_EXACT = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+"""
+
+_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
+def _any_case(pattern: str) -> str:
+    """A pattern with (?i:...) spelled out, as engines differ on what else folds to ASCII letters."""
+    head, _, rest = pattern.partition("(?i:")
+    inside, _, tail = rest.partition(")")
+    return f"{head}(?:{re.sub('[a-z]', lambda m: f'[{m[0]}{m[0].upper()}]', inside)}){tail}" if rest else pattern
+
+
+def _secrets_sql() -> str:
+    kinds = (*STRONG, *WEAK)
+    quoted = [_any_case(k.pattern).replace("'", "''") for k in kinds]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, unnest(m) AS found, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, unnest(range(len(m))) AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{q}', 0) AS m, string_split_regex(t, '{q}') AS g FROM d) x"
+        for i, q in enumerate(quoted)
+    )
+    value = "CASE kind " + " ".join(f"WHEN {i} THEN " + (f"regexp_extract(found, '{q}', {k.value})" if k.value else "found") for i, (k, q) in enumerate(zip(kinds, quoted, strict=True))) + " END"
+    least = "CASE kind " + " ".join(f"WHEN {i} THEN {k.least}" for i, k in enumerate(kinds)) + " END"
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k.name}'" for i, k in enumerate(kinds)) + " END"
+    key = [k.name for k in kinds].index("key")
+    near = f"(PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+e AS (SELECT *, CAST(sum(gap + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS BIGINT) AS "end", {value} AS value, {names} AS name FROM f),
+s AS (SELECT doc_id, kind, name, "end" - length(found) AS start, "end" FROM e WHERE length(value) >= {least} AND (kind <> {key} OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))),
+n AS (SELECT *, bool_or(name IN {IDENTIFIERS}) OVER {near} AS ids, bool_or(name IN {SECRETS}) OVER {near} AS keys FROM s),
+k AS (SELECT *, name || ':' || start || ':' || "end" AS span FROM n WHERE kind < {len(STRONG)} OR CASE name WHEN 'id' THEN keys WHEN 'key' THEN ids ELSE ids AND keys END)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(STRONG)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN k USING (doc_id) GROUP BY 1
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; the others are held against brute force in the tests."""
+    return {"op2_secrets": _secrets_sql(), "op5_near_dedup": _NEAR, "op8_exact_dedup": _EXACT}
