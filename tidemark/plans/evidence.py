@@ -12,14 +12,13 @@ from ..operators import asof, buckets
 from .market import _FOLLOW, closures
 from .registry import FORECASTS, TICKS, forecasts, micros, query, table, ticks
 
-_KEY = Window.partitionBy("key").orderBy("t", "id")
-
 
 @query(f"""WITH {TICKS}, p AS (SELECT id, cents, lag(cents) OVER w AS prev, lag(cents, 2) OVER w AS older FROM ticks WINDOW w AS (PARTITION BY key ORDER BY t, id)), m AS (SELECT id, (cents - prev) / 10000.0::DOUBLE AS fm, (prev - older) / 10000.0::DOUBLE AS mm FROM p)
 SELECT id, CASE WHEN fm IS NULL OR mm IS NULL THEN 'unclassifiable' WHEN abs(mm) < 0.02 THEN 'market_static' WHEN abs(fm) < 0.01 THEN 'anchored' WHEN (fm > 0) <> (mm > 0) THEN 'moved_against' WHEN abs(fm) < 0.5 * abs(mm) THEN 'partial' ELSE 'moved_with' END AS bucket FROM m""")
 def forecast_anchor(spark: SparkSession, d: str) -> DataFrame:
     """A value's move against the move before it."""
-    t = ticks(spark, d).withColumn("prev", F.lag("cents").over(_KEY)).withColumn("older", F.lag("cents", 2).over(_KEY))
+    w = Window.partitionBy("key").orderBy("t", "id")
+    t = ticks(spark, d).withColumn("prev", F.lag("cents").over(w)).withColumn("older", F.lag("cents", 2).over(w))
     return t.select("id", L.adjustment((F.col("cents") - F.col("prev")) / 10000.0, (F.col("prev") - F.col("older")) / 10000.0).alias("bucket"))
 
 
