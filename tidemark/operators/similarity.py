@@ -12,7 +12,7 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
 
     Prefix filter: with tokens in one global order, rare ones first, two sets of similarity s or more
     share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded, so a
-    word that is everywhere joins nothing. Domains must agree where both have one; ties go
+    word that is everywhere joins nothing; and sizes must let the pair reach s. Domains must agree where both have one; ties go
     to the smaller right id. Rows without tokens have no partner.
     """
     both = left.select("tokens").unionByName(right.select("tokens"))
@@ -22,9 +22,10 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
         n = F.size("tokens")
         each = side.select(F.col("id").alias(name), n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
         place = F.row_number().over(Window.partitionBy(name).orderBy("count", "token"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).select(name, "token")
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"))
 
-    pairs = prefixes(left, "l").join(prefixes(right, "r"), "token").select("l", "r").distinct()
+    fits = F.least("n_l", "n_r") >= F.lit(floor) * F.greatest("n_l", "n_r") - F.lit(1e-9)
+    pairs = prefixes(left, "l").join(prefixes(right, "r"), "token").where(fits).select("l", "r").distinct()
     named = pairs.join(left.select(F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("domain").alias("ld")), "l").join(right.select(F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("domain").alias("rd")), "r")
     shared = F.size(F.array_intersect("lt", "rt"))
     scored = named.where(F.coalesce(F.col("ld") == F.col("rd"), F.lit(True))).select("l", "r", (shared / (F.size("lt") + F.size("rt") - shared)).alias("similarity")).where(F.col("similarity") >= floor)

@@ -74,12 +74,12 @@ _WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_repl
 
 @query(f"""WITH p AS (SELECT doc_id AS id, {_WORDS.format('text')} AS t FROM documents), b AS (SELECT item_id AS id, {_WORDS.format('text')} AS t FROM benchmark),
 s AS (SELECT p.id, b.id AS r, len(list_intersect(p.t, b.t))::DOUBLE / (len(p.t) + len(b.t) - len(list_intersect(p.t, b.t))) AS sim FROM p, b WHERE len(p.t) > 0 AND len(b.t) > 0)
-SELECT id, arg_max(r, (sim, -r)) AS partner, max(sim) AS similarity FROM s WHERE sim >= 0.1 GROUP BY 1""")
+SELECT id, arg_max(r, (sim, -r)) AS partner, max(sim) AS similarity FROM s WHERE sim >= 0.2 GROUP BY 1""")
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Each document's words against the items', by token similarity."""
     left = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_tokens(F.col("text")).alias("tokens"), F.lit(None).cast("string").alias("domain"))
     right = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.title_tokens(F.col("text")).alias("tokens"), F.lit(None).cast("string").alias("domain"))
-    return similarity.best_partner(left, right, 0.1)
+    return similarity.best_partner(left, right, 0.2)
 
 
 _ARTIFACTS = """a AS (SELECT doc_id AS id, source || ':' || (doc_id // 3)::VARCHAR AS delivery, lang || ':' || (doc_id // 2)::VARCHAR AS message, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS content FROM documents)"""
