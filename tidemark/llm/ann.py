@@ -19,7 +19,7 @@ LINKS = 16
 BUILD_BREADTH, SEARCH_BREADTH = 64, 96
 #: Distinct vectors of a shard, on average, and queries of a block.
 SHARD_VECTORS = 8_192
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1024
 
 
 class Hnsw:
@@ -164,9 +164,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     dealt = usable(queries).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    shards = index.select("shard").distinct().agg(F.collect_set("shard").alias("shards"))
-    names = [r for r in shards.first()["shards"]]
-    pairs = dealt.withColumn("shard", F.explode(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<bigint>")))
+    last = index.agg(F.max("shard")).first()[0]
+    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last if last is not None else 0)))).withColumn("shard", F.col("shard").cast("long"))
     work = pairs.join(index, "shard").repartition("shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
