@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -134,7 +135,7 @@ class BytePairEncoder:
         return out
 
     def _chunk_values(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(self._ids(c), np.uint32).tobytes() for c in chunks]
+        return [array("I", self._ids(c)).tobytes() for c in chunks]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(values), np.uint32) for _, values in self.chunks.values(texts)]

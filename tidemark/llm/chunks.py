@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Chunks kept per Python worker; at the cap the memory is emptied, so that it stays bounded.
-CACHE_CHUNKS = 400_000
+#: Chunks of each of a worker's two generations; a full one becomes the old one, and what is met again is taken over.
+CACHE_CHUNKS = 500_000
 #: Longer chunks are encoded each time they come.
 CACHE_CHARS = 48
 
@@ -23,14 +23,19 @@ class ChunkMemo:
     def __init__(self, encode_many: Callable[[list[str]], list], cap: int = CACHE_CHUNKS):
         self.encode_many, self.cap = encode_many, cap
         self.memo: dict[str, object] = {}  # piece -> value of " " + piece; None: has white space at an edge
+        self.old: dict[str, object] = {}
 
     def values(self, texts: list[str]) -> list[tuple[list[str], list]]:
         """For each text: its chunks without their leading space (but for the first, which has none) and their values."""
         if len(self.memo) > self.cap:
-            self.memo.clear()
+            self.old, self.memo = self.memo, {}
         memo, split, new = self.memo, [t.split(" ") for t in texts], set()
         for pieces in split:
             new.update(set(pieces).difference(memo))
+        if self.old:
+            again = new & self.old.keys()
+            memo.update((p, self.old[p]) for p in again)
+            new -= again
         long: dict[str, object] = {}
         safe = []
         for p in new:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ def tokenizer(path: str):
 @lru_cache(maxsize=2)
 def _ids_memo(path: str) -> ChunkMemo:
     encode = tokenizer(path).encode_batch_fast
-    return ChunkMemo(lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in encode(texts, add_special_tokens=False)])
+    return ChunkMemo(lambda texts: [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)])
 
 
 @lru_cache(maxsize=2)
