@@ -17,11 +17,12 @@ class ChunkMemo:
     attaches one space to what follows it and never lets a match run from a non-space over a
     space, so a cut before a space is exact where both neighbours of the space are no white
     space. Elsewhere neighbouring pieces are joined to one chunk first. The value of a text is
-    the list of its chunks' values, in order.
+    the list of its chunks' values, in order. ``encode_joined``, where given, gets chunks that may be
+    encoded as the one text they make together, as no pre-token crosses from one to the next.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], cap: int = CACHE_CHUNKS):
-        self.encode_many, self.cap = encode_many, cap
+    def __init__(self, encode_many: Callable[[list[str]], list], cap: int = CACHE_CHUNKS, encode_joined: Callable[[list[str]], list] | None = None):
+        self.encode_many, self.cap, self.encode_joined = encode_many, cap, encode_joined or encode_many
         self.memo: dict[str, object] = {}  # piece -> value of " " + piece; None: has white space at an edge
         self.old: dict[str, object] = {}
 
@@ -43,7 +44,7 @@ class ChunkMemo:
                 memo[p] = None
             else:
                 safe.append(p)
-        for p, v in zip(safe, self.encode_many([" " + p for p in safe]), strict=True):
+        for p, v in zip(safe, self.encode_joined([" " + p for p in safe]), strict=True):
             if len(p) <= CACHE_CHARS:
                 memo[p] = v
             else:

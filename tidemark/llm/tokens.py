@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import pairwise
 
 import numpy as np
 
@@ -28,10 +29,40 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray:
+    """The bytes of each id's token; a byte-level vocabulary writes each byte as one character."""
+    vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, i in vocabulary.items():
+        out[i] = len(token)
+    return out
+
+
+def _encode_each(path: str, texts: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _encode_joined(path: str, chunks: list[str]) -> list[bytes]:
+    """The ids of chunks that make one text; they are cut apart by the bytes of the tokens.
+
+    Where a chunk doesn't end with a token (the vocabulary isn't byte-level), each is encoded alone.
+    """
+    if not chunks:
+        return []
+    ids = np.array(tokenizer(path).encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+    token_ends = np.cumsum(_token_bytes(path)[ids])
+    ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+    at = np.searchsorted(token_ends, ends)
+    if not len(ids) or at[-1] + 1 != len(ids) or (token_ends[at] != ends).any():
+        return _encode_each(path, chunks)
+    data, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+    return [data[s:e] for s, e in pairwise(cuts)]
+
+
 @lru_cache(maxsize=2)
 def _ids_memo(path: str) -> ChunkMemo:
-    encode = tokenizer(path).encode_batch_fast
-    return ChunkMemo(lambda texts: [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)])
+    return ChunkMemo(partial(_encode_each, path), encode_joined=partial(_encode_joined, path))
 
 
 @lru_cache(maxsize=2)
