@@ -82,19 +82,44 @@ def test_long_pre_tokens(tik):
 
 
 def test_rank_queue():
-    rng, queue, want = random.Random(1), bpe.RankQueue(50_256), []
+    rng, queue, want = random.Random(1), bpe.RankQueue(50_256), defaultdict(list)
     for _ in range(3000):
         if want and rng.random() < 0.4:
-            assert queue.pop() == want.pop(0)
+            rank = min(want)
+            assert queue.pop() == (rank, sorted(want.pop(rank)))
         else:
-            item = (rng.randrange(50_256) if rng.random() < 0.5 else rng.randrange(5), rng.randrange(100))
-            queue.push(*item)
-            want = sorted([*want, item])
+            rank, position = rng.randrange(50_256) if rng.random() < 0.5 else rng.randrange(5), rng.randrange(100)
+            queue.push(rank, position)
+            want[rank].append(position)
     while want:
-        assert queue.pop() == want.pop(0)
+        rank = min(want)
+        assert queue.pop() == (rank, sorted(want.pop(rank)))
     assert queue.pop() is None
 
 
+def test_merge_of_ranks_that_fall():
+    """Ranks of a made-up vocabulary, where a merge may open a pair of lower rank than its own; against the plain rule."""
+    rng = random.Random(11)
+    ranks = {bytes([b]): b for b in range(256)}
+    words = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(150)}
+    ranks |= {w: 256 + i for i, w in enumerate(rng.sample(sorted(words), len(words)))}
+    coder = bpe.BytePairEncoder(ranks, r"\S+|\s+")
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while piece not in ranks:
+            found = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+            if found is None:
+                return [ranks[p] for p in parts]
+            parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
+            if len(parts) == 1:
+                break
+        return [ranks[piece]]
+
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    assert [x.tolist() for x in coder.encode(texts)] == [plain(t.encode()) for t in texts]
+
+
 def test_bpe_round_trip_rows(odd, odd_rows, tik, empty):
     rows = bpe.round_trip(odd).collect()
     assert len(rows) == len(odd_rows)

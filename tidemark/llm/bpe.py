@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from .chunks import ChunkMemo
 from .common import put_on_path, text_blocks
 
-#: Pre-tokens whose ids a worker keeps, and the longest of them in bytes.
-MEMO_PRETOKENS, MEMO_BYTES = 300_000, 64
+#: Pre-tokens whose ids a worker keeps, about, and the longest of them.
+MEMO_PRETOKENS, MEMO_CHARS = 300_000, 64
 
 
 class RankQueue:
@@ -40,10 +39,16 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
+        if bucket is None:
+            self.push_all(rank, [position])
+        else:
+            bucket.append(position)
+
+    def push_all(self, rank: int, positions: list[int]) -> None:
+        if rank in self.buckets:
+            self.buckets[rank] += positions
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = positions
         for level in self.levels:
             word, bit = rank >> 6, 1 << (rank & 63)
             had, level[word] = level[word], level[word] | bit
@@ -51,26 +56,24 @@ class RankQueue:
                 break
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the lowest rank; None when empty."""
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its positions, ascending; None when empty."""
         if not self.levels[-1][0]:
             return None
         at = 0
         for level in reversed(self.levels):
             word = level[at]
             at = (at << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return at, position
+        rank = at
+        for level in self.levels:
+            word = rank >> 6
+            level[word] &= ~(1 << (rank & 63))
+            if level[word]:
+                break
+            rank = word
+        positions = self.buckets.pop(at)
+        positions.sort()
+        return at, positions
 
 
 class BytePairEncoder:
@@ -82,61 +85,84 @@ class BytePairEncoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.top = max(ranks.values()) + 1
-        self.memo: dict[str, list[int]] = {}
+        self.decimals = [str(i).encode() for i in range(self.top)]
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.memo: dict[str, bytes] = {}
         self.chunks = ChunkMemo(self._chunk_values, 250_000)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token: the pair of lowest rank merges first, the leftmost among equals."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        pair: list[int | None] = [None] * n
-        queue = RankQueue(self.top)
-
-        def renew(i: int) -> None:
-            j = after[i]
-            pair[i] = rank = ranks.get(piece[i : end[j]]) if j < n else None
-            if rank is not None:
-                queue.push(rank, i)
-
-        for i in range(n - 1):
-            renew(i)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens (unsigned 32-bit integers): the pair of lowest rank merges first, the leftmost among equals.
+
+        All pieces lie in one linked list with a break after each, and share one queue: its
+        order is the order within each piece as well, and a rank's bucket is found once for all of them.
+        """
+        data, ends = b"".join(pieces), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        n = len(data)
+        raw, starts = np.frombuffer(data, np.uint8).astype(np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        following, previous, pairs = np.arange(1, n + 1), np.arange(-1, n), np.full(n + 1, -1, np.int64)
+        following[ends - 1], previous[starts] = n, -1
+        pairs[: max(0, n - 1)] = self.of_pair[raw[:-1] * 256 + raw[1:]]
+        pairs[ends - 1] = -1
+        at = np.flatnonzero(pairs >= 0)
+        at = at[np.argsort(pairs[at], kind="stable")]
+        queue, ranks = RankQueue(self.top), pairs[at]
+        edges = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(at)] if len(at) else [0]
+        positions = at.tolist()
+        for s, e in pairwise(edges):
+            queue.push_all(int(ranks[s]), positions[s:e])
+        after, before, pair, end, token = following.tolist(), previous.tolist(), pairs.tolist(), list(range(1, n + 1)), self.of_byte[raw].tolist()
+        rank_of, push = self.ranks.get, queue.push
         while (found := queue.pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:  # stale: one of the two parts has merged since
-                continue
-            j = after[i]
-            end[i], after[i], pair[j] = end[j], after[j], None
-            if after[i] < n:
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = after[i]
-        return out
+            rank, positions = found
+            for k, i in enumerate(positions):
+                if pair[i] != rank:  # stale: one of the two parts has merged since
+                    continue
+                j = after[i]
+                token[i], token[j], pair[j] = rank, -1, -1
+                stop, left = end[j], before[i]
+                end[i], following_ = stop, after[j]
+                after[i], before[following_] = following_, i
+                lower = False
+                pair[i] = new = rank_of(data[i : end[following_]], -1) if following_ < n else -1
+                if new >= 0:
+                    push(new, i)
+                    lower = new < rank
+                if left >= 0:
+                    pair[left] = new = rank_of(data[left:stop], -1)
+                    if new >= 0:
+                        push(new, left)
+                        lower = lower or new < rank
+                if lower:  # it comes before the rest of this bucket
+                    queue.push_all(rank, positions[k + 1 :])
+                    break
+        ids = np.array(token, np.int64)
+        alive = ids >= 0
+        cuts = [0, *(4 * np.cumsum(alive)[ends - 1]).tolist()]
+        out = ids[alive].astype(np.uint32).tobytes()
+        return [out[s:e] for s, e in pairwise(cuts)]
 
-    def _ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def _chunk_values(self, chunks: list[str]) -> list[bytes]:
+        split = list(map(self.pattern.findall, chunks))
+        if len(self.memo) > MEMO_PRETOKENS:
+            self.memo = {}
         memo = self.memo
-        for token in self.pattern.findall(chunk):
-            ids = memo.get(token)
-            if ids is None:
-                ids = self.merge(token.encode())
-                if len(token) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_PRETOKENS:
-                        memo.clear()
-                    memo[token] = ids
-            out += ids
+        new = list({t for tokens in split for t in tokens if t not in memo})
+        apart: list[tuple[str, bytes]] = []
+        for t in new:
+            piece = t.encode()
+            whole = self.ranks.get(piece)
+            if whole is None:
+                apart.append((t, piece))
+            else:
+                memo[t] = whole.to_bytes(4, "little")
+        memo.update(zip((t for t, _ in apart), self.merge([piece for _, piece in apart]) if apart else [], strict=True))
+        out = [b"".join(map(memo.__getitem__, tokens)) for tokens in split]
+        for t in new:
+            if len(t) > MEMO_CHARS:
+                del memo[t]
         return out
 
-    def _chunk_values(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", self._ids(c)).tobytes() for c in chunks]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(values), np.uint32) for _, values in self.chunks.values(texts)]
 
@@ -203,7 +229,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
             n, of_ids, of_bytes = [], [], []
             for ids in coder.encode(texts):
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(b",".join(map(coder.decimals.__getitem__, ids.tolist()))).hexdigest())
                 of_bytes.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
