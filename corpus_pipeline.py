@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +20,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is decided against."""
-    gone = decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows that ``decide`` does not keep.
+
+    A doc_id may be null or repeated, so each row gets a number of its own in a written table, and
+    ``decide`` has it as doc_id. Numbers ascend by doc_id (nulls last), then by place; so the smallest
+    number has the smallest doc_id.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = written(placed.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = decide(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id."""
-    return _without(docs, exact_dedup(docs))
+    """Of equal texts the first row by doc_id."""
+    return _without(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest doc_id."""
-    return _without(docs, near_dedup(docs, percent=80))
+    """One row of each near-duplicate component: the first by doc_id."""
+    return _without(docs, lambda rows: near_dedup(rows, percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
