@@ -112,11 +112,17 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, round
 
 
 def grades_by_evidence(rows: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarray:
-    """Severity grades where labels say only toxic or not: 0, or 1 and up by even parts of the toxic rows' numbers of screened features."""
-    names, row, _, value = screened(rows, toxic[:, None].astype(float))
-    hits = np.bincount(row, weights=value, minlength=len(rows)) if len(names) else np.zeros(len(rows))
+    """Severity grades where labels say only toxic or not: 0, or 1 and up by even parts of the toxic rows' evidence.
+
+    Evidence is the number of screened features that are more frequent in toxic than in clean rows, so that
+    features typical of clean rows, of which a long row has more, don't raise a grade.
+    """
     if not toxic.any():
         return np.zeros(len(rows), np.int64)
+    names, row, col, value = screened(rows, toxic[:, None].astype(float))
+    of_toxic, of_clean = (np.bincount(col[toxic[row] == x], minlength=len(names)) for x in (True, False))
+    telling = of_toxic * int((~toxic).sum()) > of_clean * int(toxic.sum())
+    hits = np.bincount(row, weights=value * telling[col], minlength=len(rows))
     edges = np.quantile(hits[toxic], np.arange(1, n_grades - 1) / (n_grades - 1))
     return np.where(toxic, 1 + np.searchsorted(edges, hits, "left"), 0)
 
