@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,15 +25,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@lru_cache(maxsize=8)
+def _local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return _local_dir(spark.conf.get("spark.app.id", ""))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only where it is unset, as in tests, a local one is made.
+    The cluster names that folder; only where it is unset and the session is local, as in tests, one is made.
+    A cluster's session without it gets an error, as its executors share no local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
     if "://" not in root:
         root = "file://" + os.path.abspath(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -45,14 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches holding about BLOCK_BYTES of text each, with their texts (null: empty)."""
+def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches holding about ``size`` bytes of text each, with their texts (null: empty); a longer text is a block of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             total += n
-            if total >= BLOCK_BYTES or i + 1 == len(sizes):
+            if total >= size or i + 1 == len(sizes):
                 part = batch.slice(start, i + 1 - start)
                 yield part, [t if t is not None else "" for t in part.column(text_at).to_pylist()]
                 start, total = i + 1, 0

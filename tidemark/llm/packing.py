@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import put_on_path, text_blocks
-from .tokens import END_ID, default_tokenizer, encode_ids
+from .tokens import default_tokenizer, ended_ids
 
 SEQUENCE_TOKENS = 1024
 #: Documents of a group, on average; a group is what one call packs, whatever the corpus holds.
@@ -57,8 +57,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool) ->
         for rows, texts in text_blocks(batches, 1):
             ids, groups = rows.column(0).to_pylist(), rows.column(2).to_pylist()
             out: list[tuple] = []
-            for doc_id, group, data in zip(ids, groups, encode_ids(tokenizer_path, texts), strict=True):
-                data += END_ID.to_bytes(4, "little")
+            for doc_id, group, data in zip(ids, groups, ended_ids(tokenizer_path, texts), strict=True):
                 for at in range(0, len(data), 4 * capacity):
                     part = data[at : at + 4 * capacity]
                     out.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, group, *([part] if keep_ids else [])))

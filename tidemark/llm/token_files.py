@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import put_on_path, shared_dir, text_blocks, written
-from .tokens import END_ID, default_tokenizer, encode_ids
+from .tokens import default_tokenizer, ended_ids
 
 FRAME_IDS = 1 << 18
 # Fixed values of the zstd seekable format.
@@ -116,8 +116,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(mine, compression=None)
                 out = FrameWriter(sink, level)
-            for doc_id, data in zip(rows.column(0).to_pylist(), encode_ids(path, texts), strict=True):
-                out.add(doc_id, data + END_ID.to_bytes(4, "little"))
+            for doc_id, data in zip(rows.column(0).to_pylist(), ended_ids(path, texts), strict=True):
+                out.add(doc_id, data)
                 n += 1
         if sink is not None:
             out.close()

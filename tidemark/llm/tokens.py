@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache, partial
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 
-from .chunks import ChunkMemo
+from .chunks import ChunkMemo, Encoded
 
 #: The id that ends each document in packed and written form.
 END_ID = 0
@@ -39,51 +38,66 @@ def _token_bytes(path: str) -> np.ndarray:
     return out
 
 
-def _encode_each(path: str, texts: list[str]) -> list[bytes]:
-    return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+def _encode_each(path: str, texts: list[str]) -> Encoded:
+    found = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
-def _encode_joined(path: str, chunks: list[str]) -> list[bytes]:
+def _encode_joined(path: str, chunks: list[str]) -> Encoded:
     """The ids of chunks that make one text; they are cut apart by the bytes of the tokens.
 
     Where a chunk doesn't end with a token (the vocabulary isn't byte-level), each is encoded alone.
     """
-    if not chunks:
-        return []
-    ids = np.array(tokenizer(path).encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+    text = "".join(chunks)
+    ids = np.array(tokenizer(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
     token_ends = np.cumsum(_token_bytes(path)[ids])
-    ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+    ends = np.cumsum(np.fromiter(map(len, chunks) if text.isascii() else (len(c.encode()) for c in chunks), np.int64, len(chunks)))
     at = np.searchsorted(token_ends, ends)
     if not len(ids) or at[-1] + 1 != len(ids) or (token_ends[at] != ends).any():
         return _encode_each(path, chunks)
-    data, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
-    return [data[s:e] for s, e in pairwise(cuts)]
+    return ids, np.diff(at, prepend=-1)
+
+
+def _spans_each(path: str, texts: list[str]) -> Encoded:
+    found = [e.offsets for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    return np.array([x for offsets in found for x in offsets], np.int32).reshape(-1, 2), np.fromiter(map(len, found), np.int64, len(found))
 
 
 @lru_cache(maxsize=2)
 def _ids_memo(path: str) -> ChunkMemo:
-    return ChunkMemo(partial(_encode_each, path), encode_joined=partial(_encode_joined, path))
+    return ChunkMemo(partial(_encode_each, path), partial(_encode_joined, path))
 
 
 @lru_cache(maxsize=2)
 def _spans_memo(path: str) -> ChunkMemo:
-    encode = tokenizer(path).encode_batch
-    return ChunkMemo(lambda texts: [(len(e.ids), np.array(e.offsets, np.int32).tobytes()) for e in encode(texts, add_special_tokens=False)], 250_000)
+    return ChunkMemo(partial(_spans_each, path), kind=np.int32, width=2)
+
 
+def encode_ids(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Each text's ids as unsigned 32-bit integers, without special tokens added."""
+    ids, counts = _ids_memo(path).encode(texts)
+    return np.split(ids, np.cumsum(counts)[:-1])
 
-def encode_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, without special tokens added."""
-    return [b"".join(values) for _, values in _ids_memo(path).values(texts)]
+
+def ended_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Each text's ids and END_ID, as little-endian unsigned 32-bit integers."""
+    ids, counts = _ids_memo(path).encode(texts)
+    data = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4", copy=False).tobytes()
+    ends = (4 * np.cumsum(counts + 1)).tolist()
+    return [data[s:e] for s, e in pairwise([0, *ends])]
 
 
 def encode_spans(path: str, texts: list[str]) -> list[np.ndarray]:
     """Each text's token spans, an (n, 2) array of character offsets."""
-    out = []
-    for pieces, values in _spans_memo(path).values(texts):
-        counts = np.fromiter((v[0] for v in values), np.int64, len(values))
-        spans = np.frombuffer(b"".join(v[1] for v in values), np.int32).reshape(-1, 2).astype(np.int64)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-        lengths[0] -= 1
-        starts = np.cumsum(lengths) - lengths
-        out.append(spans + np.repeat(starts, counts)[:, None])
-    return out
+    memo = _spans_memo(path)
+    split, numbers, counts = memo.numbers(texts)
+    spans, lengths = memo.runs.take(numbers)
+    chars = np.fromiter(map(len, chain.from_iterable(split)), np.int64, len(numbers)) + 1
+    ends = np.cumsum(counts)
+    firsts = ends - counts
+    chars[firsts] -= 1
+    starts = np.cumsum(chars) - chars  # of a chunk with its leading space, in the block
+    starts -= np.repeat(starts[firsts], counts)
+    spans = spans.astype(np.int64) + np.repeat(starts, lengths)[:, None]
+    tokens = np.cumsum(lengths)
+    return np.split(spans, tokens[ends - 1][:-1])
