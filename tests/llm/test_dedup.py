@@ -99,6 +99,7 @@ def near_rows():
 @pytest.mark.parametrize(("percent", "block"), [(80, near_dedup.BLOCK), (85, 7)])
 def test_near_dedup_finds_every_link(spark, percent, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_ITEMS", 250 * block)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute_components(rows, percent)

@@ -2,11 +2,13 @@
 
 Documents with equal shingle sets become one class first. Classes meet in LSH buckets; an odd
 sketch (MinHash samples folded into a parity bitmap) estimates a pair's similarity from the
-population count of the XOR, and pairs that may reach the threshold are confirmed on full sets.
-A bucket's members are first compared with its smallest and largest member only; what is not yet
-in one component afterwards is compared within the bucket in blocks, on sketches. So a bucket
-of copies costs as many pairs as members, and every pair that shares a bucket is in one component or
-compared.
+population count of the XOR. Pairs that may reach the threshold make families, and within a family each such
+pair is confirmed on full sets.
+
+Both steps look for components, not for all pairs: a task that compares a block keeps the components it has
+found so far, passes over pairs that are already in one, and returns only links that join two. So what
+leaves a task grows with its rows, whatever the size of a group of copies; and every pair that shares a
+bucket is in one component or compared.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,10 @@ BANDS, ROWS = 40, 7
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 SHINGLE_WORDS = 5
-#: Members of a block in which sketches are compared, on average.
-BLOCK = 4096
-#: Partners of one copy of a hub's set.
-HUB_PARTNERS = 256
+#: Members of a block in which sketches are compared, and shingles of a block in which full sets are, on average.
+BLOCK, BLOCK_ITEMS = 4096, 1 << 20
+#: Rows whose full sets are compared with one row's at once.
+AT_ONCE = 256
 #: Class ids (8 bytes each) up to which a side is broadcast; beyond it the texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
@@ -154,92 +157,171 @@ def _passing(pairs: DataFrame, classes: DataFrame, percent: int, limit: int) ->
         pairs.join(side("a"), "a").join(side("b"), "b")
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .where(_distance("sketch_a", "sketch_b") <= limit)
-        .select("a", "b", "n_a", "n_b")
+        .select("a", "b")
     )
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, items) of the documents whose ids are in ``ids`` (cid)."""
-    n = ids.count()
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, set_key, items) of the classes (cid, set_key); items are a set's 64-bit hashes as bytes."""
+    ids = classes.select("cid").distinct()
+    n = classes.count()
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(ids, "cid", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in text_blocks(batches, 1):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t).view(np.int64) for t in block], pa.list_(pa.int64()))], ["cid", "items"])
+            found = {}
+            for cid, text in zip(rows.column(0).to_pylist(), block, strict=True):
+                values = shingles(text).tobytes()
+                found[cid, hashlib.blake2b(values, digest_size=16).digest()] = values
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*zip(*found, strict=True), list(found.values())), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cid", "set_key", "items"])
+
+    return texts.mapInArrow(run, "cid long, set_key binary, items binary")
+
+
+class _Items:
+    """The full sets of a group's rows, as numbers within the group, for counts of shared items."""
+
+    def __init__(self, sets: list[bytes]):
+        arrays = [np.frombuffer(x, np.uint64) for x in sets]
+        self.ends = np.cumsum([len(x) for x in arrays])
+        self.sizes = np.diff(self.ends, prepend=0)
+        distinct, self.flat = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.flat, self.marks = self.flat.astype(np.int32), np.zeros(len(distinct), np.int32)
 
-    return written(texts.mapInArrow(run, "cid long, items array<long>"), "sets")
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] - self.sizes[k] : self.ends[k]]
 
+    def shared(self, k: int, others: np.ndarray) -> np.ndarray:
+        """How many items row k has in common with each of ``others``; no set is empty."""
+        self.marks[self.of(k)] = 1
+        sizes = self.sizes[others]
+        out = np.add.reduceat(self.marks[np.concatenate([self.of(i) for i in others.tolist()])], np.cumsum(sizes) - sizes)
+        self.marks[self.of(k)] = 0
+        return out
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links by their full sets.
 
-    The set of a hub with many partners is laid out once per HUB_PARTNERS partners, so that no task gets all.
+def _spanning_links(group: dict[str, np.ndarray], limit: int, percent: int, items: _Items | None) -> list[tuple[int, int]]:
+    """Links that join the same rows as all links between an outside row and any other row do; of two blocks, only links across count.
+
+    A pair is compared on sizes and sketches; where there are full sets, it is a link only if these
+    confirm it. Pairs that earlier links have already put in one component are passed over.
     """
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "ids")
-    sets = _sets(docs, ids)
-    hubs = pairs.groupBy("a").count().select("a", F.explode(F.sequence(F.lit(0), (F.col("count") / HUB_PARTNERS).cast("int"))).alias("salt"), (F.col("count") / HUB_PARTNERS).cast("int").alias("last"))
-    dealt = pairs.join(hubs.where("salt = 0").select("a", "last"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int"))
-    left = hubs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), "a").select("a", "salt", "items_a")
-    both = dealt.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b")), "b").join(left, ["a", "salt"])
-    shared = F.size(F.array_intersect("items_a", "items_b"))
-    return written(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct(), "links")
-
-
-def _compare(ids: np.ndarray, components: np.ndarray, outside: np.ndarray, blocks: np.ndarray, sketches: np.ndarray, limit: int) -> list[np.ndarray]:
-    """Pairs of an outside row and any row of another component whose sketches are near; between two blocks only pairs across."""
-    found, two = [], blocks.min() != blocks.max()
-    for k in np.flatnonzero(outside):
-        near = xor_count(sketches, sketches[k]) <= limit
-        near &= (components != components[k]) & (~outside | (ids > ids[k]))
+    ids, component, outside, block, n, sketch = (group[c] for c in ("cid", "component", "outside", "block", "n", "sketch"))
+    component, two, found, place = component.copy(), block.min() != block.max(), [], np.arange(len(ids))
+    for k in np.flatnonzero(outside).tolist():
+        near = (component != component[k]) & (~outside | (place > k)) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
         if two:
-            near &= blocks != blocks[k]
-        if near.any():
-            found.append(np.stack([np.minimum(ids[k], ids[near]), np.maximum(ids[k], ids[near])], axis=1))
+            near &= block != block[k]
+        at = np.flatnonzero(near)
+        at = at[xor_count(sketch[at], sketch[k]) <= limit] if len(at) else at
+        while len(at):
+            links, at = at[:AT_ONCE], at[AT_ONCE:]
+            if items is not None:
+                shared = items.shared(k, links)
+                links = links[100 * shared >= percent * (items.sizes[k] + items.sizes[links] - shared)]
+            if len(links):
+                joined, first = np.unique(component[links], return_index=True)
+                found += [(min(int(ids[k]), other), max(int(ids[k]), other)) for other in ids[links[first]].tolist()]
+                component[np.isin(component, joined)] = component[k]
+                at = at[component[at] != component[k]]
+        if found and (component == component[k]).all():
+            break
     return found
 
 
-def _rest_pairs(members: DataFrame, classes: DataFrame, components: DataFrame, limit: int) -> DataFrame:
-    """Pairs of a bucket that are not in one component, compared on sketches in blocks.
+_GROUP = "key long, low int, high int, cid long, component long, outside boolean, block int, n long, sketch array<long>"
 
-    Of each bucket, the members outside its largest component are compared with all, block by block;
-    a task streams through its block pairs, each of 2 * BLOCK rows on average, and only pairs
-    that pass leave it.
-    """
-    named = members.join(components.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    named = written(named.select("band", "cid", "component"), "buckets")
-    sizes = named.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
-    open_ = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = open_.select("band", "head", (F.col("total") / BLOCK).cast("int").alias("last"))
-    rows = named.join(open_, "band").join(classes.select("cid", "sketch"), "cid")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int")).withColumn("outside", F.col("component") != F.col("head"))
-    other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    dealt = rows.withColumn("other", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "component", "outside", "block", "sketch")
-    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool) -> DataFrame:
+    """Spanning links (a, b) within the groups (key, low, high) of ``dealt``; a task streams through its groups, and only such links leave it."""
+    rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid")
 
-        def pairs(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-            cid, component, block = (t.column(c).to_numpy() for c in ("cid", "component", "block"))
-            outside = t.column("outside").to_numpy(zero_copy_only=False)
-            sketch = t.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
-            found = [x for s, e in zip(edges[:-1], edges[1:], strict=True) if outside[s:e].any() for x in _compare(cid[s:e], component[s:e], outside[s:e], block[s:e], sketch[s:e], limit)]
-            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    def links(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        found = []
+        for s, e in pairwise(edges):
+            part = t.slice(s, e - s)
+            group = {c: part.column(c).to_numpy() for c in ("cid", "component", "outside", "block", "n")}
+            if group["outside"].any() and (group["component"] != group["component"][0]).any():
+                group["sketch"] = part.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
+                found += _spanning_links(group, limit, percent, _Items(part.column("items").to_pylist()) if exact else None)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = np.stack([t.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
-            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
-            if len(edges) > 1:  # the last group may go on in the next batch
-                yield pairs(t, edges)
-            held = t.slice(edges[-1])
-        if held is not None and len(held):
-            yield pairs(held, np.array([0, len(held)]))
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            starts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            if last is not None and (keys[0] != last).any():
+                starts = [0, *starts]
+            if starts:  # the last group may go on in the next batch
+                head = [*held, batch.slice(0, starts[-1])]
+                before = sum(x.num_rows for x in held)
+                yield links(pa.Table.from_batches(head), sorted({0, *(before + x for x in starts)}))
+                held = [batch.slice(starts[-1])]
+            else:
+                held.append(batch)
+            last = keys[-1]
+        if held:
+            yield links(pa.Table.from_batches(held), [0, sum(x.num_rows for x in held)])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _dealt(rows: DataFrame, weight: Column, block: int, own_block: bool = False) -> DataFrame:
+    """``rows`` (key, cid, component, ...) of keys that hold more than one component, laid out by pairs of blocks.
+
+    A key's rows are dealt to blocks of about ``block`` weight. Members outside its largest component are
+    compared with all others: so each row goes to each pair of its block with another. With
+    ``own_block`` it goes to its own block only, and the key's own row (cid = key) to every block.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"))
+    keys = parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("head"), (F.sum("weight") / block).cast("int").alias("last"), F.count("*").alias("parts"))
+    rows = rows.join(keys.where("parts > 1").drop("parts"), "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int"))
+    every = F.sequence(F.lit(0), F.col("last"))
+    if own_block:
+        rows = rows.withColumn("outside", F.lit(True)).withColumn("low", F.explode(F.when(F.col("cid") == F.col("key"), every).otherwise(F.array("block")))).withColumn("high", F.col("low"))
+        return rows.withColumn("block", F.col("low")).drop("head")
+    rows = rows.withColumn("outside", F.col("component") != F.col("head")).withColumn("other", F.explode(every))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "head")
+
+
+def _families(members: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(node, component) of classes that sketches join: components over pairs of one bucket whose sizes and sketches are near.
+
+    A bucket's members are compared with its smallest and largest one; then, where that has not made
+    one component of them, with one another in blocks.
+    """
+    star = members.select("cid", F.explode(F.array("lo", "hi")).alias("hub")).where("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+    star = written(_passing(star, classes, percent, limit), "near")
+    components = connected_components(star).withColumnRenamed("node", "cid")
+    named = members.select(F.col("band").alias("key"), "cid").join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    dealt = _dealt(written(named, "buckets"), F.lit(1), BLOCK).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
+    return connected_components(star.union(_linked(dealt.select(_columns(_GROUP)), limit, percent, False)))
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def _confirmed(docs: DataFrame, families: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links, confirmed on full sets, that join the same classes as all links within families do.
+
+    Each family is compared block by block, each block with the family's first member as well; then the blocks of what is
+    still apart are compared with one another. A family of one block, the common case, is laid out once.
+    """
+    roster = written(classes.join(families.select(F.col("node").alias("cid"), F.col("component").alias("key")), "cid").select("key", "cid", "set_key", F.col("n_shingles").alias("n"), "sketch"), "families")
+    sets = written(_sets(docs, roster), "sets")
+    full = lambda dealt: dealt.join(sets, ["cid", "set_key"]).select([*_columns(_GROUP), "items"])
+    own = _dealt(roster.withColumn("component", F.col("cid")), F.col("n"), BLOCK_ITEMS, own_block=True)
+    links = written(_linked(full(own), limit, percent, True), "links")
+    components = connected_components(links).withColumnRenamed("node", "cid")
+    rest = _dealt(roster.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")), F.col("n"), BLOCK_ITEMS).where("last > 0 and low < high")
+    return links.union(_linked(full(rest), limit, percent, True))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -264,11 +346,8 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     banded = classes.select("cid", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
     members = written(banded.join(hubs, "band"), "members")
-    star = members.select("cid", F.explode(F.array("lo", "hi")).alias("hub")).where("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    links = _confirmed(docs, _passing(star, classes, percent, limit), percent)
-    components = connected_components(links)
-    rest = _passing(_rest_pairs(members, classes, components, limit), classes, percent, limit)
-    components = connected_components(links.union(_confirmed(docs, rest, percent)))
+    families = _families(members, classes, percent, limit)
+    components = connected_components(_confirmed(docs, families, classes, percent, limit))
     named = classes.select("set_key", "cid").join(components.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", F.coalesce("component", "cid").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")
