@@ -110,6 +110,36 @@ def test_recall(spark, monkeypatch, shard):
         assert all(abs(-s - float(np.dot(v[i].astype(float), v[q].astype(float)))) < 1e-12 for s, i in x)
 
 
+def test_recall_on_the_embeddings_in_several_shards(spark, data):
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    queries = [r for r in rows if r[0] % 20 == 0]
+    index = ann.build_index(df, 20, shard_vectors=len(rows) // 4)
+    assert index.count() > 2
+    want, got = brute(rows, queries, 20), {}
+    for r in ann.search_index(index, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
+def test_ids_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_SLICE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(1, (1.0, 0.01 * i)) for i in range(40)] + [(2, (0.5, 0.0)), (3, (0.4, 0.0)), (4, (-1.0, 0.0)), (5, (0.9, 0.1)), (5, (0.1, 0.9))]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, df, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (1, 2, 3, 4, 5):
+        v = min(x for i, x in rows if i == q)
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = max(best.get(i, -9.0), float(np.dot(x, v)))
+        assert got[q] == sorted(best.items(), key=lambda b: (-b[1], b[0]))[:3]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     same = [1.0, 0.0, 0.0]
     rows = [(i, same) for i in range(60)] + [(100, [0.0, 1.0, 0.0]), (101, None), (102, [0.0, 0.0, 0.0]), (103, [math.nan, 1.0, 0.0]), (104, [math.inf, 0.0, 0.0]), (105, [None, 1.0, 0.0]), (None, same), (100, [0.0, 1.0, 0.0])]

@@ -17,9 +17,8 @@ from .common import put_on_path, written
 #: Links of a node on the upper layers; twice as many on the lowest.
 LINKS = 16
 BUILD_BREADTH, SEARCH_BREADTH = 64, 96
-#: Distinct vectors of a shard, on average, and queries of a block.
-SHARD_VECTORS = 8_192
-QUERY_BLOCK = 1024
+#: Distinct vectors of a shard and queries of a slice, on average.
+SHARD_VECTORS, QUERY_SLICE = 8_192, 16_384
 
 
 class Hnsw:
@@ -130,7 +129,9 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS,
 
     Equal vectors are one node, or a graph of copies would lose its way: of each distinct vector
     the k + 1 smallest ids are kept, which is all that a query for k neighbours by ties can
-    return, itself left out. Each vector's hash deals it to a shard; every row is indexed.
+    return, itself left out. Each vector's hash deals it to a shard; every row is indexed. Rows whose
+    vector or vec_id ``usable`` leaves out take no part; an empty table gives an empty index; further
+    columns are ignored.
     """
     put_on_path(vectors.sparkSession)
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
@@ -150,57 +151,86 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS,
         })
 
     schema = "shard long, dim int, ids binary, counts binary, vectors binary, layers array<binary>, widths array<int>, entry int"
-    return written(nodes.groupBy("shard", "dim").applyInPandas(build, schema), "hnsw")
+    return written(nodes.repartition(4 * shards, "shard").groupBy("shard", "dim").applyInPandas(build, schema), "hnsw")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = SEARCH_BREADTH) -> DataFrame:
     """Each query's k nearest indexed vectors but itself: query_id, rank (from 1), vec_id, score (inner product in double).
 
-    Queries go to every shard in blocks of about QUERY_BLOCK; a task searches one block in one shard
-    and rescores what it finds on the original vectors. Shards' results are merged by score, ties to
-    the smaller vec_id. Queries of another dimension than a shard's find nothing there.
+    Queries are laid out once per shard, in slices of about QUERY_SLICE, and a shard once per slice: a task
+    gets the shard first and streams the queries of the slice through it. What it finds is rescored on the
+    original vectors, and of each query at most k rows leave it. Shards' results are merged by
+    score, ties to the smaller vec_id. Rows that repeat a vec_id are one query, by its smallest
+    vector; of an id with several vectors the best counts. Queries of another dimension than a
+    shard's find nothing there; an empty index or no queries give no rows; further columns are ignored.
     """
     put_on_path(index.sparkSession)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    dealt = usable(queries).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    slices = max(1, -(-asked.count() // QUERY_SLICE))
     last = index.agg(F.max("shard")).first()[0]
-    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last if last is not None else 0)))).withColumn("shard", F.col("shard").cast("long"))
-    work = pairs.join(index, "shard").repartition("shard", "block")
+    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last if last is not None else 0).cast("long")))
+    asked = asked.withColumn("shard", shards).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
+    laid = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    both = laid.unionByName(asked, allowMissingColumns=True).repartition("shard", "dim", "slice").sortWithinPartitions("shard", "dim", "slice", F.col("vec_id").asc_nulls_first())
+
+    def best(r: _Shard, query: int, q: np.ndarray) -> list[tuple[float, int]]:
+        want = k + 1
+        while True:
+            near, scored = r.near(q, want, breadth), {}
+            for x in near:
+                score = -float(np.dot(r.exact[x], q))
+                for v in r.ids_of(x):
+                    if v != query:
+                        scored[v] = min(score, scored.get(v, score))
+            if len(scored) >= k or len(near) < want:
+                return sorted((s, v) for v, s in scored.items())[:k]
+            want *= 2  # repeated ids have taken places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for rows in batches:
-            for i in range(rows.num_rows):
-                r = rows.slice(i, 1)
-                get = lambda c, r=r: r.column(r.schema.get_field_index(c))[0]
-                dim, counts = get("dim").as_py(), np.frombuffer(get("counts").as_buffer(), np.int32)
-                ids, firsts = np.frombuffer(get("ids").as_buffer(), np.int64), np.cumsum(counts) - counts
-                exact = np.frombuffer(get("vectors").as_buffer(), np.float64).reshape(-1, dim)
-                layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(get("layers").as_py(), get("widths").as_py(), strict=True)]
-                graph = Hnsw(exact.astype(np.float32), layers, get("entry").as_py())
-                seen, mark, out = np.full(len(exact), -1, np.int64), 0, []
-                for query in get("queries").as_py():
-                    q = np.array(query["embedding"], np.float64)
-                    if len(q) != dim:
-                        continue
-                    near = graph.search(q.astype(np.float32), k + 1, breadth, seen, mark)
-                    mark += len(layers) + 1
-                    scored = [(-float(np.dot(exact[x], q)), int(v)) for x in near for v in ids[firsts[x] : firsts[x] + counts[x]] if v != query["vec_id"]]
-                    out += [(query["vec_id"], v, -s) for s, v in sorted(scored)[:k]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            get, out = dict(zip(rows.schema.names, rows.columns, strict=True)), []
+            keys = list(zip(*(get[c].to_pylist() for c in ("shard", "dim", "slice")), strict=True))
+            for i, query in enumerate(get["vec_id"].to_pylist()):
+                if query is None:
+                    shard = _Shard(keys[i], {c: get[c][i] for c in ("dim", "ids", "counts", "vectors", "layers", "widths", "entry")})
+                elif shard is not None and shard.key == keys[i]:
+                    out += [(query, v, -s) for s, v in best(shard, query, np.array(get["embedding"][i].as_py(), np.float64))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Shard:
+    """A shard's row of the index, ready to be searched."""
+
+    def __init__(self, key: tuple, row: dict[str, pa.Scalar]):
+        self.key, counts = key, np.frombuffer(row["counts"].as_buffer(), np.int32)
+        self.ids, self.ends = np.frombuffer(row["ids"].as_buffer(), np.int64), np.cumsum(counts)
+        self.firsts = self.ends - counts
+        self.exact = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(-1, row["dim"].as_py())
+        layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(row["layers"].as_py(), row["widths"].as_py(), strict=True)]
+        self.graph = Hnsw(self.exact.astype(np.float32), layers, row["entry"].as_py())
+        self.seen, self.mark = np.full(len(self.exact), -1, np.int64), 0
+
+    def near(self, q: np.ndarray, k: int, breadth: int) -> list[int]:
+        found = self.graph.search(q.astype(np.float32), k, breadth, self.seen, self.mark)
+        self.mark += len(self.graph.layers) + 1
+        return found
+
+    def ids_of(self, node: int) -> list[int]:
+        return self.ids[self.firsts[node] : self.ends[node]].tolist()
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Indexes ``vectors`` (vec_id, embedding) and searches ``queries`` (vec_id, embedding) in it.
 
     Vectors that are null, zero or hold null or non-finite components take no part, as query or
-    candidate; nor do rows without a vec_id. Rows that repeat a vec_id are one query and, with
-    other vectors, further candidates of which the best counts. An empty table gives no rows; further
+    candidate; nor do rows without a vec_id. Rows that repeat a vec_id are one query, by its smallest
+    vector, and further candidates, of which the best counts. An empty table gives no rows; further
     columns are ignored.
     """
     return search_index(build_index(vectors, k), queries, k)
