@@ -132,19 +132,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] | None = None, with_ids: bool = False) -> DataFrame:
     """Reads files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, on request, ids.
 
-    With ``doc_ids`` only the frames of those documents are decompressed. Every frame that is read is
-    held against its checksum.
+    ``manifest`` has one row per file; the window over it numbers files, not documents. With ``doc_ids``
+    only the frames of those documents are decompressed. Every frame that is read is held against its
+    checksum. A document without a doc_id comes back without one, repeated ones each; an empty
+    manifest gives no rows.
     """
     wanted = None if doc_ids is None else frozenset(doc_ids)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
-        names = ["part", "doc_id", "before", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-        kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+        kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
         for rows in batches:
-            for part, path in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            for path, before in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
-                    reader, before, out, held = FrameReader(source), 0, [], 0
+                    reader, out, held = FrameReader(source), [], 0
                     for doc_id, frames in reader:
                         n = sum(reader.entries[k][1] for k in frames) // 4
                         if wanted is None or doc_id in wanted:
@@ -154,7 +156,7 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] |
                                 crc = zlib.crc32(frame, crc)
                                 if with_ids:
                                     data.append(frame)
-                            out.append((part, doc_id, before, n, crc, *([b"".join(data)] if with_ids else [])))
+                            out.append((doc_id, before, n, crc, *([b"".join(data)] if with_ids else [])))
                             held += 64 + 4 * n * with_ids
                         before += n
                         if held > 1 << 20:
@@ -165,10 +167,9 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] |
 
     files = manifest.count()
     put_on_path(manifest.sparkSession)
-    starts = manifest.select("part", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    schema = "part long, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    found = manifest.select("part", "path").repartition(max(1, files), "part").mapInArrow(read, schema)
-    return found.join(starts, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    first = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return manifest.select("part", "path", first.alias("first")).repartition(max(1, files), "part").select("path", "first").mapInArrow(read, schema)
 
 
 def _rows(out: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
