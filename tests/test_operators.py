@@ -89,11 +89,17 @@ def test_codec_refusals(spark):
     assert [r["x"] for r in rows.select(codec.canonical_json("v").alias("x")).collect()] == ['{"a":[1.5,null],"b":1}', None, None, None]
 
 
-def test_last_before_deadline_edges(spark):
+def test_last_within_edges(spark):
     m = asof.MINUTE
     t = ticks(spark, [(1, 1, 0, 10), (1, 2, 5 * m, 20), (1, 3, 5 * m, 30), (1, 4, 5 * m + 1, 40), (2, 5, 0, 50)])
-    got = {r["id"]: r["x"] for r in t.withColumn("x", asof.last_before_deadline("cents", "key", "t", "id", 5 * m)).collect()}
-    assert got == {1: 30, 2: 40, 3: 40, 4: None, 5: None}  # the anchor's own time is out, the deadline is in, the highest id wins
+    found = asof.last_within(t, ["cents"], {"x": 5 * m, "y": 1}).collect()
+    assert {r["id"]: r["x"] and r["x"]["cents"] for r in found} == {1: 30, 2: 40, 3: 40, 4: None, 5: None}  # the anchor's own time is out, the deadline is in, the highest id wins
+    assert {r["id"]: r["y"] and r["y"]["cents"] for r in found} == {1: None, 2: 40, 3: 40, 4: None, 5: None}
+
+
+def test_peak_rate_over_stretches(spark):
+    rows = ticks(spark, [(1, i, t, 0) for i, t in enumerate([0, 1, 9, 10, 10, 19, 20, 35])])
+    assert [tuple(r) for r in windows.peak_rate(rows, ["key"], 10).collect()] == [(1, 4, 8)]  # 1, 9, 10, 10
 
 
 def test_asof_modes(spark):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evidence, forecasting, market, records
+from .plans import evidence, forecasting, market, policies, records
 from .plans.registry import QUERIES, SQL, Query
 
-__all__ = ["evidence", "forecasting", "market", "oracle_sql", "queries", "records"]
+__all__ = ["evidence", "forecasting", "market", "oracle_sql", "policies", "queries", "records"]
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,8 @@
 """As-of lookups in four modes, with one rule for ties: the row id decides.
 
-Anchors and ticks of one table need no join: a range frame over the time of the key's rows finds
-the row. Across two tables both sides are laid in one stream per key and the last or next tick is
-carried over, so a key's rows are sorted once and no pair is ever made.
+Anchors and ticks are laid in one stream per key and the last or next tick is carried over, so a
+key's rows are sorted once and no pair is ever made. Only the first row of a short lookback is found
+by a range frame.
 """
 
 from __future__ import annotations
@@ -14,19 +14,26 @@ from pyspark.sql.window import Window, WindowSpec
 MINUTE = 60_000_000
 
 
-def forward(key: str, t: str, width: int) -> WindowSpec:
-    """Rows of the key in (t, t + width]."""
-    return Window.partitionBy(key).orderBy(t).rangeBetween(1, width)
-
-
 def backward(key: str, t: str, width: int) -> WindowSpec:
     """Rows of the key in [t - width, t]."""
     return Window.partitionBy(key).orderBy(t).rangeBetween(-width, 0)
 
 
-def last_before_deadline(value: str, key: str, t: str, tie: str, width: int) -> Column:
-    """The value of the last row in (t, t + width]; among rows of one time the highest id."""
-    return F.max_by(F.col(value), F.struct(t, tie)).over(forward(key, t, width))
+def last_within(rows: DataFrame, values: list[str], widths: dict[str, int], key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
+    """``rows`` with a struct of ``values`` per name of ``widths``: of the last row in (t, t + width], null if there is none.
+
+    Each row's deadlines are laid in the key's stream behind the rows of their time, and the last row is
+    carried over: one shuffle by key and one sort, whatever the number of rows within a width.
+    """
+    first = next(iter(widths))
+    ticks = rows.select(key, F.col(t).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("t"), F.struct(*values).alias("v")).alias("_tick"))
+    ends = rows.select(key, F.col(t).alias("_t"), F.col(tie).alias("_tie"), F.struct(*rows.columns).alias("_row"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("width")) for n, w in widths.items()])).alias("_w"))
+    ends = ends.select(key, (F.col("_t") + F.col("_w.width")).alias("_at"), F.lit(1).alias("_side"), "_tie", "_t", F.col("_w.name").alias("_name"), F.when(F.col("_w.name") == first, F.col("_row")).alias("_row"))
+    order = Window.partitionBy(key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = ticks.unionByName(ends, allowMissingColumns=True).withColumn("_last", F.last("_tick", ignorenulls=True).over(order)).where("_side = 1")
+    last = F.when(F.col("_last.t") > F.col("_t"), F.col("_last.v"))
+    out = found.groupBy(key, "_t", "_tie").agg(F.any_value("_row", True).alias("_row"), *[F.any_value(F.when(F.col("_name") == n, last), True).alias(n) for n in widths])
+    return out.select("_row.*", *widths)
 
 
 def first_in_lookback(value: str, key: str, t: str, tie: str, width: int) -> Column:

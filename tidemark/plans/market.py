@@ -71,7 +71,8 @@ FROM ticks a LEFT JOIN ticks b ON a.key = b.key AND b.t > a.t AND b.t <= a.t + {
 
 def follow(spark: SparkSession, d: str) -> DataFrame:
     t = ticks(spark, d)
-    return t.select("key", "id", "type", "t", "cents", *[asof.last_before_deadline("cents", "key", "t", "id", m * asof.MINUTE).alias(f"after_{m}m") for m in HORIZONS])
+    found = asof.last_within(t, ["cents"], {f"after_{m}m": m * asof.MINUTE for m in HORIZONS})
+    return found.select("key", "id", "type", "t", "cents", *[F.col(f"after_{m}m.cents").alias(f"after_{m}m") for m in HORIZONS])
 
 
 @query(_FOLLOW + " SELECT key, id, after_5m, after_15m, after_30m, after_60m FROM f")
@@ -103,17 +104,6 @@ def followthrough_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(_FOLLOW + f""", c AS (SELECT *, {_CLOSURE} AS closure FROM f), x AS (SELECT unnest([{{'dim': 'type', 'k': type}}, {{'dim': 'size', 'k': CASE WHEN cents < 1000 THEN 'small' WHEN cents < 5000 THEN 'middle' ELSE 'large' END}}, {{'dim': 'all', 'k': 'all'}}]) AS g, closure FROM c)
-SELECT g.dim AS dim, g.k AS value, count(closure) AS samples, count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) AS toward_rate FROM x GROUP BY 1, 2""")
-def cohort_followthrough(spark: SparkSession, d: str) -> DataFrame:
-    """Each anchor counts in several dimensions at once."""
-    size = L.ladder(F.col("cents"), [(1000, "small"), (5000, "middle")], "large")
-    dims = F.array(*[F.struct(F.lit(dim).alias("dim"), value.alias("value")) for dim, value in (("type", F.col("type")), ("size", size), ("all", F.lit("all")))])
-    each = closures(spark, d).select(F.explode(dims).alias("g"), "closure").select("g.*", "closure")
-    n = F.count("closure")
-    return each.groupBy("dim", "value").agg(n.alias("samples"), stats.rate(stats.count_where(F.col("closure") > 0), n).alias("toward_rate"))
-
-
 _PRE = f"""WITH {TICKS}, p AS (SELECT a.id, a.cents, (SELECT arg_min(b.cents, (b.t, b.id)) FROM ticks b WHERE b.key = a.key AND b.t <= a.t AND b.t >= a.t - {600 * asof.MINUTE}) AS first_cents FROM ticks a)"""
 
 
@@ -257,26 +247,6 @@ def cost_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), *[stats.count_where(c).alias(k) for k, c in each.items()])
 
 
-_POLICIES = {"all": "true", "exclude_errors": "type <> 'error'", "small_only": "cents < 1000", "follows_move": "coalesce(relation = 'follows_move', false)", "exclude_sharp": "NOT coalesce(abs(pre_move) >= 3000, false)", "require_calm": "pre_move IS NOT NULL AND abs(pre_move) < 3000"}
-
-
-@query(_FOLLOW + f""", pm AS (SELECT a.id, a.cents - (SELECT arg_min(b.cents, (b.t, b.id)) FROM ticks b WHERE b.key = a.key AND b.t <= a.t AND b.t >= a.t - {600 * asof.MINUTE}) AS pre_move FROM ticks a),
-x AS (SELECT f.id, f.key, f.type, f.cents, nullif(pm.pre_move, 0) AS pre_move, {_CLOSURE} AS closure, CASE WHEN pm.pre_move = 0 THEN 'no_pre_move' WHEN f.cents = 5000 THEN 'no_gap' WHEN (5000 - f.cents > 0) <> (pm.pre_move > 0) THEN 'opposes_move' ELSE 'follows_move' END AS relation FROM f JOIN pm USING (id)),
-e AS (SELECT unnest([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _POLICIES.items())}]) AS policy, key, closure FROM x),
-k AS (SELECT policy, key, count(*) AS n, count(closure) AS samples, count(*) FILTER (WHERE closure > 0) AS toward FROM e WHERE policy IS NOT NULL GROUP BY 1, 2)
-SELECT policy, CAST(sum(n) AS BIGINT) AS n, CAST(sum(samples) AS BIGINT) AS samples, sum(toward)::DOUBLE / nullif(sum(samples), 0) AS toward_rate, sum(n)::DOUBLE / (SELECT count(*) FROM ticks) AS survival, max(n)::DOUBLE / sum(n) AS key_share FROM k GROUP BY 1""")
-def shadow_policies(spark: SparkSession, d: str) -> DataFrame:
-    """Every policy on the same rows, its survival and its concentration in one key."""
-    first = asof.first_in_lookback("cents", "key", "t", "id", 600 * asof.MINUTE)
-    rows = closures(spark, d).withColumn("move", F.col("cents") - first)
-    rows = rows.withColumn("relation", L.gap_relation((F.lit(5000) - F.col("cents")).cast("double"), F.col("move").cast("double"))).withColumn("pre_move", F.nullif("move", F.lit(0)))
-    kept = rows.select(F.explode(L.reasons([(F.expr(c), n) for n, c in _POLICIES.items()])).alias("policy"), "key", "closure")
-    by_key = kept.groupBy("policy", "key").agg(F.count("*").alias("n"), F.count("closure").alias("samples"), stats.count_where(F.col("closure") > 0).alias("toward"))
-    out = by_key.groupBy("policy").agg(F.sum("n").alias("n"), F.sum("samples").alias("samples"), stats.rate(F.sum("toward"), F.sum("samples")).alias("toward_rate"), (F.max("n") / F.sum("n")).alias("key_share"))
-    total = ticks(spark, d).agg(F.count("*").alias("total"))
-    return out.join(F.broadcast(total)).select("policy", "n", "samples", "toward_rate", (F.col("n") / F.col("total")).alias("survival"), "key_share")
-
-
 @query(_FOLLOW + f""", c AS (SELECT key, {_CLOSURE} AS closure FROM f), k AS (SELECT key, count(closure) AS n, count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) AS rate FROM c GROUP BY 1)
 SELECT key, n, rate FROM k WHERE n >= 3 ORDER BY rate, key LIMIT 10""")
 def worst_series(spark: SparkSession, d: str) -> DataFrame:
