@@ -36,6 +36,19 @@ def last_within(rows: DataFrame, values: list[str], widths: dict[str, int], key:
     return out.select("_row.*", *widths)
 
 
+def carried(probes: DataFrame, at: str, ticks: DataFrame, values: list[str], name: str, ahead: bool = False, key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
+    """``probes`` with the last tick at or before time ``at`` (``ahead``: the first one at or after it) as a struct ``name`` of t and ``values``.
+
+    Of ticks of one time the highest id counts, ahead the lowest. Probes without a time get null.
+    """
+    side = 0 if not ahead else 1
+    a = probes.select(key, F.col(at).alias("_at"), F.lit(1 - side).alias("_side"), F.struct(*probes.columns).alias("_probe"))
+    b = ticks.select(key, F.col(t).alias("_at"), F.lit(side).alias("_side"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("t"), *values).alias("_tick"))
+    order = Window.partitionBy(key).orderBy("_at", "_side", "_tie")
+    found = F.first("_tick", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("_tick", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return a.unionByName(b, allowMissingColumns=True).withColumn("_found", found).where("_probe is not null").select("_probe.*", F.when(F.col("_at").isNotNull(), F.col("_found")).alias(name))
+
+
 def first_in_lookback(value: str, key: str, t: str, tie: str, width: int) -> Column:
     """The value of the first row in [t - width, t]; among rows of one time the lowest id."""
     return F.min_by(F.col(value), F.struct(t, tie)).over(backward(key, t, width))

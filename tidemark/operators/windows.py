@@ -28,12 +28,30 @@ def streak(rows: DataFrame, sign: str, most: int) -> DataFrame:
     return islands.withColumn("streak", F.when(F.col(sign) == 0, 0).otherwise(F.least(place, F.lit(most)))).drop("_break", "_island")
 
 
-def first_calm(rows: DataFrame, value: str, width: int, band: int) -> DataFrame:
-    """Per key the first row after which all values in [t, t + width] are within ``band`` of each other, by two rows at least."""
-    w = Window.partitionBy("key").orderBy("t").rangeBetween(0, width)
-    v = F.col(value)
-    calm = (F.count(v).over(w) >= 2) & (F.max(v).over(w) - F.min(v).over(w) <= band)
-    return rows.withColumn("_calm", calm).groupBy("key").agg(F.min(F.when(F.col("_calm"), F.col("t"))).alias("calm_from"), F.count("*").alias("n"))
+def flat_stretches(rows: DataFrame, value: str, width: int, band: int) -> DataFrame:
+    """Rows from which on, in [t, t + width], every known value lies within ``band`` of the row's own, by two rows at least; ``end`` is t + width."""
+    w, v = Window.partitionBy("key").orderBy("t").rangeBetween(0, width), F.col(value)
+    flat = (F.count(v).over(w) >= 2) & (F.max(v).over(w) - v <= band) & (v - F.min(v).over(w) <= band)
+    return rows.withColumn("_flat", flat).where("_flat").drop("_flat").withColumn("end", F.col("t") + width)
+
+
+def equal_stretches(rows: DataFrame, value: str, width: int) -> DataFrame:
+    """Rows from which on, in [t, t + width], every value is known and equal, by two rows at least; ``end`` is t + width."""
+    w, v = Window.partitionBy("key").orderBy("t").rangeBetween(0, width), F.col(value)
+    equal = (F.count("*").over(w) >= 2) & (F.count(v).over(w) == F.count("*").over(w)) & (F.max(v).over(w) == F.min(v).over(w))
+    return rows.withColumn("_equal", equal).where("_equal").drop("_equal").withColumn("end", F.col("t") + width)
+
+
+def within_wait(anchors: DataFrame, ticks: DataFrame, wait: int) -> DataFrame:
+    """Pairs of an anchor (key, anchor, start, ...) and each tick (key, t, ...) in (start, start + wait].
+
+    They meet by key and stretch of time, so a key's rows spread over tasks and only rows of two
+    neighbouring stretches are held against each other.
+    """
+    part = F.floor(F.col("start") / wait)
+    left = anchors.withColumn("_part", F.explode(F.array(part, part + 1)))
+    right = ticks.withColumn("_part", F.floor(F.col("t") / wait))
+    return left.join(right, ["key", "_part"]).where((F.col("t") > F.col("start")) & (F.col("t") <= F.col("start") + wait)).drop("_part")
 
 
 def cooldown(rows: DataFrame, keys: list[str], seconds: float) -> DataFrame:

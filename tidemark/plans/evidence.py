@@ -32,28 +32,6 @@ def quote_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", L.quote_quality(bid, ask).alias("quality"))
 
 
-_POLICY_WAITS = {"at_signal": 0, "after_5m": 5, "after_15m": 15, "after_60m": 60, "after_1d": 1440}
-
-
-@query(f"""WITH {TICKS}, p AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {m * asof.MINUTE})" for n, m in _POLICY_WAITS.items())}) v(policy, wait)), a AS (SELECT key, id, t FROM ticks WHERE type = 'signup'),
-b AS (SELECT a.id, policy, max(CASE WHEN x.t <= a.t + wait THEN (x.t, x.id, x.cents) END) AS s, max(CASE WHEN x.t > a.t + wait AND x.t <= a.t + wait + {1440 * asof.MINUTE} THEN (x.t, x.id, x.cents) END) AS e FROM a, p, ticks x WHERE x.key = a.key AND x.t <= a.t + wait + {1440 * asof.MINUTE} GROUP BY 1, 2)
-SELECT policy, count(*) AS n, CAST(count(*) FILTER (WHERE e IS NULL) AS BIGINT) AS lost, CAST(count(*) FILTER (WHERE e[3] > s[3]) AS BIGINT) AS up, CAST(count(*) FILTER (WHERE e[3] <= s[3]) AS BIGINT) AS not_up FROM b GROUP BY 1""")
-def timing_policies(spark: SparkSession, d: str) -> DataFrame:
-    """Every anchor measured anew at each policy's time, a day ahead; what can't be measured is counted as lost.
-
-    The policies are a small fixed list, exploded onto the anchors; both lookups are as-of streams.
-    """
-    t = ticks(spark, d)
-    waits = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(m * asof.MINUTE).alias("wait")) for n, m in _POLICY_WAITS.items()])).alias("p")
-    anchors = t.where("type = 'signup'").select("key", "id", "t", waits).select("key", "id", (F.col("t") + F.col("p.wait")).alias("t"), "p.policy")
-    start = asof.asof_backward(anchors, t, "key", "t", "id", "cents", 1 << 62).select("key", "id", "t", "policy", F.col("asof_value").alias("s"))
-    day = 1440 * asof.MINUTE
-    later = start.withColumn("t", F.col("t") + day)
-    end = asof.asof_backward(later, t, "key", "t", "id", "cents", day - 1)
-    e = F.col("asof_value")
-    return end.groupBy("policy").agg(F.count("*").alias("n"), stats.count_where(e.isNull()).alias("lost"), stats.count_where(e > F.col("s")).alias("up"), stats.count_where(e <= F.col("s")).alias("not_up"))
-
-
 _GATES = {"enough": "samples >= 12", "toward": "coalesce(toward_rate >= 0.5, false)", "not_away": "coalesce(away_rate < 0.5, false)", "spread_keys": "keys >= 10"}
 
 

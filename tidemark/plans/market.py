@@ -192,13 +192,6 @@ def streak_persistence(spark: SparkSession, d: str) -> DataFrame:
     return windows.streak(t, "sg", 21).select("id", F.col("streak").cast("long").alias("streak"))
 
 
-@query(f"""WITH {TICKS}, c AS (SELECT key, t, count(*) OVER w >= 2 AND max(cents) OVER w - min(cents) OVER w <= 1500 AS calm FROM ticks WINDOW w AS (PARTITION BY key ORDER BY t RANGE BETWEEN CURRENT ROW AND {_DAY} FOLLOWING))
-SELECT key, min(t) FILTER (WHERE calm) AS calm_from, count(*) AS n FROM c GROUP BY 1""")
-def first_calm(spark: SparkSession, d: str) -> DataFrame:
-    """When each key's values first stay within a band for a day."""
-    return windows.first_calm(ticks(spark, d), "cents", _DAY, 1500)
-
-
 @query(f"""WITH {TICKS}, c AS (SELECT type, count(*) OVER (PARTITION BY type ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS k FROM ticks) SELECT type, max(k) AS peak, count(*) AS n FROM c GROUP BY 1""")
 def rolling_peak_1h(spark: SparkSession, d: str) -> DataFrame:
     """The most events of a type in any hour."""
