@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tidemark.llm import secrets
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -71,7 +73,12 @@ def masked(text, mask="[secret]"):
     return out + text[at:]
 
 
-def test_redaction(spark, odd, odd_rows):
+@pytest.mark.parametrize("most", [0, secrets.BROADCAST_SPANS])
+def test_redaction(spark, odd, odd_rows, empty, most, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", most)
+    assert secrets.redact(empty).count() == 0
+    odd_ids = spark.createDataFrame([(None, "token=abcdefgh"), (1, "token=abcdefgh"), (1, "token=abcdefgh"), (1, None)], "doc_id long, text string")
+    assert sorted(r["text"] or "" for r in secrets.redact(odd_ids).collect()) == ["", *["[secret]"] * 3]
     rows = random_rows()
     df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}

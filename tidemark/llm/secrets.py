@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -33,6 +35,8 @@ WEAK = (
 )
 #: Parts lie in one scope when their starts are at most so many code points apart.
 SCOPE = 256
+#: Spans, and four more a document, that are broadcast to the texts they mask (16 bytes each, about).
+BROADCAST_SPANS = 1_000_000
 IDENTIFIERS, SECRETS = ("access", "id"), ("assign", "hex", "key")
 
 
@@ -101,10 +105,15 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans become one mask, other columns stay.
 
-    n_chars follows the new text, where there is such a column. Null texts stay null.
+    n_chars follows the new text, where there is such a column. Null texts stay null, rows without a
+    doc_id and repeated rows are masked each, an empty table gives no rows, further columns stay as
+    they are. The spans are written first: as long as they are few (BROADCAST_SPANS) they go to the
+    texts, beyond that the texts are shuffled to them.
     """
     spans = find_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
-    spans = spans.dropDuplicates(["_doc_id", "_text_key"])
+    spans = written(spans.dropDuplicates(["_doc_id", "_text_key"]), "spans")
+    if (spans.agg(F.sum(F.size("_spans") + 4)).first()[0] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     step = lambda acc, s: F.struct(
         F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(mask))).otherwise("")).alias("out"),
         F.greatest(acc["at"], s["end"].cast("int")).alias("at"),
