@@ -215,3 +215,16 @@ def test_retention_tiers(spark):
 def test_upsert(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert {(r["k"], r["v"]) for r in buckets.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_cohorts_refuse_other_modes(spark):
+    rows = spark.createDataFrame([("LIVE", 1), ("BACKFILL", 2)], "mode string, x int")
+    parts = dedupe.by_mode(rows)
+    assert {m: [r["x"] for r in dedupe.cohort(p, m).collect()] for m, p in parts.items()} == {"LIVE": [1], "BACKFILL": [2], "PULLED": [], "UNKNOWN": []}
+    mixed = [rows, rows.where("mode = 'BACKFILL'"), spark.createDataFrame([(None, 1)], "mode string, x int")]
+    for bad in [*[dedupe.cohort(m, "LIVE") for m in mixed], dedupe.by_mode(mixed[2])["LIVE"], dedupe.by_mode(mixed[0].withColumn("mode", F.lit("other")))["LIVE"]]:
+        with pytest.raises(Exception, match="mode"):
+            bad.collect()
+    assert dedupe.permits("LIVE", dedupe.TIMING)
+    assert not dedupe.permits("BACKFILL", dedupe.TIMING)
+    assert dedupe.permits("BACKFILL", "SOURCE_REPUTATION")

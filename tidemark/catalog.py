@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evidence, forecasting, market, policies, records, timing
+from .plans import evidence, forecasting, market, policies, records, states, timing
 from .plans.registry import QUERIES, SQL, Query
 
-__all__ = ["evidence", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "timing"]
+__all__ = ["evidence", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "states", "timing"]
 
 
 def queries() -> dict[str, Query]:

@@ -38,3 +38,14 @@ def hour_coverage(ticks: DataFrame, buckets: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` in place of those of ``old`` with the same keys; new keys are added. ``new`` has one row per key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def ohlc_known(rows: DataFrame, seconds: int, value: str, others: list[str]) -> DataFrame:
+    """Buckets of a value that may be null: open, high, low and close of the known ones, and of each other column its last known value, least, largest and mean."""
+    def ends(v: str) -> Column:
+        return F.when(F.col(v).isNotNull(), F.struct("t", "id"))
+
+    aggregates = [F.count("*").alias("n"), F.min_by(value, ends(value)).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, ends(value)).alias("close")]
+    for v in others:
+        aggregates += [F.max_by(v, ends(v)).alias(f"last_{v}"), F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), F.round(F.avg(v), 4).alias(f"avg_{v}")]
+    return rows.groupBy("key", bucket_start(F.col("t"), seconds).alias("bucket")).agg(*aggregates)

@@ -26,7 +26,22 @@ def verdicts(artifacts: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("_again", "_was", "_spread")
 
 
-def pure_cohort(rows: DataFrame, mode: str, column: str = "mode") -> DataFrame:
-    """The rows of one delivery mode, with an assertion that goes with the data, so that a mixed cohort fails where it is read."""
-    kept = rows.where(F.col(column) == mode)
-    return kept.where(F.assert_true(F.col(column) == mode, f"delivery modes are mixed: not {mode}").isNull())
+# How an artifact came to us, and what its cohort may be used for.
+MODES = ("LIVE", "BACKFILL", "PULLED", "UNKNOWN")
+TIMING = "LATENCY_LEAD_LAG"
+
+
+def cohort(rows: DataFrame, mode: str, column: str = "mode") -> DataFrame:
+    """``rows`` as the cohort of one mode. It filters nothing: a row of another mode, or of none, fails the job that reads it."""
+    return rows.where(F.assert_true(F.coalesce(F.col(column) == mode, F.lit(False)), f"a cohort of {mode} was given rows of another mode or of none").isNull())
+
+
+def by_mode(rows: DataFrame, column: str = "mode") -> dict[str, DataFrame]:
+    """The rows of each mode; a row whose mode is missing or not among MODES fails whichever of them is read."""
+    known = F.when(F.coalesce(F.col(column).isin(*MODES), F.lit(False)), F.col(column)).otherwise(F.raise_error(F.lit("a row has no known mode")))
+    return {mode: rows.where(known == mode) for mode in MODES}  # the check is part of the condition, so none can come before it
+
+
+def permits(mode: str, purpose: str) -> bool:
+    """Whether a cohort of ``mode`` may be used for ``purpose``: only live rows tell when something could be known."""
+    return mode == MODES[0] or purpose != TIMING

@@ -72,19 +72,6 @@ def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("family", "value").agg(F.count("*").alias("n"), (F.sum(F.col("e") * F.col("e")) / F.lit(1e6) / F.count("*")).alias("brier"), (F.sum(F.abs("e")) / F.lit(1000.0) / F.count("*")).alias("absolute_error"))
 
 
-@query("""WITH o AS (SELECT CAST(year(o_orderdate) AS INT) AS period, count(*) AS n, sum((o_orderstatus = 'F')::INT) AS y FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS m FROM o),
-s AS (SELECT sum(y) FILTER (WHERE i <= m // 2)::DOUBLE / sum(n) FILTER (WHERE i <= m // 2) AS early, sum(y) FILTER (WHERE i > m // 2)::DOUBLE / sum(n) FILTER (WHERE i > m // 2) AS late, CAST(sum(n) FILTER (WHERE i <= m // 2) AS BIGINT) AS n_early, CAST(sum(n) FILTER (WHERE i > m // 2) AS BIGINT) AS n_late FROM k)
-SELECT early, late, n_early, n_late, CASE WHEN n_early < 15 OR n_late < 15 THEN 'insufficient' WHEN late - early > 0.02 THEN 'worsening' WHEN early - late > 0.02 THEN 'improving' ELSE 'stable' END AS trend FROM s""")
-def period_trend(spark: SparkSession, d: str) -> DataFrame:
-    """The early half of the periods against the late half."""
-    by = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("period")).agg(F.count("*").alias("n"), stats.count_where(F.col("o_orderstatus") == "F").alias("y"))
-    every = Window.orderBy("period")
-    halves = by.withColumn("early", F.row_number().over(every) <= F.floor(F.count("*").over(Window.partitionBy()) / 2))
-    part = lambda c, early: F.sum(F.when(F.col("early") == early, F.col(c)))
-    out = halves.agg((part("y", True) / part("n", True)).alias("early_"), (part("y", False) / part("n", False)).alias("late"), part("n", True).alias("n_early"), part("n", False).alias("n_late")).withColumnRenamed("early_", "early")
-    return out.withColumn("trend", C.trend(out, 15, 0.02))
-
-
 _OUTCOMES = "o AS (SELECT d.lang, d.source, CASE WHEN l.doc_id IS NULL THEN NULL ELSE l.quality = 1 END AS good FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
@@ -141,27 +128,6 @@ def funnel(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count("*").alias("population"), *out)
 
 
-@query(f"""WITH {FORECASTS}, s AS (SELECT id, lang, p, 1000 - p AS q, y FROM forecasts), e AS (SELECT lang, (p - 1000 * y) * (p - 1000 * y) AS a, (q - 1000 * y) * (q - 1000 * y) AS b FROM s)
-SELECT lang, count(*) AS n, sum(b - a)::DOUBLE / 1000000 / count(*) AS mean_delta, CAST(count(*) FILTER (WHERE a < b) AS BIGINT) AS wins, CAST(count(*) FILTER (WHERE a > b) AS BIGINT) AS losses, CAST(count(*) FILTER (WHERE a = b) AS BIGINT) AS ties, CASE WHEN count(*) < 30 THEN 'insufficient_sample' WHEN count(*) < 100 THEN 'early_signal' WHEN count(*) < 300 THEN 'useful_sample' ELSE 'stronger_sample' END AS label FROM e GROUP BY 1""")
-def champion_challenger(spark: SparkSession, d: str) -> DataFrame:
-    """Two sides' errors on the same outcomes, joined by id."""
-    f = forecasts(spark, d)
-    champion, challenger = f.select("id", "lang", "y", "p"), f.select("id", (1000 - F.col("p")).alias("q"))
-    square = lambda c: (F.col(c) - 1000 * F.col("y")) * (F.col(c) - 1000 * F.col("y"))
-    e = champion.join(challenger, "id").select("lang", square("p").alias("a"), square("q").alias("b"))
-    return e.groupBy("lang").agg(
-        F.count("*").alias("n"), (F.sum(F.col("b") - F.col("a")) / F.lit(1e6) / F.count("*")).alias("mean_delta"), stats.count_where(F.col("a") < F.col("b")).alias("wins"),
-        stats.count_where(F.col("a") > F.col("b")).alias("losses"), stats.count_where(F.col("a") == F.col("b")).alias("ties"), L.sample_label(F.count("*")).alias("label"),
-    )
-
-
-@query(f"""WITH {FORECASTS} SELECT id, CASE WHEN toxic IS NULL THEN 'pending' WHEN toxic = 1 AND y = 1 THEN 'contradictory' WHEN p = 0 OR p = 1000 THEN 'unscorable' ELSE 'scored' END AS state, CASE WHEN p IS NULL THEN 'unknown' WHEN p < 250 THEN 'low' WHEN p < 500 THEN 'medium' WHEN p < 750 THEN 'high' ELSE 'severe' END AS level FROM forecasts""")
-def outcome_states(spark: SparkSession, d: str) -> DataFrame:
-    """The first state that fits, and the risk level."""
-    state = L.first_reason([(F.col("toxic").isNull(), "pending"), ((F.col("toxic") == 1) & (F.col("y") == 1), "contradictory"), (F.col("p").isin(0, 1000), "unscorable")], "scored")
-    return forecasts(spark, d).select("id", state.alias("state"), L.risk_level(F.col("p") / 1000.0).alias("level"))
-
-
 @query(f"""WITH {FORECASTS}, c AS (SELECT id, CASE WHEN y = 1 THEN p / 1000.0::DOUBLE END AS a, CASE WHEN toxic = 1 THEN 0.9::DOUBLE END AS b, (id % 7) / 7.0::DOUBLE AS c FROM forecasts),
 m AS (SELECT id, b, (coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3 + c * 0.2) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5::DOUBLE END + CASE WHEN b IS NULL THEN 0 ELSE 0.3::DOUBLE END + 0.2::DOUBLE) AS score FROM c)
 SELECT id, round(CASE WHEN b >= 0.9 THEN greatest(score, 0.75) ELSE score END, 9) AS score FROM m""")

@@ -97,12 +97,6 @@ def content_dedupe_verdict(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.verdicts(rows).select("id", "content", "verdict")
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1")
-def pure_cohort(spark: SparkSession, d: str) -> DataFrame:
-    """One mode's rows, asserted to be of that mode."""
-    return dedupe.pure_cohort(table(spark, d, "documents").select("source", F.col("lang").alias("mode")), "en").groupBy("source").agg(F.count("*").alias("n"))
-
-
 @query("""WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN turn + 1 WHEN turn % 7 = 6 THEN turn - 2 WHEN turn % 11 = 9 THEN NULL ELSE turn END AS seq FROM conversations), l AS (SELECT *, max(seq) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_seq FROM f)
 SELECT conv_id, turn, last_seq, CASE WHEN seq IS NULL THEN 'missing' WHEN last_seq IS NULL THEN 'ok' WHEN seq = last_seq THEN 'duplicate' WHEN seq < last_seq THEN 'regression' WHEN seq > last_seq + 1 THEN 'gap' ELSE 'ok' END AS verdict FROM l""")
 def sequence_audit(spark: SparkSession, d: str) -> DataFrame:
