@@ -124,6 +124,15 @@ def test_near_dedup_odd_rows(odd, odd_rows, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_contracted_links_join_the_same_rows(spark):
+    rng = random.Random(9)
+    star = {(rng.randrange(50, 400), rng.randrange(60)) for _ in range(500)} | {(5, 7), (7, 5), (9, 5)}
+    star = {(a, b) for a, b in star if a != b}
+    df = spark.createDataFrame(sorted(star), "a long, b long")
+    small = near_dedup._contracted(df)
+    assert {tuple(r) for r in components.connected_components(small).collect()} == {tuple(r) for r in components.connected_components(df).collect()}
+
+
 def test_sketch_estimates_high_similarities():
     rng = np.random.default_rng(1)
     errors, missed = [], 0

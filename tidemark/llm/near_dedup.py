@@ -296,14 +296,24 @@ def _families(members: DataFrame, classes: DataFrame, percent: int, limit: int)
     A bucket's members are compared with its smallest and largest one; then, where that has not made
     one component of them, with one another in blocks.
     """
-    star = members.select("cid", F.explode(F.array("lo", "hi")).alias("hub")).where("cid != hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    star = written(_passing(star, classes, percent, limit), "near")
+    star = members.select(F.col("cid").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    star = written(_contracted(_passing(star, classes, percent, limit)), "near")
     components = connected_components(star).withColumnRenamed("node", "cid")
     named = members.select(F.col("band").alias("key"), "cid").join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     dealt = _dealt(written(named, "buckets"), F.lit(1), BLOCK).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
     return connected_components(star.union(_linked(dealt.select(_columns(_GROUP)), limit, percent, False)))
 
 
+def _contracted(star: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same classes as ``star`` (a, hub b): each member with its smallest hub, and that one with the member's others.
+
+    A member has two hubs a band at most; members of one family share them, so links between hubs are few.
+    """
+    by = star.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("hubs"))
+    hubs = by.select(F.col("least").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
+    return by.select("a", F.col("least").alias("b")).union(hubs)
+
+
 def _columns(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
