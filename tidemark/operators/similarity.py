@@ -11,9 +11,11 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """For each left row (id, tokens, domain) the right row with the highest Jaccard similarity of at least ``floor``.
 
     Prefix filter: with tokens in one global order, rare ones first, two sets of similarity s or more
-    share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded, so a
-    word that is everywhere joins nothing; and sizes must let the pair reach s. Domains must agree where both have one; ties go
-    to the smaller right id. Rows without tokens have no partner.
+    share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded; sizes must let the
+    pair reach s, and so must what both sets have left from a shared token on, which drops most pairs that
+    meet on common words (they come last). At a low floor the prefix is long, and a common word still
+    brings its rows to one task, unless Spark splits the skewed partition. Domains must agree where both
+    have one; ties go to the smaller right id. Rows without tokens have no partner.
     """
     both = left.select("tokens").unionByName(right.select("tokens"))
     rank = both.select(F.explode("tokens").alias("token")).groupBy("token").count()
@@ -22,9 +24,11 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
         n = F.size("tokens")
         each = side.select(F.col("id").alias(name), n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
         place = F.row_number().over(Window.partitionBy(name).orderBy("count", "token"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("place")).alias(f"rest_{name}"))
 
     fits = F.least("n_l", "n_r") >= F.lit(floor) * F.greatest("n_l", "n_r") - F.lit(1e-9)
+    needed = F.lit(floor / (1 + floor)) * (F.col("n_l") + F.col("n_r")) - F.lit(1e-9)
+    fits = fits & (1 + F.least("rest_l", "rest_r") >= needed)
     pairs = prefixes(left, "l").join(prefixes(right, "r"), "token").where(fits).select("l", "r").distinct()
     named = pairs.join(left.select(F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("domain").alias("ld")), "l").join(right.select(F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("domain").alias("rd")), "r")
     shared = F.size(F.array_intersect("lt", "rt"))

@@ -76,7 +76,7 @@ def offset_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TICKS} SELECT t - t % 21600000000 AS bucket, count(*) AS n, count(DISTINCT key) AS keys, CAST(count(*) FILTER (WHERE type = 'error') AS BIGINT) AS errors, max(cents) AS worst, CASE WHEN count(*) < 20 THEN 'thin' WHEN count(*) FILTER (WHERE type = 'error') * 5 > count(*) THEN 'degraded' ELSE 'ok' END AS state FROM ticks GROUP BY 1""")
 def interval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counters per interval and what they say."""
+    """Counters per interval and what they say."""
     errors = stats.count_where(F.col("type") == "error")
     return ticks(spark, d).groupBy(buckets.bucket_start(F.col("t"), 21_600).alias("bucket")).agg(
         F.count("*").alias("n"), F.count_distinct("key").alias("keys"), errors.alias("errors"), F.max("cents").alias("worst"),
@@ -88,7 +88,7 @@ def interval_metrics(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, round(greatest(0.02, least(0.98, coalesce(mid, 0.5))), 9) AS estimate, round(least(CASE WHEN gap THEN 0.40 ELSE 0.75 END, 0.30 + CASE WHEN lang = 'en' THEN 0.10 ELSE 0 END + CASE WHEN y = 1 THEN 0.05 ELSE 0 END + CASE WHEN mid IS NOT NULL THEN 0.05 ELSE 0 END), 9) AS confidence,
 round(greatest(0.02, least(0.98, coalesce(mid, 0.5) + greatest(-0.1, least(0.1, (id % 11 - 5) * 0.04)))), 9) AS shifted FROM e""")
 def baseline_forecast(spark: SparkSession, d: str) -> DataFrame:
-    """A clamped midpoint or one half, confidence by evidence under a cap, and a capped shift from the prior."""
+    """G1; of G2 the capped shift: a clamped midpoint or one half, confidence by evidence under a cap, and a capped shift from the prior."""
     f = forecasts(spark, d)
     mid = F.when(F.col("p") % 10 != 0, F.col("p") / 1000.0)
     add = lambda c, x: F.when(c, x).otherwise(0.0)
@@ -101,7 +101,7 @@ def baseline_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN p_name = '' THEN 'none' WHEN regexp_matches(p_name, '[0-9]+') THEN 'numbered' ELSE 'named' END AS kind, TRY_CAST(nullif(regexp_extract(p_name, '([0-9]+)', 1), '') AS BIGINT) AS line, regexp_extract(p_brand, '#([0-9])', 1) AS side FROM part""")
 def market_spec(spark: SparkSession, d: str) -> DataFrame:
-    """Kind, line and side of a market from its name."""
+    """Of G3 a plain form: kind, line and side of a market from its name."""
     kind = F.when(F.col("p_name") == "", "none").when(F.col("p_name").rlike("[0-9]+"), "numbered").otherwise("named")
     line = F.nullif(F.regexp_extract("p_name", "([0-9]+)", 1), F.lit("")).cast("long")
     return table(spark, d, "part").select("p_partkey", kind.alias("kind"), line.alias("line"), F.regexp_extract("p_brand", "#([0-9])", 1).alias("side"))
@@ -141,7 +141,7 @@ def merged_flags(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT key, CASE WHEN top > 9000 THEN 0.9 WHEN top > 5000 THEN 0.5 ELSE 0.1 END::DOUBLE AS structure, least(1.0, n / 100.0)::DOUBLE AS velocity, kinds / 5.0::DOUBLE AS coverage, errors::DOUBLE / n AS audit FROM k)
 SELECT key, round(0.4 * structure + 0.3 * velocity + 0.2 * coverage + 0.1 * (1 - audit), 9) AS composite, CASE WHEN audit > 0.3 THEN 'blocked_by_audit' WHEN coverage < 0.6 THEN 'thin_coverage' WHEN structure >= 0.9 THEN 'review' ELSE 'watch' END AS reading FROM s""")
 def diagnostic_agents(spark: SparkSession, d: str) -> DataFrame:
-    """Several readings of one wide row per key, and their composite; the audit has the first word."""
+    """Of P26 one score per agent kind: several readings of one wide row per key, and their composite; the audit has the first word."""
     k = ticks(spark, d).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("type").alias("kinds"), F.max("cents").alias("top"), stats.count_where(F.col("type") == "error").alias("errors"))
     structure = F.when(F.col("top") > 9000, 0.9).when(F.col("top") > 5000, 0.5).otherwise(0.1)
     velocity, coverage, audit = F.least(F.lit(1.0), F.col("n") / 100.0), F.col("kinds") / 5.0, F.col("errors") / F.col("n")
@@ -153,7 +153,7 @@ def diagnostic_agents(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT l_suppkey AS token, l_orderkey AS pair, sum(CAST(l_quantity AS BIGINT)) AS liquidity, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2)
 SELECT token, arg_max(pair, (liquidity, -pair)) AS most_liquid, arg_max(pair, (seen, -pair)) AS most_recent, min(pair) AS first_known, arg_max(pair, (liquidity, -pair)) = arg_max(pair, (seen, -pair)) AS policies_agree FROM p GROUP BY 1""")
 def pair_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The pair that each policy picks for a token, in one aggregation."""
+    """Of P29 the selection: the pair that each policy picks for a token, in one aggregation."""
     p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("token"), F.col("l_orderkey").alias("pair")).agg(F.sum(F.col("l_quantity").cast("long")).alias("liquidity"), F.max("l_shipdate").alias("seen"))
     liquid, recent = F.max_by("pair", F.struct("liquidity", -F.col("pair"))), F.max_by("pair", F.struct("seen", -F.col("pair")))
     return p.groupBy("token").agg(liquid.alias("most_liquid"), recent.alias("most_recent"), F.min("pair").alias("first_known"), (liquid == recent).alias("policies_agree"))

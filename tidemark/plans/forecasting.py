@@ -65,7 +65,7 @@ def cohort_reliability(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {FORECASTS}, x AS (SELECT unnest([{{'f': 'lang', 'v': lang}}, {{'f': 'toxic', 'v': CAST(toxic AS VARCHAR)}}, {{'f': 'band', 'v': CASE WHEN p < 500 THEN 'low' ELSE 'high' END}}]) AS tag, p, y FROM forecasts)
 SELECT tag.f AS family, tag.v AS value, count(*) AS n, sum((p - 1000 * y) * (p - 1000 * y))::DOUBLE / 1000000 / count(*) AS brier, sum(abs(p - 1000 * y))::DOUBLE / 1000 / count(*) AS absolute_error FROM x GROUP BY 1, 2""")
 def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Scores by each family of tags; a forecast counts in every family."""
+    """Scores by each family of tags; a forecast counts in every family."""
     tags = F.array(*[F.struct(F.lit(f).alias("family"), v.alias("value")) for f, v in (("lang", F.col("lang")), ("toxic", F.col("toxic").cast("string")), ("band", F.when(F.col("p") < 500, "low").otherwise("high")))])
     e = F.col("p") - 1000 * F.col("y")
     each = forecasts(spark, d).select(F.explode(tags).alias("tag"), e.alias("e")).select("tag.*", "e")

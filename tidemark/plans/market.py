@@ -96,7 +96,7 @@ SELECT type, count(*) AS n, count(closure) AS samples, CAST(count(*) FILTER (WHE
 CAST(count(*) FILTER (WHERE closure <= -0.25) AS BIGINT) AS away, CASE WHEN count(closure) < 12 THEN 'too_thin' WHEN count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) >= 0.55 THEN 'promising'
 WHEN count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) <= 0.35 THEN 'exclude' WHEN count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) < 0.45 THEN 'weak' ELSE 'neutral' END AS verdict FROM c GROUP BY 1""")
 def followthrough_summary(spark: SparkSession, d: str) -> DataFrame:
-    """How anchors of each type follow through."""
+    """How anchors of each type follow through."""
     n, toward = F.count("closure"), stats.count_where(F.col("closure") > 0)
     return closures(spark, d).groupBy("type").agg(
         F.count("*").alias("n"), n.alias("samples"), toward.alias("toward"), stats.rate(toward, n).alias("toward_rate"),
@@ -202,7 +202,7 @@ def rolling_peak_1h(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT id, unnest([CASE WHEN abs(cents - prev) >= 4000 THEN 'move' END, CASE WHEN prev < 1000 AND cents >= 1000 THEN 'band_entry' END, CASE WHEN (cents - 2500) * (prev - 2500) < 0 THEN 'crossing' END, CASE WHEN prev IS NULL THEN 'new_key' END]) AS signal FROM p)
 SELECT id, signal FROM s WHERE signal IS NOT NULL""")
 def signal_detectors(spark: SparkSession, d: str) -> DataFrame:
-    """What a tick sets off against the one before it; one row per signal."""
+    """Of W3 four detectors: what a tick sets off against the one before it; one row per signal."""
     t = ticks(spark, d).withColumn("prev", F.lag("cents").over(Window.partitionBy("key").orderBy("t", "id")))
     c, p = F.col("cents"), F.col("prev")
     found = L.reasons([(F.abs(c - p) >= 4000, "move"), ((p < 1000) & (c >= 1000), "band_entry"), ((c - 2500) * (p - 2500) < 0, "crossing"), (p.isNull(), "new_key")])
@@ -259,7 +259,7 @@ def percentile_families(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TICKS}, h AS (SELECT type, t - lag(t) OVER (PARTITION BY key ORDER BY id) AS hop FROM ticks) SELECT type, count(*) AS n, CAST(count(*) FILTER (WHERE hop IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (WHERE hop < 0) AS BIGINT) AS negative, CASE WHEN count(hop) >= 20 THEN quantile_disc(hop, 0.5) END AS p50_us, CASE WHEN count(hop) >= 100 THEN quantile_disc(hop, 0.99) END AS p99_us FROM h GROUP BY 1""")
 def latency_envelope(spark: SparkSession, d: str) -> DataFrame:
-    """Hops between a user's events in order of id; negative ones are counted, not dropped."""
+    """Hops between a user's events in order of id; negative ones are counted, not dropped."""
     hop = F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("id"))
     return ticks(spark, d).withColumn("hop", hop).groupBy("type").agg(
         F.count("*").alias("n"), stats.count_where(F.col("hop").isNull()).alias("missing"), stats.count_where(F.col("hop") < 0).alias("negative"),

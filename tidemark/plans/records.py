@@ -36,7 +36,7 @@ def semi_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Rows without a partner; not written as NOT IN, whose nulls mean something else."""
+    """Rows without a partner; not written as NOT IN, whose nulls mean something else."""
     open_ = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey", "c_name").join(open_, "c_custkey", "left_anti")
 
@@ -62,7 +62,7 @@ def backlog_classification(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate, c_nationkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0)
 SELECT o_orderkey, CASE WHEN c_nationkey IS NULL THEN 'no_counterpart' WHEN c_nationkey >= 20 THEN 'wrong_scope' WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'too_early' ELSE 'joined' END AS verdict FROM s""")
 def gated_join(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence joined by identifier only, refusals named, the cheapest gate first."""
+    """J13, of J14 the gates: evidence joined by identifier only, refusals named, the cheapest gate first."""
     evidence = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(evidence, "o_custkey", "left")
     early = F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ'1993-01-01 00:00:00'")
@@ -76,7 +76,7 @@ _WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_repl
 s AS (SELECT p.id, b.id AS r, len(list_intersect(p.t, b.t))::DOUBLE / (len(p.t) + len(b.t) - len(list_intersect(p.t, b.t))) AS sim FROM p, b WHERE len(p.t) > 0 AND len(b.t) > 0)
 SELECT id, arg_max(r, (sim, -r)) AS partner, max(sim) AS similarity FROM s WHERE sim >= 0.2 GROUP BY 1""")
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's words against the items', by token similarity."""
+    """Of J12 the similarity: each document's words against the items', by token similarity."""
     left = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_tokens(F.col("text")).alias("tokens"), F.lit(None).cast("string").alias("domain"))
     right = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.title_tokens(F.col("text")).alias("tokens"), F.lit(None).cast("string").alias("domain"))
     return similarity.best_partner(left, right, 0.2)
@@ -137,7 +137,7 @@ def reconcile_accounts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT conv_id, turn, sha256(conv_id::VARCHAR || ':' || turn::VARCHAR || ':' || coalesce(text, '')) AS dg FROM conversations), c AS (SELECT *, CASE WHEN turn % 6 = 5 THEN 'x' ELSE lag(dg) OVER (PARTITION BY conv_id ORDER BY turn) END AS pv, lag(dg) OVER (PARTITION BY conv_id ORDER BY turn) AS bf FROM e)
 SELECT conv_id, count(*) AS n, min(turn) FILTER (WHERE CASE WHEN bf IS NULL THEN pv IS NOT NULL ELSE pv IS DISTINCT FROM bf END) AS first_broken FROM c GROUP BY 1""")
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as a chain of digests, some links broken."""
+    """R11, of G15 the links: turns as a chain of digests, some links broken."""
     digest = F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.coalesce("text", F.lit(""))), 256)
     rows = table(spark, d, "conversations").select("conv_id", "turn", digest.alias("digest"))
     before = F.lag("digest").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -334,7 +334,7 @@ def payload_capture(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 0 ELSE greatest(100 - least(45, 15 * ((regexp_matches(lower(text), '\\bidiot\\b'))::INT + (regexp_matches(lower(text), '\\bclown\\b'))::INT + (regexp_matches(lower(text), '\\bloser\\b'))::INT + (regexp_matches(lower(text), '\\bscum\\b'))::INT)) - CASE WHEN regexp_matches(lower(text), 'https?://|according to ') THEN 0 ELSE 25 END
 - CASE WHEN regexp_matches(lower(text), 'all of the following|in combination') OR len(string_split(lower(text), ' and ')) > 3 THEN 20 ELSE 0 END - CASE WHEN length(text) < 40 THEN 20 ELSE 0 END, 0) END AS points FROM documents""")
 def text_clarity(spark: SparkSession, d: str) -> DataFrame:
-    """Rule-based clarity of a text, in hundredths."""
+    """Of P7 a plain form: rule-based clarity of a text, in hundredths."""
     points = text.text_clarity(F.col("text"), ["idiot", "clown", "loser", "scum"], ["all of the following", "in combination"], "https?://|according to ")
     return table(spark, d, "documents").select("doc_id", points.alias("points"))
 
@@ -358,7 +358,7 @@ def canonical_payloads(spark: SparkSession, d: str) -> DataFrame:
 o AS (SELECT a.key, horizon, w, now, a.t, EXISTS (SELECT 1 FROM ticks b WHERE b.key = a.key AND b.t > a.t + w - w // 4 AND b.t <= a.t + w + w // 4) AS seen FROM a, h, e)
 SELECT horizon, CASE WHEN seen THEN 'observed' WHEN now < t + w + w // 4 THEN 'not_yet_due' ELSE 'permanently_missing' END AS cause, count(*) AS n FROM o GROUP BY 1, 2""")
 def observation_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Members and horizons by whether their band was observed, and why not."""
+    """Members and horizons by whether their band was observed, and why not."""
     from ..operators.asof import interval_semi
 
     t = ticks(spark, d)
