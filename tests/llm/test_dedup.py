@@ -1,15 +1,17 @@
 """Exact and near dedup, sharding, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import tempfile
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from tidemark.llm import components, exact_dedup, near_dedup, sharding
+from tidemark.llm import common, components, exact_dedup, near_dedup, sharding
 
 
 def normalised(text):
@@ -190,3 +192,33 @@ def test_sharding(odd, odd_rows, empty, spark):
     assert 250 < moved < 500  # a sixteenth
     with pytest.raises(ValueError):
         sharding.assign_shards(many, 3, weights=[1, 2])
+
+
+def brute_shard(key, shards):
+    def score(i):
+        u = (int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:15], 16) + 0.5) / 16.0**15
+        return 1.0 / -math.log(u)
+
+    return max(range(shards), key=lambda i: (score(i), -i))
+
+
+def test_sharding_against_brute_force(odd, odd_rows):
+    got = sorted(((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in sharding.assign_shards(odd, 16).collect()), key=str)
+    want = []
+    for d, t in odd_rows:
+        key, data = "null" if d is None else str(d), (t or "").encode()
+        want.append((d, len(data) + 1, zlib.crc32(data), "key", brute_shard(key, 16), brute_shard(key, 17)))
+    assert got == sorted(want, key=str)
+
+
+def test_shared_dir_of_a_session_without_one(spark, monkeypatch):
+    class Session:
+        def __init__(self, **conf):
+            self.conf = type("Conf", (), {"get": lambda _, name, default=None: conf.get(name, default)})()
+
+    local = common.shared_dir(Session(**{"spark.master": "local[2]", "spark.app.id": "a"}), "x")
+    assert local.startswith("file:///")
+    assert local.rsplit("/", 1)[0] == common.shared_dir(Session(**{"spark.master": "local[2]", "spark.app.id": "a"}), "y").rsplit("/", 1)[0]
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session(**{"spark.master": "spark://host:7077"}), "x")
+    assert common.shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://n/shared/"}), "x").startswith("hdfs://n/shared/x-")

@@ -267,3 +267,22 @@ def test_token_counts(odd, odd_rows, plain, empty):
     assert token_counts.attribute_tokens(empty).count() == 0
     with pytest.raises(ValueError):
         token_counts.attribute_tokens(odd, rule="no")
+
+
+def test_token_counts_per_section(odd, odd_rows):
+    coder, want = Tokenizer.from_file(PATH), defaultdict(int)
+    for k, (d, t) in enumerate(odd_rows):
+        t = t or ""
+        starts = [0, *(i + 1 for i, c in enumerate(t) if c == "\n" and i + 1 < len(t))]
+        ends, tokens = [*starts[1:], len(t)], [0] * len(starts)
+        for s, e in coder.encode(t, add_special_tokens=False).offsets:
+            held = [max(0, min(e, b) - max(s, a)) for a, b in zip(starts, ends, strict=True)]
+            if max(held) == 0:  # a token without characters: where it stands
+                held = [int(a <= s < b) for a, b in zip(starts, ends, strict=True)]
+            tokens[held.index(max(held))] += 1
+        for i, (a, b, n) in enumerate(zip(starts, ends, tokens, strict=True)):
+            want[d, i, a, b, n] += 1
+    got = defaultdict(int)
+    for r in token_counts.attribute_tokens(odd).collect():
+        got[r["doc_id"], r["section"], r["section_start"], r["section_end"], r["n_tokens"]] += 1
+    assert got == want
