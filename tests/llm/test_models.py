@@ -76,6 +76,23 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels)).count() == 0
 
 
+def test_scores_against_brute_force(spark, odd, odd_rows):
+    rows = toxic_corpus(800, 3)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    assert model.weights
+
+    def plain(text):
+        score = sum(model.weights.get(int(f), 0.0) for w in toxicity.words(text or "") for f in toxicity.features(w))
+        above = [1 / (1 + math.exp(-(score - c))) for c in model.cuts]
+        each = [1 - above[0], *(a - b for a, b in zip(above, above[1:], strict=False)), above[-1]]
+        return sum(above), each.index(max(each)), above[0], above[0] > toxicity.REJECT
+
+    for df, texts in ((docs, [(d, t) for d, t, _ in rows]), (odd, odd_rows)):
+        got = sorted(((r["doc_id"], round(r["severity"], 9), r["grade"], round(r["p_toxic"], 9), r["toxic"]) for r in toxicity.score_toxicity(df, model).collect()), key=str)
+        assert got == sorted(((d, round(s, 9), g, round(p, 9), x) for d, t in texts for s, g, p, x in [plain(t)]), key=str)
+
+
 def vectors(n, dim, seed, clusters=6):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(clusters, dim))

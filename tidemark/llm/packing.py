@@ -51,7 +51,10 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool) -> DataFrame:
-    """Each document's ids with the end id, cut into pieces of ``capacity`` and a rest."""
+    """Each document's ids with the end id, cut into pieces of ``capacity`` and a rest; of ``docs`` (doc_id, text, pack_group).
+
+    A null or empty text is one piece, the end id; repeated rows are cut each; an empty table gives no rows.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_blocks(batches, 1):

@@ -191,7 +191,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, reject: float = REJECT)
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, scored in place: no row is shuffled."""
+    """The rows of ``docs`` that the model does not reject, scored in place: no row is shuffled.
+
+    A null or empty text gets what the cuts alone say; rows without a doc_id and repeated rows are judged
+    each; an empty table gives no rows; all columns stay.
+    """
     put_on_path(docs.sparkSession)
     at = docs.columns.index("text")
 
