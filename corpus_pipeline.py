@@ -34,21 +34,22 @@ def _without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the first row by doc_id."""
+    """Of equal texts the first row by doc_id; null and empty texts are equal, rows without a doc_id come last. An empty table gives no rows."""
     return _without(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: the first by doc_id."""
+    """One row of each near-duplicate component: the first by doc_id, rows without one last; texts without words are kept. An empty table gives no rows."""
     return _without(docs, lambda rows: near_dedup(rows, percent=80))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked; null texts stay null, repeated rows and rows without a doc_id are masked each. An empty table gives no rows."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; a null or empty text is its end id, repeated rows are packed each. An empty table gives no rows."""
     return pack(docs)
 
 
