@@ -206,6 +206,29 @@ def test_similarity_against_all_pairs(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+def test_vetoed_partners_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    sets = [sorted({f"w{rng.randrange(20)}" for _ in range(rng.randrange(0, 9))}) for _ in range(80)]
+    rows = [(i, s, rng.choice(["a", "b", None]), (rng.choice(["x", "y", None]), rng.choice([1, 2, None]))) for i, s in enumerate(sets)]
+    frame = lambda x: spark.createDataFrame(x, "id long, tokens array<string>, domain string, facts struct<scope: string, line: int>")
+    vetoes = {"scope": lambda a, b: a["scope"] != b["scope"], "line": lambda a, b: a["line"] != b["line"]}
+    want = {}
+    for (i, s, d, f), (j, t, e, g) in itertools.product(rows[::2], rows[1::2]):
+        if not s or not t or (d and e and d != e):
+            continue
+        score = min(1.0, len({*s} & {*t}) / len({*s} | {*t}) + (0.05 if d and d == e else 0.0))
+        why = ",".join(n for n, x, y in zip(("scope", "line"), f, g, strict=True) if x is not None and y is not None and x != y)
+        if score >= 0.3:
+            want[i] = max(want.get(i, (False, 0.0, 0, "")), (not why, score, -j, why))
+    got = {r["id"]: (r["reasons"] == "", r["similarity"], -r["partner"], r["reasons"]) for r in similarity.best_partner(frame(rows[::2]), frame(rows[1::2]), 0.3, 0.05, vetoes).collect()}
+    assert got == want
+    assert {w[0] for w in want.values()} == {True, False}
+    assert similarity.best_partner(frame(rows[:0]), frame(rows), 0.3, 0.05, vetoes).count() == 0
+
+
 def test_retention_tiers(spark):
     rows = spark.sql("SELECT id, timestamp'2024-01-31 12:00:00' - make_interval(0, 0, 0, CAST(id AS INT)) AS at FROM range(40)")
     got = {r["id"]: r["tiers"] for r in retention.tiers(rows, "at", "id", 2, 2, 2).collect()}

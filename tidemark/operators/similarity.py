@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Whether the facts of a left and a right row rule each other out.
+Veto = Callable[[Column, Column], Column]
+
 
-def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+def best_partner(left: DataFrame, right: DataFrame, floor: float, bonus: float = 0.0, vetoes: dict[str, Veto] | None = None) -> DataFrame:
     """For each left row (id, tokens, domain) the right row with the highest Jaccard similarity of at least ``floor``.
 
+    A pair of one known domain gets ``bonus`` on top, 1 at most in all. With ``vetoes`` by name, both sides
+    have a column facts, and a right row that none of them rules out goes before any that one does; where
+    all are ruled out the most similar one is still returned. The column reasons names, in order and joined
+    by commas, what rules the partner out; a null fact rules out nothing.
+
     Prefix filter: with tokens in one global order, rare ones first, two sets of similarity s or more
     share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded; sizes must let the
     pair reach s, and so must what both sets have left from a shared token on, which drops most pairs that
@@ -17,6 +27,8 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     brings its rows to one task, unless Spark splits the skewed partition. Domains must agree where both
     have one; ties go to the smaller right id. Rows without tokens have no partner.
     """
+    vetoes, least = vetoes or {}, max(floor - bonus, 0.0)
+    facts = F.col("facts") if vetoes else F.lit(None)
     both = left.select("tokens").unionByName(right.select("tokens"))
     rank = both.select(F.explode("tokens").alias("token")).groupBy("token").count()
 
@@ -24,14 +36,18 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
         n = F.size("tokens")
         each = side.select(F.col("id").alias(name), n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
         place = F.row_number().over(Window.partitionBy(name).orderBy("count", "token"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("place")).alias(f"rest_{name}"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("place")).alias(f"rest_{name}"))
 
-    fits = F.least("n_l", "n_r") >= F.lit(floor) * F.greatest("n_l", "n_r") - F.lit(1e-9)
-    needed = F.lit(floor / (1 + floor)) * (F.col("n_l") + F.col("n_r")) - F.lit(1e-9)
+    fits = F.least("n_l", "n_r") >= F.lit(least) * F.greatest("n_l", "n_r") - F.lit(1e-9)
+    needed = F.lit(least / (1 + least)) * (F.col("n_l") + F.col("n_r")) - F.lit(1e-9)
     fits = fits & (1 + F.least("rest_l", "rest_r") >= needed)
     pairs = prefixes(left, "l").join(prefixes(right, "r"), "token").where(fits).select("l", "r").distinct()
-    named = pairs.join(left.select(F.col("id").alias("l"), F.col("tokens").alias("lt"), F.col("domain").alias("ld")), "l").join(right.select(F.col("id").alias("r"), F.col("tokens").alias("rt"), F.col("domain").alias("rd")), "r")
+    side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}t"), F.col("domain").alias(f"{x}d"), facts.alias(f"{x}f"))
+    named = pairs.join(side(left, "l"), "l").join(side(right, "r"), "r").where(F.coalesce(F.col("ld") == F.col("rd"), F.lit(True)))
     shared = F.size(F.array_intersect("lt", "rt"))
-    scored = named.where(F.coalesce(F.col("ld") == F.col("rd"), F.lit(True))).select("l", "r", (shared / (F.size("lt") + F.size("rt") - shared)).alias("similarity")).where(F.col("similarity") >= floor)
-    best = F.max_by(F.struct("r", "similarity"), F.struct("similarity", -F.col("r")))
-    return scored.groupBy("l").agg(best.alias("b")).select(F.col("l").alias("id"), F.col("b.r").alias("partner"), F.col("b.similarity").alias("similarity"))
+    similarity = shared / (F.size("lt") + F.size("rt") - shared) + F.when(F.col("ld") == F.col("rd"), F.lit(bonus)).otherwise(0.0)
+    reasons = F.concat_ws(",", *(F.when(ruled_out(F.col("lf"), F.col("rf")), name) for name, ruled_out in vetoes.items()))
+    scored = named.select("l", "r", F.least(F.lit(1.0), similarity).alias("similarity"), reasons.alias("reasons")).where(F.col("similarity") >= floor)
+    best = F.max_by(F.struct("r", "similarity", "reasons"), F.struct(F.col("reasons") == "", "similarity", -F.col("r")))
+    out = scored.groupBy("l").agg(best.alias("b")).select(F.col("l").alias("id"), F.col("b.r").alias("partner"), F.col("b.similarity").alias("similarity"), F.col("b.reasons").alias("reasons"))
+    return out if vetoes else out.drop("reasons")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,6 +82,35 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     return similarity.best_partner(left, right, 0.2)
 
 
+_LISTINGS = """listed AS (SELECT p_partkey, p_name, p_type, p_brand, p_size, split_part(p_name, ' ', 1) AS entity, CASE WHEN split_part(p_name, ' ', 2) IN ('ring', 'bolt') THEN 'hardware' WHEN split_part(p_name, ' ', 2) = 'widget' THEN 'goods' END AS domain FROM part),
+l AS (SELECT min(p_partkey) AS id, any_value(domain) AS domain, any_value(entity) AS entity, CASE p_type WHEN 'ECONOMY' THEN 'game' WHEN 'SMALL' THEN 'season' END AS scope, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 5 END AS line, p_name || ' ' || p_type AS title FROM listed GROUP BY p_name, p_type),
+r AS (SELECT min(p_partkey) AS id, any_value(domain) AS domain, any_value(entity) AS entity, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'game' WHEN p_brand LIKE 'Brand#2%' THEN 'season' END AS scope, CASE WHEN max(p_size) > 48 THEN 5 ELSE 7 END AS line, p_name || ' ' || p_brand AS title FROM listed GROUP BY p_name, p_brand)"""
+
+
+@query(f"""WITH {_LISTINGS}, lt AS (SELECT *, {_WORDS.format('title')} AS t FROM l), rt AS (SELECT *, {_WORDS.format('title')} AS t FROM r),
+s AS (SELECT lt.id, rt.id AS r, least(1.0::DOUBLE, len(list_intersect(lt.t, rt.t))::DOUBLE / (len(lt.t) + len(rt.t) - len(list_intersect(lt.t, rt.t))) + CASE WHEN lt.domain = rt.domain THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END) AS sim,
+concat_ws(',', CASE WHEN lt.scope <> rt.scope THEN 'scope_mismatch' END, CASE WHEN lt.line <> rt.line THEN 'threshold_mismatch' END, CASE WHEN lt.entity <> rt.entity THEN 'entity_mismatch' END) AS reasons
+FROM lt, rt WHERE coalesce(lt.domain = rt.domain, true) AND len(lt.t) > 0 AND len(rt.t) > 0)
+SELECT id, arg_max(r, (reasons = '', sim, -r)) AS partner, arg_max(sim, (reasons = '', sim, -r)) AS similarity, arg_max(reasons, (reasons = '', sim, -r)) AS reasons FROM s WHERE sim >= 0.2 GROUP BY 1""")
+def listing_partners(spark: SparkSession, d: str) -> DataFrame:
+    """Two catalogues' listings by title, with the gate and bonus of a domain; scope, line and entity rule partners out, and say so where none is left.
+
+    Listings of one title are one; so what meets grows with distinct titles, not with parts.
+    """
+    noun = F.split("p_name", " ")[1]
+    part = table(spark, d, "part").withColumn("entity", F.split("p_name", " ")[0]).withColumn("domain", F.when(noun.isin("ring", "bolt"), "hardware").when(noun == "widget", "goods"))
+
+    def side(key: str, scope: Column, line: Column) -> DataFrame:
+        listed = part.groupBy("p_name", key).agg(F.min("p_partkey").alias("id"), F.any_value("domain").alias("domain"), F.any_value("entity").alias("entity"), F.max("p_size").alias("size"))
+        return listed.select("id", "domain", text.title_tokens(F.concat_ws(" ", "p_name", key)).alias("tokens"), F.struct(scope.alias("scope"), line.alias("line"), "entity").alias("facts"))
+
+    kind, brand = F.col("p_type"), F.col("p_brand")
+    left = side("p_type", F.when(kind == "ECONOMY", "game").when(kind == "SMALL", "season"), F.when(kind.isin("ECONOMY", "STANDARD"), 5))
+    right = side("p_brand", F.when(brand.startswith("Brand#1"), "game").when(brand.startswith("Brand#2"), "season"), F.when(F.col("size") > 48, 5).otherwise(7))
+    vetoes = {f"{name}_mismatch": lambda a, b, fact=fact: a[fact] != b[fact] for name, fact in (("scope", "scope"), ("threshold", "line"), ("entity", "entity"))}
+    return similarity.best_partner(left, right, 0.2, 0.05, vetoes)
+
+
 _ARTIFACTS = """a AS (SELECT doc_id AS id, source || ':' || (doc_id // 3)::VARCHAR AS delivery, lang || ':' || (doc_id // 2)::VARCHAR AS message, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS content FROM documents)"""
 
 
