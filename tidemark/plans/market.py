@@ -10,7 +10,7 @@ from ..functions import labels as L
 from ..functions import scoring as S
 from ..functions import stats, text
 from ..operators import asof, buckets, windows
-from .registry import TICKS, query, table, ticks
+from .registry import FORECASTS, TICKS, forecasts, query, table, ticks
 
 HORIZONS = (5, 15, 30, 60)
 
@@ -209,6 +209,33 @@ def signal_detectors(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.explode(found).alias("signal"))
 
 
+@query(f"""WITH {TICKS}, {FORECASTS}, q AS (SELECT key, id, t, CASE WHEN type <> 'error' THEN cents END AS mid, CASE WHEN type <> 'error' THEN id * 7 % 13 END AS spread, coalesce(cents, 0) AS liquidity FROM ticks),
+w AS (SELECT q.*, lag(id) OVER k AS before, lag(mid) OVER k AS was, lag(spread) OVER k AS was_spread, lag(liquidity) OVER k AS was_liquidity FROM q WINDOW k AS (PARTITION BY key ORDER BY t, id)),
+f AS (SELECT w.*, forecasts.p * 5 AS p FROM w LEFT JOIN forecasts ON forecasts.id = w.key),
+s AS (SELECT id, unnest([CASE WHEN abs(mid - was) >= 4000 THEN 'price_move' END, CASE WHEN was_spread > 5 AND spread <= 5 THEN 'spread_tightened' END, CASE WHEN before IS NOT NULL AND was IS NULL AND mid IS NOT NULL THEN 'newly_two_sided' END,
+CASE WHEN was_liquidity < 1000 AND liquidity >= 1000 THEN 'liquidity_appeared' END, CASE WHEN (was - p) * (mid - p) < 0 THEN 'crossed_forecast' END]) AS signal FROM f)
+SELECT id, signal FROM s WHERE signal IS NOT NULL""")
+def watch_signals(spark: SparkSession, d: str) -> DataFrame:
+    """What a quote sets off against the one before it: a move, a tighter spread, a second side, liquidity, a crossed forecast; one row per signal.
+
+    The quote of an error has one side: no midpoint and no spread. A key's first quote sets off nothing.
+    """
+    two_sided = F.col("type") != "error"
+    q = ticks(spark, d).select("key", "id", "t", F.when(two_sided, F.col("cents")).alias("mid"), F.when(two_sided, F.col("id") * 7 % 13).alias("spread"), F.coalesce("cents", F.lit(0)).alias("liquidity"))
+    before = Window.partitionBy("key").orderBy("t", "id")
+    q = q.withColumns({f"was_{c}": F.lag(c).over(before) for c in ("id", "mid", "spread", "liquidity")})
+    q = q.join(forecasts(spark, d).select(F.col("id").alias("key"), (F.col("p") * 5).alias("p")), "key", "left")
+    mid, was, p = F.col("mid"), F.col("was_mid"), F.col("p")
+    found = L.reasons([
+        (F.abs(mid - was) >= 4000, "price_move"),
+        ((F.col("was_spread") > 5) & (F.col("spread") <= 5), "spread_tightened"),
+        (F.col("was_id").isNotNull() & was.isNull() & mid.isNotNull(), "newly_two_sided"),
+        ((F.col("was_liquidity") < 1000) & (F.col("liquidity") >= 1000), "liquidity_appeared"),
+        ((was - p) * (mid - p) < 0, "crossed_forecast"),
+    ])
+    return q.select("id", F.explode(found).alias("signal"))
+
+
 @query(f"""WITH RECURSIVE {TICKS}, r AS (SELECT *, row_number() OVER (PARTITION BY key, type ORDER BY t, id) AS k FROM ticks),
 g AS (SELECT key, type, k, id, t, t AS last, true AS passes FROM r WHERE k = 1 UNION ALL SELECT r.key, r.type, r.k, r.id, r.t, CASE WHEN r.t - g.last >= 86400000000 THEN r.t ELSE g.last END, r.t - g.last >= 86400000000 FROM g JOIN r ON r.key = g.key AND r.type = g.type AND r.k = g.k + 1)
 SELECT key, type, id, t FROM g WHERE passes""")

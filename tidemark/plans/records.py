@@ -224,10 +224,17 @@ def newest_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT) AS place FROM orders) x WHERE place <= 3")
 def top_per_group(spark: SparkSession, d: str) -> DataFrame:
-    """O2, O3: the newest three of each key."""
+    """O2: the newest three of each key."""
     return retention.top_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "place")
 
 
+@query("""SELECT brand, series, n, place FROM (SELECT p_brand AS brand, p_type AS series, count(*) AS n, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS INT) AS place FROM part GROUP BY 1, 2) x WHERE place <= 3""")
+def top_series(spark: SparkSession, d: str) -> DataFrame:
+    """O3: each brand's three largest series by count, ties by name; the window ranks counts, not rows."""
+    counts = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("series")).agg(F.count("*").alias("n"))
+    return retention.top_per_group(counts, ["brand"], [F.desc("n"), F.asc("series")], 3).select("brand", "series", "n", "place")
+
+
 @query("SELECT p_partkey, p_retailprice FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def bounded_supplement(spark: SparkSession, d: str) -> DataFrame:
     """The limit comes after the exclusion, so it never hides rows that need work."""
@@ -296,11 +303,20 @@ def overlapping_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TICKS} SELECT key, date_trunc('day', make_timestamp(t)) AS day, count(*) AS n, CAST(count(*) FILTER (WHERE type = 'error') AS BIGINT) AS errors FROM ticks GROUP BY 1, 2""")
 def usage_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Requests per key and day."""
+    """A2, of A40 the days: requests per key and day."""
     e = table(spark, d, "events")
     return e.groupBy(F.col("user_id").alias("key"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), stats.count_where(F.col("event_type") == "error").alias("errors"))
 
 
+@query(f"""WITH {TICKS}, s AS (SELECT key, type, unnest(['hour', 'day', 'month']) AS span, t FROM ticks)
+SELECT key, span, date_trunc(span, make_timestamp(t)) AS start, count(*) AS n, CAST(count(*) FILTER (WHERE type = 'error') AS BIGINT) AS errors FROM s GROUP BY 1, 2, 3""")
+def usage_by_span(spark: SparkSession, d: str) -> DataFrame:
+    """Requests per key by hour, day and month; rows are counted once, by hour, and days and months are sums of hours."""
+    hour = table(spark, d, "events").groupBy(F.col("user_id").alias("key"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), stats.count_where(F.col("event_type") == "error").alias("errors"))
+    spans = F.array(*(F.struct(F.lit(x).alias("span"), F.date_trunc(x, "hour").cast("timestamp_ntz").alias("start")) for x in ("hour", "day", "month")))
+    return hour.select("key", F.inline(spans), "n", "errors").groupBy("key", "span", "start").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+
+
 @query("SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS sizes FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """A1, A3, A42."""
