@@ -20,7 +20,7 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float, bonus: float =
     all are ruled out the most similar one is still returned. The column reasons names, in order and joined
     by commas, what rules the partner out; a null fact rules out nothing.
 
-    Prefix filter: with tokens in one global order, rare ones first, two sets of similarity s or more
+    Prefix filter, at the floor less the bonus: with tokens in one global order, rare ones first, two sets of similarity s or more
     share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded; sizes must let the
     pair reach s, and so must what both sets have left from a shared token on, which drops most pairs that
     meet on common words (they come last). At a low floor the prefix is long, and a common word still
