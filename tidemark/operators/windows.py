@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 
 def trailing(value: str, width: int) -> dict[str, Column]:
-    """Over the key's rows in [t - width, t]: move (last - first), range and n; null with fewer than two values."""
+    """Over the key's known values in [t - width, t]: move (last - first), range and n; null with fewer than two values."""
     w = Window.partitionBy("key").orderBy("t").rangeBetween(-width, 0)
-    v, order = F.col(value), F.struct("t", "id")
+    v = F.col(value)
+    order = F.when(v.isNotNull(), F.struct("t", "id"))
     n = F.count(v).over(w)
     last, first = F.max_by(v, order).over(w), F.min_by(v, order).over(w)
     return {"move": F.when(n >= 2, last - first), "range": F.when(n >= 2, F.max(v).over(w) - F.min(v).over(w)), "n": n}
