@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import labels as L
 from ..functions import scoring as S
 from ..functions import stats, text
-from ..operators import asof, buckets, windows
+from ..operators import asof, buckets, ranking, windows
 from .registry import FORECASTS, TICKS, forecasts, query, table, ticks
 
 HORIZONS = (5, 15, 30, 60)
@@ -279,19 +279,21 @@ def worst_series(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TICKS}, w AS (SELECT key, list_sort(list(cents)) AS v, count(*) AS n, median(cents) AS median, CASE WHEN count(*) >= 3 THEN quantile_disc(cents, 0.9) END AS nearest_rank FROM ticks GROUP BY 1)
 SELECT key, n, median, v[CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1] AS rounded_rank, nearest_rank FROM w""")
 def percentile_families(spark: SparkSession, d: str) -> DataFrame:
-    """Three definitions of a percentile, kept apart."""
-    by = ticks(spark, d).groupBy("key").agg(F.count("*").alias("n"), F.median("cents").alias("median"), F.collect_list("cents").alias("v"), stats.percentile_nearest_rank("cents", 0.9, 3).cast("long").alias("nearest_rank"))
-    return by.select("key", "n", "median", stats.percentile_by_rounded_rank(F.col("v"), 0.9).alias("rounded_rank"), "nearest_rank")
+    """Three definitions of a percentile, kept apart, from counts of values; no key's values are gathered."""
+    known = F.col("known")
+    ranks = {"low": F.expr("(known + 1) div 2"), "high": F.expr("known div 2 + 1"), "rounded_rank": F.bround(F.lit(0.9) * (known - 1)) + 1, "nearest_rank": F.when(known >= 3, F.ceil(F.lit(0.9) * known))}
+    by = ranking.at_ranks(ranking.value_counts(ticks(spark, d), ["key"], "cents", 1000), ["key"], "cents", ranks)
+    return by.select("key", "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "rounded_rank", "nearest_rank")
 
 
 @query(f"""WITH {TICKS}, h AS (SELECT type, t - lag(t) OVER (PARTITION BY key ORDER BY id) AS hop FROM ticks) SELECT type, count(*) AS n, CAST(count(*) FILTER (WHERE hop IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (WHERE hop < 0) AS BIGINT) AS negative, CASE WHEN count(hop) >= 20 THEN quantile_disc(hop, 0.5) END AS p50_us, CASE WHEN count(hop) >= 100 THEN quantile_disc(hop, 0.99) END AS p99_us FROM h GROUP BY 1""")
 def latency_envelope(spark: SparkSession, d: str) -> DataFrame:
-    """Hops between a user's events in order of id; negative ones are counted, not dropped."""
-    hop = F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("id"))
-    return ticks(spark, d).withColumn("hop", hop).groupBy("type").agg(
-        F.count("*").alias("n"), stats.count_where(F.col("hop").isNull()).alias("missing"), stats.count_where(F.col("hop") < 0).alias("negative"),
-        stats.percentile_nearest_rank("hop", 0.5, 20).cast("long").alias("p50_us"), stats.percentile_nearest_rank("hop", 0.99, 100).cast("long").alias("p99_us"),
-    )
+    """Hops between a user's events in order of id; negative ones are counted, not dropped, and percentiles come from counts of hops by minute."""
+    hop, n, known = F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("id")), F.col("n"), F.col("known")
+    ranks = {"p50_us": F.when(known >= 20, F.ceil(F.lit(0.5) * known)), "p99_us": F.when(known >= 100, F.ceil(F.lit(0.99) * known))}
+    also = {"missing": F.coalesce(F.sum(F.when(F.col("hop").isNull(), n)), F.lit(0)), "negative": F.coalesce(F.sum(F.when(F.col("hop") < 0, n)), F.lit(0))}
+    counts = ranking.value_counts(ticks(spark, d).select("type", hop.alias("hop")), ["type"], "hop", asof.MINUTE)
+    return ranking.at_ranks(counts, ["type"], "hop", ranks, also).drop("known")
 
 
 _SCORES = """s AS (SELECT p_partkey, p_brand, p_size, CAST(count(l_orderkey) AS BIGINT) AS lines, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS quantity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3)"""

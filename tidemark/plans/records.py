@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codec, labels as L, stats, text
-from ..operators import buckets, dedupe, predicates, retention, sequences, similarity
+from ..operators import buckets, dedupe, predicates, ranking, retention, sequences, similarity
 from .registry import TICKS, micros, query, table, ticks
 
 
@@ -283,12 +283,13 @@ SELECT s_suppkey, stratum FROM k WHERE pick <= 8""")
 def stratified_universe(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous thirds of the ranking; of each, picks spread over nations before a second one is taken.
 
-    The ranking is over the universe's candidates, a list of bounded length by its nature.
+    A row after the eighth of its stratum and nation can't be picked, so few rows reach the last window.
     """
-    r = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    r = ranking.placed(s, "s_acctbal", "s_suppkey", 10).join(F.broadcast(s.agg(F.count("*").alias("n"))))
     third = lambda k: F.floor(F.col("n") * k / 3)
     t = r.withColumn("stratum", F.when(F.col("place") <= third(1), 0).when(F.col("place") <= third(2), 1).otherwise(2))
-    t = t.withColumn("turn", F.row_number().over(Window.partitionBy("stratum", "s_nationkey").orderBy("place")))
+    t = t.withColumn("turn", F.row_number().over(Window.partitionBy("stratum", "s_nationkey").orderBy("place"))).where("turn <= 8")
     return t.withColumn("pick", F.row_number().over(Window.partitionBy("stratum").orderBy("turn", "place"))).where("pick <= 8").select("s_suppkey", "stratum")
 
 

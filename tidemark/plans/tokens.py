@@ -121,7 +121,7 @@ def pair_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_DAY, _CODES = "CASE WHEN o_orderstatus <> 'P' THEN DATE '1995-01-01' + CAST(o_orderkey % 200 AS INT) END", "'P' || (o_custkey % 12) AS a, CASE WHEN o_orderkey % 17 <> 0 THEN 'Q' || (o_orderkey % 5) END AS b"
+_DAY, _CODES = "CASE WHEN o_orderstatus <> 'P' THEN DATE '1995-01-01' + CAST(o_orderkey % 200 AS INT) END", "'P' || (o_custkey % 120) AS a, CASE WHEN o_orderkey % 17 <> 0 THEN 'Q' || (o_custkey % 50) END AS b"
 
 
 @query(f"""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority LIKE '5%' THEN 'total' ELSE 'match_winner' END AS kind, {_DAY} AS day, {_CODES} FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT o_orderkey AS id, {_DAY} AS day, {_CODES} FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 200 < 150),
@@ -136,7 +136,7 @@ def fixture_links(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     number = lambda c, n: (F.col(c) % n).cast("string")
     day = F.when(F.col("o_orderstatus") != "P", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("o_orderkey") % 200).cast("int")))
-    facts = [F.col("o_orderkey").alias("id"), day.alias("day"), F.concat(F.lit("P"), number("o_custkey", 12)).alias("a"), F.when(F.col("o_orderkey") % 17 != 0, F.concat(F.lit("Q"), number("o_orderkey", 5))).alias("b")]
+    facts = [F.col("o_orderkey").alias("id"), day.alias("day"), F.concat(F.lit("P"), number("o_custkey", 120)).alias("a"), F.when(F.col("o_orderkey") % 17 != 0, F.concat(F.lit("Q"), number("o_custkey", 50))).alias("b")]
     kind = F.when(F.col("o_orderpriority").startswith("5"), "total").otherwise("match_winner")
     return linkage.link_fixtures(o.where("o_orderkey % 3 = 0").select(*facts, kind.alias("kind")), o.where("o_orderkey % 3 = 1 AND o_orderkey % 200 < 150").select(*facts))
 
