@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import codec, scoring, stats, text
+from tidemark.functions import codec, gates, scoring, stats, text, tokens, venues
 from tidemark.functions import labels as L
-from tidemark.operators import asof, buckets, calibration, dedupe, predicates, retention, sequences, similarity, windows
+from tidemark.operators import asof, buckets, calibration, dedupe, linkage, predicates, ranking, retention, sequences, similarity, windows
 
 TICKS = "key long, id long, t long, cents long, type string"
 
@@ -59,9 +59,71 @@ def test_bins_follow_the_edge_list(spark):
 
 
 def test_percentiles_differ(spark):
-    rows = spark.createDataFrame([(float(x),) for x in range(1, 7)], "v double")
-    got = rows.agg(stats.percentile_by_rounded_rank(F.collect_list("v"), 0.5).alias("rounded"), stats.percentile_nearest_rank("v", 0.5, 3).alias("nearest"), F.median("v").alias("median"), stats.percentile_nearest_rank("v", 0.5, 20).alias("thin")).first()
-    assert (got["rounded"], got["nearest"], got["median"], got["thin"]) == (3.0, 3.0, 3.5, None)
+    rows = spark.createDataFrame([("a", float(x)) for x in range(1, 7)] + [("a", None), ("b", None), (None, 2.0), (None, 2.0)], "k string, v double")
+    known = F.col("known")
+    ranks = {"rounded": ranking.rounded_rank(known, 0.5), "nearest": ranking.nearest_rank(known, 0.5, 2), "low": F.expr("(known + 1) div 2"), "high": F.expr("known div 2 + 1"), "thin": ranking.nearest_rank(known, 0.5, 20)}
+    for width in (1, 4, 1000):  # how values are cut into stretches changes nothing
+        got = {r["k"]: r[1:] for r in ranking.at_ranks(ranking.value_counts(rows, ["k"], "v", width), ["k"], "v", ranks).collect()}
+        assert got["a"] == (7, 6, 3.0, 3.0, 3.0, 4.0, None)
+        assert got["b"][:4] == (1, 0, None, None)
+        assert got[None] == (2, 2, 2.0, 2.0, 2.0, 2.0, None)
+    assert ranking.at_ranks(ranking.value_counts(rows.limit(0), ["k"], "v", 1), ["k"], "v", ranks).count() == 0
+
+
+def test_places_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 7.5), (3, 7.5), (4, None), (5, -3.0), (6, 7.4)], "id long, v double")
+    for width in (0.5, 3, 100):
+        assert {r["id"]: r["place"] for r in ranking.placed(rows, "v", "id", width).collect()} == {2: 1, 3: 2, 6: 3, 1: 4, 5: 5, 4: 6}
+    assert ranking.placed(rows.limit(0), "v", "id", 1).count() == 0
+
+
+def test_fixture_links(spark):
+    fixtures = [(1, 10, "A", "B"), (2, 11, "C", "D"), (3, 9, "C", "D"), (4, 10, "E", "F"), (5, 10, "F", "E"), (6, 10, "G", "X"), (7, 10, None, "H"), (8, 10, "I", "Y"), (9, 10, "I", "Z"), (10, 30, None, None)]
+    markets = {
+        "both": (10, "B", "A", ("source_backed_link", "codes_and_day", 1)), "day_after_first": (10, "C", "D", ("source_backed_link", "codes_and_adjacent_day", 2)), "twice": (10, "E", "F", ("fuzzy_candidate", "ambiguous", 4)),
+        "one": (10, "G", "Q", ("fuzzy_candidate", "one_code", 6)), "half_a_fixture": (10, "H", "Q", ("provider_no_match", "none", None)), "two_of_one": (10, "I", "Q", ("provider_no_match", "none", None)),
+        "one_a_day_off": (11, "G", "Q", ("provider_no_match", "none", None)), "far": (20, "A", "B", ("unresolved", "day_not_fetched", None)), "no_codes": (10, "A", None, ("unresolved", "no_codes", None)),
+        "no_day": (None, "A", "B", ("unresolved", "no_date", None)), "fetched_without_codes": (30, "A", "B", ("provider_no_match", "none", None)), "other": (10, "A", "B", ("incompatible_market_type", "other_kind", None)),
+    }
+    day = F.date_add(F.lit("2026-07-01").cast("date"), F.col("n")).alias("day")
+    m = spark.createDataFrame([(k, v[0], v[1], v[2], "total" if k == "other" else "match_winner") for k, v in markets.items()], "id string, n int, a string, b string, kind string").select("id", day, "a", "b", "kind")
+    f = spark.createDataFrame(fixtures, "id long, n int, a string, b string").select("id", day, "a", "b")
+    assert {r["id"]: (r["label"], r["basis"], r["fixture"]) for r in linkage.link_fixtures(m, f).collect()} == {k: v[3] for k, v in markets.items()}
+    assert {r["label"] for r in linkage.link_fixtures(m, f.limit(0)).collect()} == {"unresolved", "incompatible_market_type"}
+
+
+@pytest.mark.parametrize(("ticker", "spec"), [
+    ("KXMLBTOTAL-26JUL082210COLLAD-14", ("total", 13.5, None, None)), ("kxmlbspread-26JUL082210COLLAD-LAD2", ("spread", 1.5, "LAD", True)), ("KXMLBGAME-26JUL082210COLLAD-COL", ("winner", None, "COL", False)),
+    ("KXMLBGAME-26JUL082210COLLAD-BOS", ("unknown", None, None, None)), ("KXMLBGAME-26JUL082210NYNY-NY", ("unknown", None, None, None)), ("KXMLBGAME-26ABC082210COLLAD-COL", ("unknown", None, None, None)),
+    ("KXMLBTOTAL-26JUL082210COLLAD-O9", ("unknown", None, None, None)), ("", ("unknown", None, None, None)), (None, ("unknown", None, None, None)),
+])
+def test_game_tickers(spark, ticker, spec):
+    got = venues.with_game_spec(spark.createDataFrame([(ticker,)], "ticker string"), "ticker").first()
+    assert (got["kind"], got["threshold"], got["team"], got["home"]) == spec
+
+
+def test_domains(spark):
+    assert one(spark, venues.domain(F.lit("kxwta-x"), F.lit("bitcoin"))) == "sports_tennis"
+    assert one(spark, venues.domain(F.lit("X-KXMLB"), F.lit("Inflation and the senate"))) == "macro"
+    assert one(spark, venues.domain(F.col("v").cast("string"), F.col("v").cast("string"))) == "general"
+
+
+@pytest.mark.parametrize(("now", "state"), [(800, "pair_detected_not_due"), (950, "pair_ready_for_manual_preparation"), (1000, "shared_due_now_ready"), (1195, "shared_due_now_ready"), (1196, "insufficient_arm_slack"), (1300, "insufficient_arm_slack"), (1301, "expired")])
+def test_readiness(spark, now, state):
+    second = tokens.SECOND
+    assert one(spark, tokens.readiness(F.lit(1000 * second), F.lit(1300 * second), F.lit(now * second), 60 * second)) == state
+    assert one(spark, tokens.readiness(F.lit(1000 * second), F.lit(1080 * second), F.lit(1000 * second), 60 * second)) == "insufficient_arm_slack"
+    assert one(spark, tokens.readiness(F.lit(1000), F.lit(999), F.lit(now), 0)) == "no_overlapping_pair"
+
+
+@pytest.mark.parametrize(("role", "n", "toward", "closure", "share", "window", "state"), [
+    ("candidate", 11, 0.9, 1.0, 0.1, "validation", "sample_collapsed"), ("candidate", 80, 0.6, 0.1, 0.1, "validation", "validated_shadow"), ("candidate", 80, 0.6, 0.1, 0.1, "mixed", "passes_gates_discovery_only"),
+    ("candidate", 80, 0.6, 0.1, 0.35, "validation", "failing_gates"), ("candidate", 80, 0.52, 0.1, 0.1, "validation", "inconclusive_continue_observing"), ("candidate", 40, 0.6, 0.1, 0.1, "validation", "insufficient_sample"),
+    ("candidate", 80, None, None, 0.1, "validation", "inconclusive_continue_observing"), ("negative_control", 40, 0.4, 0.1, 0.1, "mixed", "control_consistent"), ("negative_control", 40, 0.6, 0.1, 0.1, "mixed", "control_anomaly"), ("baseline", 0, None, None, 0.1, "mixed", "baseline"),
+])
+def test_gate_status(spark, role, n, toward, closure, share, window, state):
+    as_double = lambda x: F.lit(x).cast("double")
+    assert one(spark, gates.status(F.lit(role), F.lit(n), as_double(toward), as_double(closure), F.lit(share), F.lit(0.1), F.lit(window))) == state
 
 
 def test_wilson_of_nothing(spark):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evidence, forecasting, market, policies, records, states, timing, tokens
+from .plans import evidence, forecasting, market, policies, records, states, timing, tokens, venues
 from .plans.registry import QUERIES, SQL, Query
 
-__all__ = ["evidence", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "states", "timing", "tokens"]
+__all__ = ["evidence", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "states", "timing", "tokens", "venues"]
 
 
 def queries() -> dict[str, Query]:

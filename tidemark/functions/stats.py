@@ -1,4 +1,4 @@
-"""Aggregates and intervals with explicit empties, and three kinds of percentile kept apart by name."""
+"""Aggregates and intervals with explicit empties."""
 
 from __future__ import annotations
 
@@ -15,17 +15,6 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def percentile_by_rounded_rank(values: Column, p: float) -> Column:
-    """The element at round(p * (n - 1)), half ranks to even, of the sorted values; no interpolation; null when empty."""
-    ordered = F.array_sort(values)
-    return F.when(F.size(values) > 0, F.element_at(ordered, (F.bround(F.lit(p) * (F.size(values) - 1)) + 1).cast("int")))
-
-
-def percentile_nearest_rank(name: str, p: float, floor: int) -> Column:
-    """The element at ceil(p * n) - 1 of the sorted values; null with fewer than ``floor`` values."""
-    return F.when(F.count(name) >= floor, F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {name})"))
-
-
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson score interval of k in n, within [0, 1]; null on n = 0."""
     n = F.when(n > 0, n.cast("double"))

@@ -88,3 +88,21 @@ def trend(periods: DataFrame, least: int, tolerance: float) -> Column:
     """improving, worsening or stable from early to late error; unknown where a half is thin."""
     early, late = F.col("early"), F.col("late")
     return F.when((F.col("n_early") < least) | (F.col("n_late") < least), "insufficient").when(late - early > tolerance, "worsening").when(early - late > tolerance, "improving").otherwise("stable")
+
+
+#: Fixed value: forecasts below which a cohort is too thin to read.
+LEAST_COHORT = 20
+
+
+def cohorts(binned: DataFrame, key: str, limit: int) -> DataFrame:
+    """Per cohort, of bins by ``key``: size, errors, Brier score against one half and the base rate, decomposition, and share of all; the largest ones, ties by name."""
+    each = errors(binned, [key]).join(decomposition(binned, [key]).drop("n", "residual"), key).join(binned.groupBy(key).agg((F.sum("yes") / F.sum("n")).alias("prevalence")), key)
+    total = binned.agg(F.sum("n").alias("total"))
+    spread = F.col("prevalence") * (1 - F.col("prevalence"))
+    to = lambda c, places=6: F.round(c, places)
+    out = each.join(F.broadcast(total)).select(
+        key, "n", to(F.col("prevalence")).alias("prevalence"), to(F.col("brier")).alias("brier"), F.lit(0.25).alias("neutral_brier"), to(spread).alias("base_brier"),
+        to(F.when(spread > 0, 1 - F.col("brier") / spread)).alias("skill"), *[to(F.col(c)).alias(c) for c in ("ece", "mce")], "populated_bins", *[to(F.col(c)).alias(c) for c in ("reliability", "resolution")],
+        to(F.col("n") / F.col("total"), 4).alias("share"), F.when(F.col("n") >= LEAST_COHORT, "measured").otherwise("too_thin").alias("label"),
+    )
+    return out.orderBy(F.desc("n"), key).limit(limit)

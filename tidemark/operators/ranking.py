@@ -38,6 +38,16 @@ def value_counts(rows: DataFrame, keys: list[str], value: str, width: float) ->
     return found.withColumn("upto", F.col("_before") + within).drop("_before", "_bucket")
 
 
+def rounded_rank(known: Column, p: float) -> Column:
+    """The rank round(p * (n - 1)) from 0, half ranks to even, as one from 1; no interpolation."""
+    return F.bround(F.lit(p) * (known - 1)) + 1
+
+
+def nearest_rank(known: Column, p: float, floor: int) -> Column:
+    """The rank ceil(p * n); null with fewer than ``floor`` values."""
+    return F.when(known >= floor, F.ceil(F.lit(p) * known))
+
+
 def at_ranks(counts: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], also: dict[str, Column] | None = None) -> DataFrame:
     """Per key ``n`` (all rows), ``known`` (rows with a value), by name the value at each rank, and what else is asked.
 

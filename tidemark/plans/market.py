@@ -281,7 +281,7 @@ SELECT key, n, median, v[CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1] AS ro
 def percentile_families(spark: SparkSession, d: str) -> DataFrame:
     """Three definitions of a percentile, kept apart, from counts of values; no key's values are gathered."""
     known = F.col("known")
-    ranks = {"low": F.expr("(known + 1) div 2"), "high": F.expr("known div 2 + 1"), "rounded_rank": F.bround(F.lit(0.9) * (known - 1)) + 1, "nearest_rank": F.when(known >= 3, F.ceil(F.lit(0.9) * known))}
+    ranks = {"low": F.expr("(known + 1) div 2"), "high": F.expr("known div 2 + 1"), "rounded_rank": ranking.rounded_rank(known, 0.9), "nearest_rank": ranking.nearest_rank(known, 0.9, 3)}
     by = ranking.at_ranks(ranking.value_counts(ticks(spark, d), ["key"], "cents", 1000), ["key"], "cents", ranks)
     return by.select("key", "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "rounded_rank", "nearest_rank")
 
@@ -290,7 +290,7 @@ def percentile_families(spark: SparkSession, d: str) -> DataFrame:
 def latency_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Hops between a user's events in order of id; negative ones are counted, not dropped, and percentiles come from counts of hops by minute."""
     hop, n, known = F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("id")), F.col("n"), F.col("known")
-    ranks = {"p50_us": F.when(known >= 20, F.ceil(F.lit(0.5) * known)), "p99_us": F.when(known >= 100, F.ceil(F.lit(0.99) * known))}
+    ranks = {"p50_us": ranking.nearest_rank(known, 0.5, 20), "p99_us": ranking.nearest_rank(known, 0.99, 100)}
     also = {"missing": F.coalesce(F.sum(F.when(F.col("hop").isNull(), n)), F.lit(0)), "negative": F.coalesce(F.sum(F.when(F.col("hop") < 0, n)), F.lit(0))}
     counts = ranking.value_counts(ticks(spark, d).select("type", hop.alias("hop")), ["type"], "hop", asof.MINUTE)
     return ranking.at_ranks(counts, ["type"], "hop", ranks, also).drop("known")
