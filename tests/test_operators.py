@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import codec, gates, scoring, stats, text, tokens, venues
+from tidemark.functions import absence, codec, gates, scoring, stats, text, tokens, venues
 from tidemark.functions import labels as L
 from tidemark.operators import asof, buckets, calibration, dedupe, linkage, predicates, ranking, retention, sequences, similarity, windows
 
@@ -313,3 +313,17 @@ def test_cohorts_refuse_other_modes(spark):
     assert dedupe.permits("LIVE", dedupe.TIMING)
     assert not dedupe.permits("BACKFILL", dedupe.TIMING)
     assert dedupe.permits("BACKFILL", "SOURCE_REPUTATION")
+
+
+def test_absent_parts_stay_absent(spark):
+    part = lambda v, why="gone": absence.maybe(F.lit(v).cast("long"), F.lit(why))
+    both = lambda m: tuple(one(spark, m))
+    assert both(absence.combined(part(1), part(2))) == (3, None)
+    assert both(absence.combined(part(1), part(None, "a"), part(None, "b"))) == (None, "a")
+    assert both(absence.residual_fee(part(4999), absence.base_fee(F.lit(1)))) == (None, "conflicting_sources")
+    assert both(absence.budget_fee(part(1), part(1))) == (1, None)
+    assert both(absence.budget_fee(part(None, "not_provided"), part(None))) == (0, None)
+    assert both(absence.reconciled(part(5), part(6))) == (5, None)
+    assert both(absence.reconciled(part(5), part(7))) == (None, "conflicting_sources")
+    assert both(absence.reconciled(part(None), part(7))) == (7, None)
+    assert both(absence.reconciled(part(None, "x"), part(None, "y"))) == (None, "x")

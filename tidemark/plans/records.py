@@ -337,7 +337,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH b AS (SELECT l_orderkey AS tx, l_suppkey AS mint, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS d, count(*) AS legs, bool_or(l_linestatus = 'O') AS open FROM lineitem GROUP BY 1, 2)
 SELECT tx, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS BIGINT) AS received, CAST(-sum(CASE WHEN d < 0 THEN d ELSE 0 END) AS BIGINT) AS sent, count(*) AS mints, CASE WHEN bool_or(open) THEN 'not_final' WHEN count(*) > 4 THEN 'too_many_mints' WHEN sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) = 0 THEN 'nothing_sent' ELSE 'decoded' END AS verdict FROM b GROUP BY 1""")
 def balance_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Net change per asset of a transaction, and why one is refused."""
+    """net change per asset of a transaction, and why one is refused."""
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity").cast("long")).otherwise(F.col("l_quantity").cast("long"))
     per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("tx"), "l_suppkey").agg(F.sum(signed).alias("d"), F.bool_or(F.col("l_linestatus") == "O").alias("open"))
     spent = stats.count_where(F.col("d") < 0)
