@@ -14,7 +14,7 @@ def test_oracle(spark, data, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline(spark, data):

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .bpe import round_trip
 from .common import documents
+from .decontamination import WINDOW_WORDS, contamination, contamination_report
+from .divergence import LEAST_DOCUMENTS, PRIOR, TOP_TERMS, UNIT, divergence
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack
+from .ranked_search import TOP, search
 from .secrets import IDENTIFIERS, SCOPE, SECRETS, STRONG, WEAK, scan_secrets
 from .sharding import assign_shards
 from .token_counts import attribute_tokens
@@ -64,8 +67,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_bpe, op4_token_files, op5_near_dedup, op6_sharding, op7_token_counts, op8_exact_dedup, op9_toxicity, op10_neighbours)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_bpe, op4_token_files, op5_near_dedup, op6_sharding, op7_token_counts, op8_exact_dedup, op9_toxicity, op10_neighbours, op11_divergence, op12_decontamination, op13_ranked_search)}
 
 
 _EXACT = r"""
@@ -86,6 +101,47 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_
 """
 
 
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= {LEAST_DOCUMENTS}),
+v AS (SELECT l.lang, count(term) AS terms, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM g) l LEFT JOIN k USING (lang) GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST({UNIT} AS HUGEINT) * (coalesce(c.n, 0) + {PRIOR}) // (s.total + {PRIOR} * v.terms) AS p, 1 + CAST({UNIT} AS HUGEINT) * (k.n + {PRIOR}) // (v.total + {PRIOR} * v.terms) AS q
+ FROM s JOIN v USING (lang) JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 4),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= {TOP_TERMS}
+"""
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_CONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+n AS (SELECT DISTINCT item_id, least(len(w), {WINDOW_WORDS}) AS n, unnest(list_transform(range(1, greatest(len(w) - {WINDOW_WORDS} + 2, 2)), lambda x: array_to_string(w[x:x + {WINDOW_WORDS} - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+s AS (SELECT row, n, unnest(range(1, len(w) - n + 2)) AS b, unnest(list_transform(range(1, len(w) - n + 2), lambda x: array_to_string(w[x:x + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM n)),
+h AS (SELECT s.row, s.b, s.n, n.item_id FROM s JOIN n USING (n, g)),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT row, unnest(range(b, b + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+"""
+
+
+_RANKED = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), x AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
+t AS (SELECT row, doc_id, n, term, count(*) AS tf FROM x SEMI JOIN i USING (term) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, docs),
+r AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score FROM i JOIN t USING (term) JOIN f USING (term), s GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= {TOP}
+"""
+
+
 def _any_case(pattern: str) -> str:
     """A pattern with (?i:...) spelled out, as engines differ on what else folds to ASCII letters."""
     head, _, rest = pattern.partition("(?i:")
@@ -119,4 +175,4 @@ FROM d LEFT JOIN k USING (doc_id) GROUP BY 1
 
 def llm_oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are held against brute force in the tests."""
-    return {"op2_secrets": _secrets_sql(), "op5_near_dedup": _NEAR, "op8_exact_dedup": _EXACT}
+    return {"op2_secrets": _secrets_sql(), "op5_near_dedup": _NEAR, "op8_exact_dedup": _EXACT, "op11_divergence": _DIVERGENCE, "op12_decontamination": _CONTAMINATION, "op13_ranked_search": _RANKED}
