@@ -169,3 +169,7 @@ def test_copies_ties_and_bad_vectors(spark):
     few = spark.createDataFrame([(1, [1.0, 2.0], 0), (20, [2.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest_neighbours(few, few.where("vec_id = 20"), 5).collect()] == [(20, 1, 4.0)]
     assert ann.nearest_neighbours(few.limit(0), few, 5).count() == 0
+
+
+def test_shards_grow_when_they_are_many():
+    assert [ann.shard_count(n) for n in (0, 1, 8192, 8193, 2_097_152, 100_000_000, 10**9)] == [1, 1, 1, 2, 256, 256, 954]

@@ -44,3 +44,10 @@ def test_stages_decide_by_row(spark, odd_rows, empty, data):
     assert left(near) == Counter(without_near_copies(want))
     assert {d for d, t in left(near) if t in (text, close, other, other + " end")} == {200, 201}
     assert corpus_pipeline.near(spark, corpus_pipeline.exact(spark, empty, data), data).count() == 0
+
+
+def test_columns_with_names_used_inside(spark, data):
+    docs = spark.createDataFrame([(1, "a b", "X", "Y", 5), (2, "a  b", "X", "Y", 5), (3, "c", "Z", None, 6)], "doc_id long, text string, _row string, row string, Row_ int")
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.secrets, corpus_pipeline.toxicity):
+        docs = stage(spark, docs, data)
+    assert sorted(tuple(r) for r in docs.collect()) == [(1, "a b", "X", "Y", 5), (3, "c", "Z", None, 6)]

@@ -19,6 +19,8 @@ LINKS = 16
 BUILD_BREADTH, SEARCH_BREADTH = 64, 96
 #: Distinct vectors of a shard and queries of a slice, on average.
 SHARD_VECTORS, QUERY_SLICE = 8_192, 16_384
+#: Shards, as each query goes to each of them: beyond so many they grow instead, up to this many vectors (0.3 GB of 64 floats).
+MOST_SHARDS, LARGEST_SHARD = 256, 1 << 20
 
 
 class Hnsw:
@@ -124,6 +126,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def shard_count(vectors: int, shard_vectors: int = SHARD_VECTORS) -> int:
+    """Shards of ``shard_vectors`` each, as long as these are few; then larger ones, as a query's cost is its shards and each only grows with a logarithm."""
+    size = min(max(shard_vectors, -(-vectors // MOST_SHARDS)), max(shard_vectors, LARGEST_SHARD))
+    return max(1, -(-vectors // size))
+
+
 def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS, links: int = LINKS, breadth: int = BUILD_BREADTH) -> DataFrame:
     """A written index, one row per shard: shard, n, dim, ids (per vector up to k + 1 smallest vec_ids), vectors, layers, entry.
 
@@ -137,7 +145,7 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS,
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     rows = usable(vectors).dropDuplicates(["vec_id", "embedding"]).withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= k + 1)
     nodes = written(rows.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_vectors))
+    shards = shard_count(nodes.count(), shard_vectors)
     nodes = nodes.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:

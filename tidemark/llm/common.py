@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import put_on_path
 
-__all__ = ["documents", "put_on_path", "shared_dir", "text_blocks", "written"]
+__all__ = ["discard", "documents", "new_name", "put_on_path", "shared_dir", "text_blocks", "written"]
 
 #: Rows are worked on in blocks of about this many bytes of text, so that a worker's memory
 #: follows the block and not Arrow's batch.
@@ -48,11 +48,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

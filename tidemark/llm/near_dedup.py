@@ -201,17 +201,19 @@ class _Items:
         return out
 
 
-def _spanning_links(group: dict[str, np.ndarray], limit: int, percent: int, items: _Items | None) -> list[tuple[int, int]]:
-    """Links that join the same rows as all links between an outside row and any other row do; of two blocks, only links across count.
+def _spanning_links(group: dict[str, np.ndarray], limit: int, percent: int, items: _Items | None, across: bool) -> list[tuple[int, int]]:
+    """Links that join the same rows as all links between an outside row and a row of the group's block do; ``across``: of rows of one block none count.
 
     A pair is compared on sizes and sketches; where there are full sets, it is a link only if these
-    confirm it. Pairs that earlier links have already put in one component are passed over.
+    confirm it. Pairs that earlier links have already put in one component are passed over. Two outside rows of
+    different blocks meet in both; they are compared in the block of the larger id.
     """
     ids, component, outside, block, n, sketch = (group[c] for c in ("cid", "component", "outside", "block", "n", "sketch"))
-    component, two, found, place = component.copy(), block.min() != block.max(), [], np.arange(len(ids))
+    component, found, place = component.copy(), [], np.arange(len(ids))
+    own = block == group["low"][0]
     for k in np.flatnonzero(outside).tolist():
-        near = (component != component[k]) & (~outside | (place > k)) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-        if two:
+        near = own & (component != component[k]) & (~outside | (place > k)) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        if across:
             near &= block != block[k]
         at = np.flatnonzero(near)
         at = at[xor_count(sketch[at], sketch[k]) <= limit] if len(at) else at
@@ -230,21 +232,21 @@ def _spanning_links(group: dict[str, np.ndarray], limit: int, percent: int, item
     return found
 
 
-_GROUP = "key long, low int, high int, cid long, component long, outside boolean, block int, n long, sketch array<long>"
+_GROUP = "key long, low int, cid long, component long, outside boolean, block int, n long, sketch array<long>"
 
 
-def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool) -> DataFrame:
-    """Spanning links (a, b) within the groups (key, low, high) of ``dealt``; a task streams through its groups, and only such links leave it."""
-    rows = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "cid")
+def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool, across: bool = False) -> DataFrame:
+    """Spanning links (a, b) within the groups (key, low) of ``dealt``; a task streams through its groups, and only such links leave it."""
+    rows = dealt.repartition("key", "low").sortWithinPartitions("key", "low", "cid")
 
     def links(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
         found = []
         for s, e in pairwise(edges):
             part = t.slice(s, e - s)
-            group = {c: part.column(c).to_numpy() for c in ("cid", "component", "outside", "block", "n")}
+            group = {c: part.column(c).to_numpy() for c in ("low", "cid", "component", "outside", "block", "n")}
             if group["outside"].any() and (group["component"] != group["component"][0]).any():
                 group["sketch"] = part.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
-                found += _spanning_links(group, limit, percent, _Items(part.column("items").to_pylist()) if exact else None)
+                found += _spanning_links(group, limit, percent, _Items(part.column("items").to_pylist()) if exact else None, across)
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -254,7 +256,7 @@ def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in range(2)], axis=1)
             starts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
             if last is not None and (keys[0] != last).any():
                 starts = [0, *starts]
@@ -273,21 +275,20 @@ def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool) -> DataFram
 
 
 def _dealt(rows: DataFrame, weight: Column, block: int, own_block: bool = False) -> DataFrame:
-    """``rows`` (key, cid, component, ...) of keys that hold more than one component, laid out by pairs of blocks.
+    """``rows`` (key, cid, component, ...) of keys that hold more than one component, laid out by blocks.
 
     A key's rows are dealt to blocks of about ``block`` weight. Members outside its largest component are
-    compared with all others: so each row goes to each pair of its block with another. With
-    ``own_block`` it goes to its own block only, and the key's own row (cid = key) to every block.
+    compared with all others, so they go to every block; the others, which may be most of the rows, to their
+    own only. With ``own_block`` all are compared, but within their block: only the key's own row
+    (cid = key) goes to every one, and is of that block there.
     """
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight"))
     keys = parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("head"), (F.sum("weight") / block).cast("int").alias("last"), F.count("*").alias("parts"))
     rows = rows.join(keys.where("parts > 1").drop("parts"), "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("last") + 1).cast("int"))
-    every = F.sequence(F.lit(0), F.col("last"))
-    if own_block:
-        rows = rows.withColumn("outside", F.lit(True)).withColumn("low", F.explode(F.when(F.col("cid") == F.col("key"), every).otherwise(F.array("block")))).withColumn("high", F.col("low"))
-        return rows.withColumn("block", F.col("low")).drop("head")
-    rows = rows.withColumn("outside", F.col("component") != F.col("head")).withColumn("other", F.explode(every))
-    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "head")
+    rows = rows.withColumn("outside", F.lit(True) if own_block else F.col("component") != F.col("head"))
+    every = F.col("cid") == F.col("key") if own_block else F.col("outside")
+    rows = rows.withColumn("low", F.explode(F.when(every, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("block"))))
+    return (rows.withColumn("block", F.col("low")) if own_block else rows).drop("head")
 
 
 def _families(members: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -321,8 +322,8 @@ def _columns(schema: str) -> list[str]:
 def _confirmed(docs: DataFrame, families: DataFrame, classes: DataFrame, percent: int, limit: int) -> DataFrame:
     """Links, confirmed on full sets, that join the same classes as all links within families do.
 
-    Each family is compared block by block, each block with the family's first member as well; then the blocks of what is
-    still apart are compared with one another. A family of one block, the common case, is laid out once.
+    Each family is compared block by block, each block with the family's first member as well; then what is still
+    apart from the rest of its family is compared with the other blocks. A family of one block, the common case, is laid out once.
     """
     roster = written(classes.join(families.select(F.col("node").alias("cid"), F.col("component").alias("key")), "cid").select("key", "cid", "set_key", F.col("n_shingles").alias("n"), "sketch"), "families")
     sets = written(_sets(docs, roster), "sets")
@@ -330,8 +331,8 @@ def _confirmed(docs: DataFrame, families: DataFrame, classes: DataFrame, percent
     own = _dealt(roster.withColumn("component", F.col("cid")), F.col("n"), BLOCK_ITEMS, own_block=True)
     links = written(_linked(full(own), limit, percent, True), "links")
     components = connected_components(links).withColumnRenamed("node", "cid")
-    rest = _dealt(roster.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")), F.col("n"), BLOCK_ITEMS).where("last > 0 and low < high")
-    return links.union(_linked(full(rest), limit, percent, True))
+    rest = _dealt(roster.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")), F.col("n"), BLOCK_ITEMS).where("last > 0")
+    return links.union(_linked(full(rest), limit, percent, True, across=True))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:

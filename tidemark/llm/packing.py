@@ -78,15 +78,16 @@ def pack(docs: DataFrame, *, capacity: int = SEQUENCE_TOKENS, group_documents: i
     doc_tokens, sequence_id and offset (gapless from 0 within a sequence); with ``keep_ids``
     also the piece's ids as little-endian unsigned 32-bit integers. Every id is in one piece.
 
-    Groups are drawn by a hash of the whole row, so copies and rows of one source spread, and
-    one call sees about ``group_documents`` documents at any corpus size. A null or empty text is
+    Groups are drawn by a hash of the row and its place in the table, so copies, repeated rows and rows of
+    one source spread, and one call sees about ``group_documents`` documents at any corpus size. Places
+    must not change when a task is run again: ``docs`` are read from files or a written table. A null or empty text is
     the end id alone; a null doc_id stays null; rows that repeat are packed as often as they come;
     an empty table gives no rows; further columns of ``docs`` are ignored.
     """
     put_on_path(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     groups = max(1, -(-docs.count() // group_documents))
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(groups)).alias("pack_group"))
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).alias("pack_group"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)

@@ -160,12 +160,13 @@ def _secrets_sql() -> str:
     least = "CASE kind " + " ".join(f"WHEN {i} THEN {k.least}" for i, k in enumerate(kinds)) + " END"
     names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k.name}'" for i, k in enumerate(kinds)) + " END"
     key = [k.name for k in kinds].index("key")
-    near = f"(PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)"
+    upto, on = "(PARTITION BY doc_id ORDER BY start RANGE UNBOUNDED PRECEDING)", "(PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    near = lambda names: f'coalesce(max("end") FILTER (WHERE name IN {names}) OVER {upto} >= start - {SCOPE}, false) OR coalesce(min(start) FILTER (WHERE name IN {names}) OVER {on} <= "end" + {SCOPE}, false)'
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
 e AS (SELECT *, CAST(sum(gap + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS BIGINT) AS "end", {value} AS value, {names} AS name FROM f),
 s AS (SELECT doc_id, kind, name, "end" - length(found) AS start, "end" FROM e WHERE length(value) >= {least} AND (kind <> {key} OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))),
-n AS (SELECT *, bool_or(name IN {IDENTIFIERS}) OVER {near} AS ids, bool_or(name IN {SECRETS}) OVER {near} AS keys FROM s),
+n AS (SELECT *, {near(IDENTIFIERS)} AS ids, {near(SECRETS)} AS keys FROM s),
 k AS (SELECT *, name || ':' || start || ':' || "end" AS span FROM n WHERE kind < {len(STRONG)} OR CASE name WHEN 'id' THEN keys WHEN 'key' THEN ids ELSE ids AND keys END)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
 sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(STRONG)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans

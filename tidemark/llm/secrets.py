@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import new_name, written
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ WEAK = (
     Kind("key", r"[A-Za-z0-9+/]{32,}", 0, 32),
     Kind("endpoint", r"""((?:https?|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://)([A-Za-z0-9.:_-]+)""", 2, 4),
 )
-#: Parts lie in one scope when their starts are at most so many code points apart.
+#: Parts lie in one scope when at most so many code points lie between them; parts that overlap have none between.
 SCOPE = 256
 #: Spans, and four more a document, that are broadcast to the texts they mask (16 bytes each, about).
 BROADCAST_SPANS = 1_000_000
@@ -52,9 +52,13 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     ``spans`` is an array of (start, kind, end, name) in order, by code points with the end
     exclusive; ``kind`` numbers the kinds as listed. A weak span is there only if complementary parts
-    start within ``scope`` of it: for an identifier a secret, for a bare key an identifier, for an
-    endpoint both. The parts of a document are joined by intervals of their starts, as range
-    windows, so no pair of parts is ever made; only matches and one row per document are shuffled.
+    lie within ``scope`` of it: for an identifier a secret, for a bare key an identifier, for an
+    endpoint both. The parts of a document are joined by intervals: of those that start no later the
+    one that ends last, of those that start no earlier the one that starts first is the nearest, so running
+    extremes answer it and no pair of parts is ever made. Only matches and one row per document are shuffled.
+
+    A null or empty text has no spans, repeated rows give a row each, a null doc_id stays null, an empty
+    table gives no rows; further columns are ignored.
     """
     kinds = (*STRONG, *WEAK)
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -74,9 +78,11 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     fit = F.length("value") >= least
     mixed = (F.col("kind") != key) | (F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]") & F.col("value").rlike("[0-9]"))
     spans = placed.withColumn("value", value).where((F.col("kind") < 0) | (fit & mixed))
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
+    running = lambda by: Window.partitionBy("row").orderBy(by).rangeBetween(Window.unboundedPreceding, 0)
     named = lambda names: F.col("kind").isin([i for i, k in enumerate(kinds) if k.name in names])
-    has = lambda names: F.coalesce(F.max(named(names)).over(near), F.lit(False))
+    before = lambda names: F.max(F.when(named(names), F.col("end"))).over(running(F.col("start").asc())) >= F.col("start") - scope
+    after = lambda names: F.min(F.when(named(names), F.col("start"))).over(running(F.col("start").desc())) <= F.col("end") + scope
+    has = lambda names: F.coalesce(before(names), F.lit(False)) | F.coalesce(after(names), F.lit(False))
     spans = spans.withColumn("with_id", has(IDENTIFIERS)).withColumn("with_secret", has(SECRETS))
     linked = F.when(named(("id",)), F.col("with_secret")).when(named(("key",)), F.col("with_id")).otherwise(F.col("with_id") & F.col("with_secret"))
     kept = spans.where((F.col("kind") < first_weak) | linked)
@@ -107,21 +113,22 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataF
 
     n_chars follows the new text, where there is such a column. Null texts stay null, rows without a
     doc_id and repeated rows are masked each, an empty table gives no rows, further columns stay as
-    they are. The spans are written first: as long as they are few (BROADCAST_SPANS) they go to the
+    they are, whatever their names. The spans are written first: as long as they are few (BROADCAST_SPANS) they go to the
     texts, beyond that the texts are shuffled to them.
     """
-    spans = find_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
-    spans = written(spans.dropDuplicates(["_doc_id", "_text_key"]), "spans")
-    if (spans.agg(F.sum(F.size("_spans") + 4)).first()[0] or 0) <= BROADCAST_SPANS:
+    doc_id, key, at = (new_name(docs, x) for x in ("span_doc", "span_key", "spans"))
+    merge = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"))))).otherwise(acc["out"]).alias("out"))
+    none = F.array().cast("array<struct<from: long, to: long>>")
+    # what stays: from the end of one mask to the start of the next, and the end of the last
+    kept = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), merge)
+    spans = find_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), kept.alias(at))
+    spans = written(spans.dropDuplicates([doc_id, key]), "spans")
+    if (spans.agg(F.sum(F.size(F.col(at)["out"]) + 4)).first()[0] or 0) <= BROADCAST_SPANS:
         spans = F.broadcast(spans)
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(mask))).otherwise("")).alias("out"),
-        F.greatest(acc["at"], s["end"].cast("int")).alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    keyed = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text_key")), "left")
-    out = keyed.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
+    piece = lambda x: F.substring(F.col("text"), x["from"].cast("int") + 1, (x["to"] - x["from"]).cast("int"))
+    cut = F.concat(F.array_join(F.transform(F.col(at)["out"], piece), mask), F.lit(mask), F.substring(F.col("text"), F.col(at)["at"].cast("int") + 1, F.length("text")))
+    keyed = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key)), "left")
+    out = keyed.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

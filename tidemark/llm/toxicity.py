@@ -19,6 +19,8 @@ FIT_ROWS = 5_000
 BEGINNINGS = (4, 5, 6)
 #: A feature takes part when its G statistic against some threshold of the grades is at least this.
 LEAST_G = 12.0
+#: Rounds of the two fits that only rank toxic rows.
+HELD_OUT_ROUNDS = 200
 #: A document is rejected when grade 1 or more is likelier than this.
 REJECT = 0.5
 
@@ -111,20 +113,26 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, round
     return OrdinalModel(dict(zip(names.tolist(), theta[:f].tolist(), strict=True)), np.concatenate([cuts, cuts[-1] + 20.0 * np.arange(1, wanted - k + 1)]))
 
 
-def grades_by_evidence(rows: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarray:
-    """Severity grades where labels say only toxic or not: 0, or 1 and up by even parts of the toxic rows' evidence.
+def held_out_grades(rows: list[np.ndarray], toxic: np.ndarray, n_grades: int) -> np.ndarray:
+    """Severity grades where labels say only toxic or not: 0, or 1 and up by even parts of the toxic rows' held-out ranks.
 
-    Evidence is the number of screened features that are more frequent in toxic than in clean rows, so that
-    features typical of clean rows, of which a long row has more, don't raise a grade.
+    Each half of the rows is scored by a model of toxic or not that is fitted on the other half, so no row's
+    grade is made by a fit that has seen it. A half without toxic or without clean rows ranks the other's all alike.
     """
     if not toxic.any():
         return np.zeros(len(rows), np.int64)
-    names, row, col, value = screened(rows, toxic[:, None].astype(float))
-    of_toxic, of_clean = (np.bincount(col[toxic[row] == x], minlength=len(names)) for x in (True, False))
-    telling = of_toxic * int((~toxic).sum()) > of_clean * int(toxic.sum())
-    hits = np.bincount(row, weights=value * telling[col], minlength=len(rows))
-    edges = np.quantile(hits[toxic], np.arange(1, n_grades - 1) / (n_grades - 1))
-    return np.where(toxic, 1 + np.searchsorted(edges, hits, "left"), 0)
+    half, scores = np.arange(len(rows)) % 2, np.zeros(len(rows))
+    for side in (0, 1):
+        own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+        model = fit_ordinal([rows[i] for i in other.tolist()], toxic[other].astype(np.int64), 2, rounds=HELD_OUT_ROUNDS)
+        names = np.array(sorted(model.weights), np.int64)
+        weights = np.array([model.weights[x] for x in names.tolist()])
+        for i in own.tolist():
+            at = np.searchsorted(names, rows[i])
+            known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == rows[i]) if len(names) else np.zeros(len(rows[i]), bool)
+            scores[i] = weights[at[known]].sum() - model.cuts[0]
+    edges = np.quantile(scores[toxic], np.arange(1, n_grades - 1) / (n_grades - 1))
+    return np.where(toxic, 1 + np.searchsorted(edges, scores, "left"), 0)
 
 
 def toxic_labels(labels: DataFrame) -> DataFrame:
@@ -136,11 +144,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, n_grades: int = 4, fit_rows
     """A model of ``docs`` labelled toxic or not, on the ``fit_rows`` labelled rows whose hashed doc_id is smallest.
 
     The sample is bounded by ``fit_rows``, so it is broadcast; features are made where the texts are,
-    and only their hashes come to the driver, which grades the toxic rows and fits.
+    and only their hashes come to the driver, which grades the toxic rows and fits. Of rows that repeat a
+    doc_id one text is taken; labels without a document, and documents without a label, take no part. A null
+    text has no features; without labelled rows no feature has a weight.
     """
     put_on_path(docs.sparkSession)
     sample = toxic_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in text_blocks(batches, 1):
@@ -151,7 +162,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, n_grades: int = 4, fit_rows
     order = sorted(range(len(got["toxic"])), key=lambda i: (got["features"][i], got["toxic"][i]))
     rows = [np.frombuffer(got["features"][i], np.int64) for i in order]
     toxic = np.array([got["toxic"][i] > 0 for i in order], bool)
-    return fit_ordinal(rows, grades_by_evidence(rows, toxic, n_grades), n_grades)
+    return fit_ordinal(rows, held_out_grades(rows, toxic, n_grades), n_grades)
 
 
 class _WordScores(dict):
