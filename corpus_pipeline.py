@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import new_name, written
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
@@ -16,7 +16,11 @@ from tidemark.llm.toxicity import fit_toxicity, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model does not reject; it is fitted on a bounded sample of labels."""
+    """Documents that the ordinal model does not reject; it is fitted on a bounded sample of labels.
+
+    Null and empty texts get what the model's cuts alone say; rows without a doc_id and repeated rows are judged each.
+    An empty table gives no rows.
+    """
     return without_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -27,10 +31,11 @@ def _without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataF
     ``decide`` has it as doc_id. Numbers ascend by doc_id (nulls last), then by place; so the smallest
     number has the smallest doc_id.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = written(placed.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), "_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    gone = decide(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    row = new_name(docs, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = written(placed.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), row).withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = decide(rows.select(F.col(row).alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over all of ``documents``; what a stage keeps is written for the next one. Odd rows: see the stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
