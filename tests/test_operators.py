@@ -159,6 +159,50 @@ def test_last_within_edges(spark):
     assert {r["id"]: r["y"] and r["y"]["cents"] for r in found} == {1: None, 2: 40, 3: 40, 4: None, 5: None}
 
 
+def odd_ticks(spark):
+    """Repeated rows, rows of one time, null ids, values, times and keys."""
+    m = asof.MINUTE
+    return ticks(spark, [(1, 5, 0, 10), (1, 5, 0, 10), (1, None, 0, 11), (1, None, 0, 11), (1, 6, 2 * m, None), (1, 6, 2 * m, 13), (1, 7, 3 * m, 14), (1, 8, None, 15), (None, 1, m, 1), (None, 1, m, 1), (None, 2, 2 * m, 2), (2, 1, 0, 3)])
+
+
+def rank_of(r):
+    return (r["t"], r["id"] is not None, r["id"] or 0)
+
+
+def test_last_within_keeps_repeated_rows(spark):
+    rows = odd_ticks(spark).collect()
+    widths = {"short": asof.MINUTE, "long": 3 * asof.MINUTE}
+    got = asof.last_within(odd_ticks(spark), ["id"], widths).collect()
+    assert sorted(map(str, (r[:5] for r in got))) == sorted(map(str, (tuple(r) for r in rows)))
+    for r in got:
+        for n, w in widths.items():
+            later = [x for x in rows if x["key"] == r["key"] and None not in (x["t"], r["t"]) and r["t"] < x["t"] <= r["t"] + w]
+            assert (r[n] and r[n]["id"]) == (max(later, key=rank_of)["id"] if later else None)
+            assert (r[n] is None) == (not later)
+
+
+def test_first_in_lookback_of_repeated_rows(spark):
+    rows = odd_ticks(spark).collect()
+    got = asof.first_in_lookback(odd_ticks(spark), "cents", "first", 2 * asof.MINUTE).collect()
+    assert sorted(map(str, (r[:5] for r in got))) == sorted(map(str, (tuple(r) for r in rows)))
+    for r in got:
+        back = [x for x in rows if x["key"] == r["key"] and None not in (x["t"], r["t"]) and r["t"] - 2 * asof.MINUTE <= x["t"] <= r["t"]]
+        first = min(map(rank_of, back)) if back else None
+        assert r["first"] in ({x["cents"] for x in back if rank_of(x) == first} or {None})
+
+
+def test_peak_rate_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, None, 5), (1, 2, 20), (2, 1, None), (None, 1, 3)], "key long, id long, t long")
+    assert sorted((tuple(r) for r in windows.peak_rate(rows, ["key"], 10).collect()), key=str) == [(1, 3, 4), (None, 1, 1)]
+
+
+def test_interval_semi_of_repeated_rows(spark):
+    m = asof.MINUTE
+    got = asof.interval_semi(odd_ticks(spark).where("key = 1"), odd_ticks(spark), "key", "t", [("two", 2 * m, m), ("none", 50 * m, m)]).collect()
+    assert sorted((r["t"], r["horizon"], r["observed"]) for r in got if r["t"] is not None) == [(t, n, n == "two" and t in (0, 2 * m)) for t in (0, 2 * m, 3 * m) for n in ("none", "two")]
+    assert not any(r["observed"] for r in got if r["t"] is None)
+
+
 def test_peak_rate_over_stretches(spark):
     rows = ticks(spark, [(1, i, t, 0) for i, t in enumerate([0, 1, 9, 10, 10, 19, 20, 35])])
     assert [tuple(r) for r in windows.peak_rate(rows, ["key"], 10).collect()] == [(1, 4, 8)]  # 1, 9, 10, 10

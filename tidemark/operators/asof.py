@@ -1,42 +1,42 @@
 """As-of lookups in four modes, with one rule for ties: the row id decides.
 
 Anchors and ticks are laid in one stream per key and the last or next tick is carried over, so a
-key's rows are sorted once and no pair is ever made. Only the first row of a short lookback is found
-by a range frame.
+key's rows are sorted once and no pair is ever made.
+
+Rows that repeat come out as often as they go in, with a null id or key too (null keys are one key). A null
+id ranks below all others; rows without a time find nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 MINUTE = 60_000_000
 
 
-def backward(key: str, t: str, width: int) -> WindowSpec:
-    """Rows of the key in [t - width, t]."""
-    return Window.partitionBy(key).orderBy(t).rangeBetween(-width, 0)
-
-
 def last_within(rows: DataFrame, values: list[str], widths: dict[str, int], key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
     """``rows`` with a struct of ``values`` per name of ``widths``: of the last row in (t, t + width], null if there is none.
 
     Each row's deadlines are laid in the key's stream behind the rows of their time, and the last row is
-    carried over: one shuffle by key and one sort, whatever the number of rows within a width.
+    carried over: one shuffle by key and one sort, whatever the number of rows within a width. Its deadlines
+    find back to a row by a number of its own, so rows that are alike stay apart.
     """
     first = next(iter(widths))
+    rows = rows.select("*", F.monotonically_increasing_id().alias("_n"))
+    columns = rows.columns[:-1]
     ticks = rows.select(key, F.col(t).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("t"), F.struct(*values).alias("v")).alias("_tick"))
-    ends = rows.select(key, F.col(t).alias("_t"), F.col(tie).alias("_tie"), F.struct(*rows.columns).alias("_row"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("width")) for n, w in widths.items()])).alias("_w"))
-    ends = ends.select(key, (F.col("_t") + F.col("_w.width")).alias("_at"), F.lit(1).alias("_side"), "_tie", "_t", F.col("_w.name").alias("_name"), F.when(F.col("_w.name") == first, F.col("_row")).alias("_row"))
+    ends = rows.select(key, F.col(t).alias("_t"), "_n", F.struct(*columns).alias("_row"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("width")) for n, w in widths.items()])).alias("_w"))
+    ends = ends.select(key, (F.col("_t") + F.col("_w.width")).alias("_at"), F.lit(1).alias("_side"), "_n", "_t", F.col("_w.name").alias("_name"), F.when(F.col("_w.name") == first, F.col("_row")).alias("_row"))
     order = Window.partitionBy(key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = ticks.unionByName(ends, allowMissingColumns=True).withColumn("_last", F.last("_tick", ignorenulls=True).over(order)).where("_side = 1")
     last = F.when(F.col("_last.t") > F.col("_t"), F.col("_last.v"))
-    out = found.groupBy(key, "_t", "_tie").agg(F.any_value("_row", True).alias("_row"), *[F.any_value(F.when(F.col("_name") == n, last), True).alias(n) for n in widths])
+    out = found.groupBy(key, "_n").agg(F.any_value("_row", True).alias("_row"), *[F.any_value(F.when(F.col("_name") == n, last), True).alias(n) for n in widths])
     return out.select("_row.*", *widths)
 
 
-def carried(probes: DataFrame, at: str, ticks: DataFrame, values: list[str], name: str, ahead: bool = False, key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
+def carried(probes: DataFrame, at: str, ticks: DataFrame, values: list[str | Column], name: str, ahead: bool = False, key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
     """``probes`` with the last tick at or before time ``at`` (``ahead``: the first one at or after it) as a struct ``name`` of t and ``values``.
 
     Of ticks of one time the highest id counts, ahead the lowest. Probes without a time get null.
@@ -44,14 +44,19 @@ def carried(probes: DataFrame, at: str, ticks: DataFrame, values: list[str], nam
     side = 0 if not ahead else 1
     a = probes.select(key, F.col(at).alias("_at"), F.lit(1 - side).alias("_side"), F.struct(*probes.columns).alias("_probe"))
     b = ticks.select(key, F.col(t).alias("_at"), F.lit(side).alias("_side"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("t"), *values).alias("_tick"))
-    order = Window.partitionBy(key).orderBy("_at", "_side", "_tie")
-    found = F.first("_tick", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("_tick", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # looking ahead is looking back in falling order: a frame to the end of a key would be read anew for each row
+    order = [F.desc(c) if ahead else F.asc(c) for c in ("_at", "_side", "_tie")]
+    found = F.last("_tick", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return a.unionByName(b, allowMissingColumns=True).withColumn("_found", found).where("_probe is not null").select("_probe.*", F.when(F.col("_at").isNotNull(), F.col("_found")).alias(name))
 
 
-def first_in_lookback(value: str, key: str, t: str, tie: str, width: int) -> Column:
-    """The value of the first row in [t - width, t]; among rows of one time the lowest id."""
-    return F.min_by(F.col(value), F.struct(t, tie)).over(backward(key, t, width))
+def first_in_lookback(rows: DataFrame, value: str, name: str, width: int, key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
+    """``rows`` with the value, as ``name``, of the first row in [t - width, t]; among rows of one time the lowest id.
+
+    That is the first row at or after t - width, the row's own time at the latest.
+    """
+    found = carried(rows.withColumn("_from", F.col(t) - width), "_from", rows, [F.col(value).alias("value")], "_first", ahead=True, key=key, t=t, tie=tie)
+    return found.select(*rows.columns, F.col("_first.value").alias(name))
 
 
 def _stream(anchors: DataFrame, ticks: DataFrame, key: str, t: str, tie: str, value: str, first: int) -> DataFrame:
@@ -77,9 +82,8 @@ def asof_bracket(anchors: DataFrame, ticks: DataFrame, key: str, t: str, tie: st
     ticks = ticks.groupBy(key, t).agg(F.min_by(value, tie).alias(value), F.min(tie).alias(tie))
     target = anchors.withColumn("_at", F.col(t)).withColumn(t, F.col(t) + shift)
     stream = _stream(target, ticks, key, t, tie, value, 0)
-    order = Window.partitionBy(key).orderBy(t, "_side", "_id")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
-    found = stream.withColumn("before", F.last("_tick", ignorenulls=True).over(back)).withColumn("after", F.first("_tick", ignorenulls=True).over(ahead))
+    back, ahead = (Window.partitionBy(key).orderBy(*[o(c) for c in (t, "_side", "_id")]).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    found = stream.withColumn("before", F.last("_tick", ignorenulls=True).over(back)).withColumn("after", F.last("_tick", ignorenulls=True).over(ahead))
     found = found.where("_anchor is not null").select("_anchor.*", F.col(t).alias("target"), "before", "after")
     return found.withColumn(t, F.col("_at")).drop("_at")
 
@@ -109,9 +113,9 @@ def interpolated(anchors: DataFrame, ticks: DataFrame, key: str, t: str, tie: st
 
 
 def interval_semi(probes: DataFrame, ticks: DataFrame, key: str, t: str, horizons: list[tuple[str, int, int]]) -> DataFrame:
-    """Per probe and horizon (name, after, tolerance): whether a tick lies in [t + after - tolerance, t + after + tolerance] and after t.
+    """Per time (key, t) that probes have and horizon (name, after, tolerance): whether a tick lies in [t + after - tolerance, t + after + tolerance] and after t.
 
-    Counting ticks at or before each end of the interval in the key's stream answers it without pairs.
+    Probes of one key and time ask the same, so they give one row; those without a time see nothing. Counting ticks at or before each end of the interval in the key's stream answers it without pairs.
     """
     out = None
     for name, after, tolerance in horizons:

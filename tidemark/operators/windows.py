@@ -1,4 +1,7 @@
-"""Window operators: runs, trailing windows, flat stretches, cooldown."""
+"""Window operators: runs, trailing windows, flat stretches, cooldown.
+
+Rows that repeat count each; a null id sorts first, null keys are one key, and rows without a time come before all others.
+"""
 
 from __future__ import annotations
 
@@ -91,19 +94,21 @@ def sessions(rows: DataFrame, gap: int) -> DataFrame:
     return rows.withColumn("session", number).groupBy("key", "session").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n"), F.min_by("cents", by).alias("first_cents"), F.max_by("cents", by).alias("last_cents"))
 
 
-def peak_rate(rows: DataFrame, keys: list[str], width: int, tie: str = "id") -> DataFrame:
+def peak_rate(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     """The largest number of rows in any window of ``width`` microseconds that ends with a row.
 
     A key's time is cut into stretches of ``width``, each with the rows of the stretch before, so that a key
     with a fifth of all rows spreads over tasks. In a stretch, running counts at both ends of each
-    row's window give its number without counting anew.
+    row's window give its number without counting anew. Rows that repeat, or have no id, count each; rows
+    without a time are in no window and not counted.
     """
+    rows = rows.where("t is not null").withColumn("_row", F.monotonically_increasing_id())
     by = [*keys, "_part"]
     own = F.floor(F.col("t") / width)
     copies = rows.select(*keys, "t", F.explode(F.array(own, own + 1)).alias("_part"), F.lit(1).alias("_n"), F.lit(0).alias("_side"), F.lit(0).alias("_sign"))
     ends = F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("sign")), F.struct((F.col("t") - width).alias("t"), F.lit(-1).alias("sign")))).alias("_e")
-    probes = rows.select(*keys, own.alias("_part"), F.col(tie).alias("_tie"), ends).select(*keys, "_part", "_tie", F.col("_e.t").alias("t"), F.col("_e.sign").alias("_sign"), F.lit(0).alias("_n"), F.lit(1).alias("_side"))
+    probes = rows.select(*keys, own.alias("_part"), "_row", ends).select(*keys, "_part", "_row", F.col("_e.t").alias("t"), F.col("_e.sign").alias("_sign"), F.lit(0).alias("_n"), F.lit(1).alias("_side"))
     order = Window.partitionBy(*by).orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     seen = copies.unionByName(probes, allowMissingColumns=True).withColumn("_seen", F.sum("_n").over(order)).where("_side = 1")
-    each = seen.groupBy(*by, "_tie").agg(F.sum(F.col("_seen") * F.col("_sign")).alias("_rows"))
+    each = seen.groupBy(*by, "_row").agg(F.sum(F.col("_seen") * F.col("_sign")).alias("_rows"))
     return each.groupBy(*keys).agg(F.max("_rows").alias("peak"), F.count("*").alias("n"))

@@ -110,9 +110,8 @@ _PRE = f"""WITH {TICKS}, p AS (SELECT a.id, a.cents, (SELECT arg_min(b.cents, (b
 @query(_PRE + """ SELECT id, cents - first_cents AS pre_move, CASE WHEN cents - first_cents = 0 THEN 'no_pre_move' WHEN cents = 5000 THEN 'no_gap' WHEN (5000 - cents > 0) <> (cents - first_cents > 0) THEN 'opposes_move' ELSE 'follows_move' END AS relation FROM p""")
 def pre_move(spark: SparkSession, d: str) -> DataFrame:
     """The move since the first tick of the lookback, and how the gap lies to it."""
-    first = asof.first_in_lookback("cents", "key", "t", "id", 600 * asof.MINUTE)
     move = F.col("cents") - F.col("first_cents")
-    return ticks(spark, d).withColumn("first_cents", first).select("id", move.alias("pre_move"), L.gap_relation((F.lit(5000) - F.col("cents")).cast("double"), move.cast("double")).alias("relation"))
+    return asof.first_in_lookback(ticks(spark, d), "cents", "first_cents", 600 * asof.MINUTE).select("id", move.alias("pre_move"), L.gap_relation((F.lit(5000) - F.col("cents")).cast("double"), move.cast("double")).alias("relation"))
 
 
 @query(f"""WITH {TICKS}, a AS (SELECT * FROM ticks WHERE type = 'purchase'), b AS (SELECT * FROM ticks WHERE type = 'view'),

@@ -40,8 +40,8 @@ def _closure(after: Column) -> Column:
 def watchlist(spark: SparkSession, d: str) -> DataFrame:
     """Ticks as watchlist rows: facts, buckets, the pre-move and its relation to the gap, and the closure of the gap at each horizon."""
     rows = ticks(spark, d).select("*", *[F.expr(e).alias(n) for n, e in _FACTS.items()])
-    first = asof.first_in_lookback("price", "key", "t", "id", LOOKBACK * _HOUR)
-    rows = asof.last_within(rows.withColumn("move", F.col("price") - first), ["price", "spread_cents", "liquidity_cents"], {f"after_{h}": n * _HOUR for h, n in HORIZONS.items()})
+    rows = asof.first_in_lookback(rows, "price", "first", LOOKBACK * _HOUR)
+    rows = asof.last_within(rows.withColumn("move", F.col("price") - F.col("first")).drop("first"), ["price", "spread_cents", "liquidity_cents"], {f"after_{h}": n * _HOUR for h, n in HORIZONS.items()})
     closures = [_closure(F.col(f"after_{h}.price")).alias(f"closure_{h}") for h in HORIZONS]
     return rows.select(
         "key", "id", "t", *[n for n in _FACTS if n not in ("game", "phase_tag")], F.expr(_TICKER).alias("ticker"), P.game_of(F.expr(_TICKER)).alias("game"), *closures,
@@ -113,12 +113,6 @@ def cohort_followthrough(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("pooled_rate", pooled()).withColumn("verdict", L.follow_label(most, F.col("pooled_rate")))
 
 
-def _worst(rows: DataFrame) -> DataFrame:
-    """One row: the series with the lowest toward rate among those with ten samples or more, the first by name among equals."""
-    by = rows.groupBy("series").agg(F.count("closure_60m").alias("n"), P.toward_rate(F.col("closure_60m")).alias("rate"))
-    return by.where("n >= 10").agg(F.min(F.struct("rate", "series")).alias("s")).select(F.col("s.series").alias("worst_series"))
-
-
 def _passing(policies: dict[str, str]) -> Column:
     return F.explode(L.reasons([(F.expr(c), n) for n, c in policies.items()])).alias("policy")
 
@@ -141,23 +135,39 @@ FROM (SELECT *, coalesce(rate_30m, 0) >= 0.55 OR coalesce(rate_60m, 0) >= 0.55 O
 def shadow_policies(spark: SparkSession, d: str) -> DataFrame:
     """Eighteen filters on the same rows, with survival, follow-through, paths, concentration in one ticker or game, and a label.
 
-    Rows are grouped by policy and ticker first, so what is summed to policies is small; one-row tables are broadcast.
+    Rows are grouped once, by policy, series, ticker and game, to counts and sums. All else comes from
+    that small table: the worst series is the one with the lowest toward rate of ten samples or more, the first by name
+    among equals, and its policy is the baseline without its groups.
     """
-    rows = watchlist(spark, d)
-    kept = rows.join(F.broadcast(_worst(rows)), how="left").select(_passing(P.FILTERS), "ticker", "game", "path", "spread_change", "liquidity_change", *[f"closure_{h}" for h in HORIZONS])
-    final = F.count("closure_60m")
-    share = lambda p: stats.rate(stats.count_where(F.col("path") == p), final)
-    out = kept.groupBy("policy").agg(
-        F.count("*").alias("included"), *measures(), share("continued_away").alias("away_rate"), share("reverted_toward").alias("reverted_rate"), share("flat").alias("flat_rate"),
-        P.mean(F.col("spread_change")).alias("mean_spread_change"), P.mean(F.col("liquidity_change")).alias("mean_liquidity_change"),
-    )
+    worst_left_out = "exclude_worst_series"
+    filters = {n: "true" if n == worst_left_out else c for n, c in P.FILTERS.items()}
+    rows = watchlist(spark, d).select(_passing(filters), "series", "ticker", "game", "path", "spread_change", "liquidity_change", *[f"closure_{h}" for h in HORIZONS])
+    sums = {"included": F.count("*")}
+    for h in HORIZONS:
+        c = F.col(f"closure_{h}")
+        sums |= {f"samples_{h}": F.count(c), f"toward_{h}": stats.count_where(c > 0), f"closure_{h}": F.sum(c)}
+    sums |= {p: stats.count_where(F.col("path") == p) for p in ("continued_away", "reverted_toward", "flat")}
+    for c in ("spread_change", "liquidity_change"):
+        sums |= {f"n_{c}": F.count(c), c: F.sum(c)}
+    small = rows.groupBy("policy", "series", "ticker", "game").agg(*[c.alias(n) for n, c in sums.items()])
+    by_series = small.where("policy = 'baseline_all_watchlist'").groupBy("series").agg(F.sum("samples_60m").alias("n"), F.sum("toward_60m").alias("k")).where("n >= 10")
+    worst = by_series.agg(F.min(F.struct(stats.rate(F.col("k"), F.col("n")).alias("rate"), "series")).alias("s")).select(F.col("s.series").alias("worst_series"))
+    kept = small.join(F.broadcast(worst), how="left").where((F.col("policy") != worst_left_out) | F.expr(P.FILTERS[worst_left_out])).drop("worst_series")
+    out = kept.groupBy("policy").agg(*[F.sum(n).alias(n) for n in sums])
     for by in ("ticker", "game"):
-        each = kept.groupBy("policy", by).agg(final.alias("k"))
+        each = kept.groupBy("policy", by).agg(F.sum("samples_60m").alias("k"))
         out = out.join(each.groupBy("policy").agg(stats.rate(F.max("k"), F.nullif(F.sum("k"), F.lit(0))).alias(f"{by}_share")), "policy")
-    base = out.where("policy = 'baseline_all_watchlist'").select(F.col("rate_60m").alias("base_60"), F.col("included").alias("base_n"))
-    out = out.join(F.broadcast(base)).withColumn("survival", stats.rate(F.col("included"), F.col("base_n")))
-    label = P.filter_label(F.col("samples_60m"), F.col("rate_30m"), F.col("rate_60m"), F.col("mean_closure_60m"), F.col("base_60"), F.col("survival"), F.col("ticker_share"), F.col("game_share"))
-    return out.withColumn("label", label).drop("base_60", "base_n")
+    base = out.where("policy = 'baseline_all_watchlist'").select(stats.rate(F.col("toward_60m"), F.col("samples_60m")).alias("base_60"), F.col("included").alias("base_n"))
+    mean = lambda total, n: F.round(stats.rate(F.col(total), F.col(n)), 4)
+    final = F.col("samples_60m")
+    out = out.join(F.broadcast(base)).select(
+        "policy", "included", stats.rate(F.col("included"), F.col("base_n")).alias("survival"), "base_60", "ticker_share", "game_share",
+        *[c for h in HORIZONS for c in (f"samples_{h}", f"toward_{h}", stats.rate(F.col(f"toward_{h}"), F.col(f"samples_{h}")).alias(f"rate_{h}"), mean(f"closure_{h}", f"samples_{h}").alias(f"mean_closure_{h}"))],
+        *[stats.rate(F.col(p), final).alias(n) for p, n in (("continued_away", "away_rate"), ("reverted_toward", "reverted_rate"), ("flat", "flat_rate"))],
+        *[mean(c, f"n_{c}").alias(f"mean_{c}") for c in ("spread_change", "liquidity_change")],
+    )
+    label = P.filter_label(final, F.col("rate_30m"), F.col("rate_60m"), F.col("mean_closure_60m"), F.col("base_60"), F.col("survival"), F.col("ticker_share"), F.col("game_share"))
+    return out.withColumn("label", label).drop("base_60")
 
 
 _SETTLED = "CASE WHEN id % 3 = 0 THEN id % 2 END"

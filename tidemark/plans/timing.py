@@ -85,7 +85,7 @@ def timing_policies(spark: SparkSession, d: str) -> DataFrame:
     for name, marks in ((FLAT, windows.flat_stretches(rows, "price", WINDOW, BAND)), (STABLE, windows.equal_stretches(rows, "spread_cents", WINDOW))):
         ahead = asof.carried(triggers.withColumn("_after", F.col("start") + 1), "_after", marks, ["end"], "mark", ahead=True)
         probes.append(ahead.select("key", "anchor", "start", "forecast", F.lit(name).alias("policy"), F.when(F.col("mark.t") <= F.col("start") + WAIT, F.col("mark.end")).alias("at")))
-    last = rows.withColumn("first", asof.first_in_lookback("price", "key", "t", "id", LOOKBACK)).groupBy("key", "t").agg(F.max_by("price", "id").alias("price"), F.max_by("first", "id").alias("first"))
+    last = asof.first_in_lookback(rows, "price", "first", LOOKBACK).groupBy("key", "t").agg(F.max_by("price", "id").alias("price"), F.max_by("first", "id").alias("first"))
     last = last.withColumn("move", F.col("price") - F.col("first")).where("move <> 0")
     follows = windows.within_wait(triggers, last, WAIT).where((F.abs(F.col("forecast") - F.col("price")) >= LEAST_GAP) & ((F.col("forecast") > F.col("price")) == (F.col("move") > 0)))
     at = follows.groupBy("key", "anchor").agg(F.min("t").alias("at"))
