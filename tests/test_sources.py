@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.sources import landing, segments, tables
+from tidemark.sources import landing, tables
 
 
 def test_market_pages(spark, tmp_path):
@@ -29,24 +29,6 @@ def test_catalog_and_pairs(spark, tmp_path):
     assert (r["token_address"], r["price_usd"], r["liquidity_usd"]) == ("t", 1.5, 9.0)
 
 
-def test_segments(spark, tmp_path):
-    rows = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
-    path = str(tmp_path / "seg")
-    committed = segments.write_segments(rows, path, "k", ["id"], 20).cache()
-    assert committed.agg(F.sum("n"), F.max("n"), F.sum("torn")).first()[:] == (100, 20, 0)
-    assert segments.read_segments(spark, path, "k long, id long").where("corrupt IS NULL").count() == 100
-    assert segments.verify(committed, committed).count() == 0
-    changed = committed.withColumn("n", F.when(F.col("segment") == committed.first()["segment"], 1).otherwise(F.col("n")))
-    assert [r["kind"] for r in segments.verify(changed, committed).collect()] == ["changed"]
-
-
-def test_torn_tail(spark, tmp_path):
-    (tmp_path / "x.json").write_text('{"k": 1, "id": 2}\n{"k": 1, "i')
-    rows = segments.read_segments(spark, str(tmp_path), "k long, id long").collect()
-    assert [(r["k"], r["corrupt"]) for r in rows if r["corrupt"] is None] == [(1, None)]
-    assert [r["corrupt"] for r in rows if r["corrupt"] is not None] == ['{"k": 1, "i']
-
-
 def test_upsert_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], "k long, v string, p int").write.partitionBy("p").parquet(path)

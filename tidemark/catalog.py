@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import evidence, fills, forecasting, market, policies, records, states, timing, tokens, venues
+from .plans import archive, evidence, fills, forecasting, market, policies, records, states, timing, tokens, venues
 from .plans.registry import QUERIES, SQL, Query
 
-__all__ = ["evidence", "fills", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "states", "timing", "tokens", "venues"]
+__all__ = ["archive", "evidence", "fills", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "states", "timing", "tokens", "venues"]
 
 
 def queries() -> dict[str, Query]:

@@ -1,40 +1,53 @@
-"""Segments of records as gzip JSON lines, with a manifest; torn tails are told, not hidden."""
+"""Segments of sealed records as gzip JSON lines, with manifests that bind content and order; torn tails are told, not hidden.
+
+A segment is a folder of one file, ``segment=<key>-<no>``. Manifests are committed last, in a folder that data readers
+skip (``_manifests``): a write that fails half way leaves segments that no manifest knows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import chains
+
 
 def read_segments(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Every line with its file; ``corrupt`` holds the text of a line that is no whole record, as a torn tail leaves it."""
     wide = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("corrupt", T.StringType())])
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("segment"), "value")
-    return lines.select("segment", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r")).select("segment", "r.*")
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), "value")
+    parsed = lines.select("file", F.regexp_extract("_path", "segment=([^/]*)/", 1).alias("segment"), F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("r"))
+    return parsed.select("file", "segment", "r.*")
 
 
-def write_segments(records: DataFrame, path: str, key: str, order: list[str], rows_per_segment: int) -> DataFrame:
-    """Writes records in order as gzip JSON lines, at most so many rows a file, and returns the manifest of what is there.
+def write_segments(records: DataFrame, path: str, key: str, order: list[str], at: str, content: Column, most_records: int, most_bytes: int, most_age: int) -> DataFrame:
+    """Writes ``records`` as segments cut by ``chains.rotated``, each record sealed with ordinal, prev and digest; returns the manifests, committed last.
 
-    Files follow ranges of the key and the order, so a segment is a contiguous stretch of a key.
+    ``content`` is the text of a record that its digest covers; its bytes count for ``most_bytes``.
     """
-    dealt = records.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    dealt.write.mode("errorifexists").option("compression", "gzip").option("maxRecordsPerFile", rows_per_segment).json(path)
-    return manifest(records.sparkSession, path, records.select(*records.columns).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    cut = chains.rotated(records.withColumn("content", content), key, order, at, F.octet_length("content"), most_records, most_bytes, most_age)
+    named = cut.withColumn("segment", F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("")), F.format_string("%08d", F.col("segment_no")))).withColumnRenamed("place", "ordinal").drop("segment_no")
+    chains.sealed(named).write.mode("errorifexists").option("compression", "gzip").partitionBy("segment").json(path)
+    return commit(records.sparkSession, path)
+
+
+_SEALED = "ordinal long, prev string, digest string, content string"
+
+
+def commit(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests of the segments that are there, written and read back."""
+    rows = read_segments(spark, path, _SEALED).where("corrupt IS NULL")
+    chains.manifests(rows).write.mode("errorifexists").json(f"{path}/_manifests")
+    return committed(spark, path)
 
 
-def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Per segment: rows, torn lines, and a digest of the sorted digests of its lines."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("segment"), "value")
-    whole = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    torn = F.col("value").rlike(r"\}\s*$") & whole.isNotNull()
-    return lines.groupBy("segment").agg(F.count("*").alias("n"), F.count(F.when(~torn, 1)).alias("torn"), F.sum(F.crc32(F.encode("value", "UTF-8"))).alias("content_sum"), F.sum(F.octet_length("value")).cast("long").alias("bytes"))
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("segment string, records long, first_digest string, last_digest string, root string").json(f"{path}/_manifests")
 
 
-def verify(found: DataFrame, committed: DataFrame) -> DataFrame:
-    """Segments whose manifest is not as committed: missing, unknown or changed."""
-    a, b = committed.select("segment", F.struct("n", "content_sum", "bytes").alias("was")), found.select("segment", F.struct("n", "content_sum", "bytes").alias("is"))
-    both = a.join(b, "segment", "full")
-    kind = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "unknown").otherwise("changed")
-    return both.where(~F.col("is").eqNullSafe(F.col("was"))).select("segment", kind.alias("kind"))
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """``chains.verified`` of what the files hold against the committed manifests, and the torn lines of each segment."""
+    lines = read_segments(spark, path, _SEALED)
+    torn = lines.groupBy("segment").agg(F.count("corrupt").alias("torn"))
+    return chains.verified(lines.where("corrupt IS NULL"), committed(spark, path)).join(torn, "segment", "left").fillna({"torn": 0})
