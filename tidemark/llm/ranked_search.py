@@ -28,7 +28,7 @@ from .words import LETTERS_AND_DIGITS, byte_blocks, words
 
 TOP = 20
 #: Documents and postings of a shard, at most but for its last document; documents of a cluster.
-SHARD_DOCUMENTS, SHARD_POSTINGS, CLUSTER_DOCUMENTS = 4096, 1 << 21, 64
+SHARD_DOCUMENTS, SHARD_POSTINGS, CLUSTER_DOCUMENTS = 2048, 1 << 20, 64
 #: Distinct terms of queries, each with a query, that are searched at once (some 100 bytes each, broadcast).
 TERMS_AT_ONCE = 200_000
 #: Clusters per query that give the floor.
