@@ -1,5 +1,7 @@
 """Edge rows that the driver tables don't hold: nulls, ties, empties, boundaries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,23 +248,68 @@ def test_sequence_verdicts(spark):
     assert [r["verdict"] for r in sequences.audit(rows, "space", "seq", ["turn"]).orderBy("turn").collect()] == ["ok", "ok", "duplicate", "gap", "regression", "missing", "ok"]
 
 
-FRAMES = "space long, market long, seq long, generation long, kind string, side string, price long, change long"
+FRAMES = "space long, turn long, market long, generation long, seq long, kind string, levels array<struct<side string, price long, size long>>, side string, price long, change long"
 
 
 def book_rows(spark):
-    return spark.createDataFrame([
-        (1, 7, 1, 0, "delta", "yes", 40, 5), (1, 7, 2, 0, "snapshot", "yes", 40, 10), (1, 7, 3, 0, "delta", "yes", 40, -10), (1, 8, 4, 0, "snapshot", "no", 30, 3),
-        (1, 7, 6, 0, "delta", "yes", 41, 2), (1, 8, 7, 0, "snapshot", "no", 31, 4), (1, 8, 8, 0, "delta", "no", 31, -5), (1, 8, 9, 0, "delta", "no", 31, 9),
-    ], FRAMES)
+    """Frames of one space with what must come of each; None: it reaches no book."""
+    snap = lambda turn, market, generation, seq, *levels: (1, turn, market, generation, seq, "snapshot", list(levels), None, None, None)
+    delta = lambda turn, market, generation, seq, side, price, change: (1, turn, market, generation, seq, "delta", None, side, price, change)
+    control = lambda turn, seq, kind="trade": (1, turn, None, 0, seq, kind, None, None, None, None)
+    rows = [
+        (delta(1, 7, 0, 1, "yes", 40, 5), ("awaiting_rebase", None, None, None)),
+        (snap(2, 7, 0, 2, ("yes", 40, 10), ("yes", 38, 4), ("no", 55, 6), ("no", 50, 0)), ("ok", 40, 55, 20)),
+        (delta(3, 7, 0, 3, "yes", 40, -10), ("ok", 38, 55, 10)),
+        (snap(4, 8, 0, 4), ("ok", None, None, 0)),
+        (control(5, 5), None), (control(6, None), None), (control(7, 6, "error"), None),
+        (delta(8, 8, 0, 7, "no", 30, 3), ("ok", None, 30, 3)),
+        (delta(9, 8, 0, 7, "no", 30, 3), None),  # a redelivery
+        (delta(10, 7, 0, 8, "yes", 41, 2), ("ok", 41, 55, 12)),
+        (delta(11, 7, 0, 9, "no", 55, -7), ("negative_level", None, None, None)),
+        (delta(12, 7, 0, 10, "no", 55, 9), ("negative_level", None, None, None)),
+        (delta(13, 8, 0, 11, "no", 31, None), ("delta_rejected", None, None, None)),
+        (snap(14, 8, 0, 12, ("no", 31, 4), ("no", 31, 5)), ("snapshot_rejected", None, None, None)),
+        (snap(15, 8, 0, 13, ("no", 31, 4)), ("ok", None, 31, 4)),
+        (snap(16, 7, 0, 14, ("yes", 1, 1)), ("ok", 1, None, 1)),
+        (control(17, 16), None),  # 15 is lost: all books wait for their own snapshots
+        (delta(18, 7, 0, 17, "yes", 1, 1), ("awaiting_rebase", None, None, None)),
+        (snap(19, 7, 0, 18, ("yes", 2, 2)), ("ok", 2, None, 2)),
+        (delta(20, 8, 0, 19, "no", 31, 1), ("awaiting_rebase", None, None, None)),
+        (delta(21, 7, 0, 12, "yes", 2, 1), ("awaiting_rebase", None, None, None)),  # falls back
+        (snap(22, 7, 0, None, ("yes", 2, 2)), ("ok", 2, None, 2)),  # no number: a fault of the space, but this is a snapshot
+        (snap(23, 7, 1, 1, ("yes", 3, 3), ("no", 4, None)), ("snapshot_rejected", None, None, None)),
+        (delta(24, 8, 1, 2, "no", 31, 1), ("awaiting_rebase", None, None, None)),
+        (snap(25, 8, 1, 3, ("yes", 3, 3)), ("ok", 3, None, 3)),
+        (delta(26, 7, 1, 4, "yes", 3, 1), ("snapshot_rejected", None, None, None)),
+    ]
+    return spark.createDataFrame([r for r, _ in rows], FRAMES), [(r[0], r[2], r[3], r[4], w[0] == "ok", *w) for r, w in rows if w]
 
 
-BOOKS = [(1, False, "awaiting_rebase", None), (2, True, "ok", 10), (3, True, "ok", 0), (4, True, "ok", 3), (6, False, "awaiting_rebase", 0), (7, True, "ok", 4), (8, False, "negative_level", 4), (9, False, "negative_level", 4)]
+def test_book_replay(spark):
+    frames, want = book_rows(spark)
+    for df in (frames, frames.repartition(3), frames.orderBy(F.desc("turn"))):
+        assert sorted(map(tuple, sequences.replay_books(df).collect()), key=str) == sorted(want, key=str)
+    assert sequences.replay_books(frames.limit(0)).count() == 0
 
 
-def test_book_replay(spark):
-    got = [(r["seq"], r["publishable"], r["reason"], r["size"]) for r in sequences.replay_books(book_rows(spark)).orderBy("seq").collect()]
-    assert [g[:3] for g in got] == [b[:3] for b in BOOKS]
-    assert [g[3] for g in got][1:4] == [10, 0, 3]
+def test_book_against_plain_levels():
+    rng = random.Random(3)
+    for _ in range(200):
+        book, plain = sequences.Book(), None
+        book.begin((0, 0))
+        for _ in range(rng.randrange(60)):
+            if rng.random() < 0.15:
+                levels = {(rng.choice(("yes", "no")), rng.randrange(8)): rng.randrange(4) for _ in range(rng.randrange(6))}
+                book.snapshot([(s, p, q) for (s, p), q in levels.items()])
+                plain = dict(levels)
+            else:
+                side, price, change = rng.choice(("yes", "no")), rng.randrange(8), rng.randrange(-2, 4)
+                book.delta(side, price, change)
+                if plain is not None:
+                    left = plain.get((side, price), 0) + change
+                    plain = None if left < 0 else plain | {(side, price): left}
+            best = lambda side: max((p for (s, p), q in plain.items() if s == side and q), default=None)
+            assert book.state()[2:] == ((best("yes"), best("no"), sum(plain.values())) if plain is not None else (None, None, None))
 
 
 def test_chain(spark):

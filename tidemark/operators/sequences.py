@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,71 +33,125 @@ def verify_chain(entries: DataFrame, keys: list[str], seq: str, prev: str, diges
 
 
 class Book:
-    """One market's two sides, as integer price levels; faults stop it until the next snapshot of its generation."""
+    """One market's two sides, as whole price levels; faults stop it until its next snapshot, a new epoch until its own.
+
+    The best prices come from heaps whose gone levels are dropped when they reach the top, and the total runs
+    along, so a frame costs what it changes and not the depth of the book.
+    """
 
     def __init__(self):
         self.sides: dict[str, dict[int, int]] = {"yes": {}, "no": {}}
-        self.generation, self.based, self.fault = None, None, "no_snapshot"
-
-    def begin(self, generation: int) -> None:
-        if generation != self.generation:
-            self.generation, self.fault = generation, "awaiting_rebase"
-
-    def snapshot(self, levels: dict[str, dict[int, int]]) -> None:
-        self.sides = {s: {p: q for p, q in levels.get(s, {}).items() if q > 0} for s in ("yes", "no")}
-        self.based, self.fault = self.generation, None
-
-    def delta(self, side: str, price: int, change: int) -> None:
-        """Adds to a level; a level at zero goes; below zero the book halts."""
+        self.heaps: dict[str, list[int]] = {"yes": [], "no": []}
+        self.total, self.epoch, self.fault = 0, None, "awaiting_rebase"
+
+    def begin(self, epoch: tuple[int, int]) -> None:
+        """A new generation, or a fault of the sequence that all books of a space share: the book waits for its own snapshot."""
+        if epoch != self.epoch:
+            self.epoch, self.fault = epoch, "awaiting_rebase"
+
+    def snapshot(self, levels: Iterable[tuple[str, int, int]]) -> None:
+        """Replaces the book; a snapshot with a level twice, or with a missing or negative part, is refused whole and stops it."""
+        sides: dict[str, dict[int, int]] = {"yes": {}, "no": {}}
+        for side, price, size in levels:
+            if side not in sides or price is None or size is None or size < 0 or price in sides[side]:
+                self.fault = "snapshot_rejected"
+                return
+            sides[side][price] = size
+        self.sides = {s: {p: q for p, q in x.items() if q} for s, x in sides.items()}
+        self.heaps = {s: [-p for p in x] for s, x in self.sides.items()}
+        for heap in self.heaps.values():
+            heapify(heap)
+        self.total, self.fault = sum(sum(x.values()) for x in self.sides.values()), None
+
+    def delta(self, side: str | None, price: int | None, change: int | None) -> None:
+        """Adds to a level; a level at zero goes; below zero, or without a part, the book halts and stays as it was."""
         if self.fault is not None:
             return
-        left = self.sides[side].get(price, 0) + change
+        if side not in self.sides or price is None or change is None:
+            self.fault = "delta_rejected"
+            return
+        levels = self.sides[side]
+        left = levels.get(price, 0) + change
         if left < 0:
             self.fault = "negative_level"
-        elif left == 0:
-            self.sides[side].pop(price, None)
+            return
+        if price not in levels and left:
+            heappush(self.heaps[side], -price)
+        if left:
+            levels[price] = left
         else:
-            self.sides[side][price] = left
+            levels.pop(price, None)
+        self.total += change
+
+    def best(self, side: str) -> int | None:
+        heap, levels = self.heaps[side], self.sides[side]
+        while heap and -heap[0] not in levels:
+            heappop(heap)
+        return -heap[0] if heap else None
+
+    def state(self) -> tuple[bool, str, int | None, int | None, int | None]:
+        """Whether it can be published, why not, and, only if so, the best price of each side and the total size."""
+        return (True, "ok", self.best("yes"), self.best("no"), self.total) if self.fault is None else (False, self.fault, None, None, None)
 
-    def state(self) -> tuple[bool, str, int | None, int | None, int]:
-        """Whether it can be published, why not, the best price of each side, and the total size."""
-        best = [max(self.sides[s], default=None) for s in ("yes", "no")]
-        return self.fault is None, self.fault or "ok", *best, sum(sum(s.values()) for s in self.sides.values())
 
+BOOK_STATE = "space long, market long, generation long, seq long, publishable boolean, reason string, best_yes long, best_no long, size long"
+#: Verdicts on a number that put every book of a space out.
+_LOST = ("gap", "regression", "missing")
 
-BOOK_STATE = "space long, market long, seq long, publishable boolean, reason string, best_yes long, best_no long, size long"
+
+def routed(frames: DataFrame) -> DataFrame:
+    """Frames that reach a book, with ``faults``: how often their space's sequence had failed by then.
+
+    All frames of a space share one sequence per generation, in order of ``turn``, and those that are of no book (control
+    frames) use up numbers too; without a number they are passed over. A repeated number is a redelivery and
+    ignored; a gap, a number that falls back, or none on a frame of a book, may have lost a frame of any book.
+    """
+    order = Window.partitionBy("space").orderBy("turn")
+    of_book = F.col("kind").isin("snapshot", "delta") & F.col("market").isNotNull()
+    seen = frames.where(of_book | F.col("seq").isNotNull())
+    before = Window.partitionBy("space", "generation").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("_verdict", sequence_verdict(F.col("seq"), F.max("seq").over(before)))
+    seen = seen.withColumn("faults", F.sum(F.col("_verdict").isin(*_LOST).cast("int")).over(order))
+    return seen.where(of_book & (F.col("_verdict") != "duplicate")).drop("_verdict")
 
 
 def replay_books(frames: DataFrame) -> DataFrame:
     """The state of each market's book after each of its frames.
 
-    frames: space, market, seq, generation, kind ('snapshot' or 'delta'), side, price, change. Frames of a
-    space share one sequence; a gap in it puts every book of the space out until its next snapshot.
-    Gaps are found by a window first, as an epoch per space; then markets, not spaces, are dealt
-    out and each is folded in order as a stream, with one book at a time in memory.
+    frames: space, turn (order of arrival, distinct in a space), market, generation, seq, kind ('snapshot', 'delta' or
+    anything else for control frames), levels (of a snapshot: side, price, size), and side, price, change of a delta.
+    Faults of a space's sequence are found by windows first; then markets, not spaces, are dealt out and each is
+    folded in order as a stream, with one book at a time in memory. Repeated frames have one number and are
+    ignored; frames without a space share one; an empty table gives no rows.
     """
-    order = Window.partitionBy("space").orderBy("seq")
-    gap = F.coalesce(F.col("seq") > F.lag("seq").over(order) + 1, F.lit(False)).cast("int")
-    epochs = frames.withColumn("epoch", F.sum(gap).over(order) + F.col("generation") * F.lit(1_000_000))
-    dealt = epochs.repartition("space", "market").sortWithinPartitions("space", "market", "seq")
+    dealt = routed(frames).repartition("space", "market").sortWithinPartitions("space", "market", "turn")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, book = None, None
         for rows in batches:
             out = []
-            for r in rows.itertuples(index=False):
+            for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
                 if (r.space, r.market) != at:
                     at, book = (r.space, r.market), Book()
-                book.begin(r.epoch)
-                if r.kind == "snapshot":
-                    book.snapshot({r.side: {r.price: r.change}})
-                else:
-                    book.delta(r.side, r.price, r.change)
-                out.append((r.space, r.market, r.seq, *book.state()))
-            frame = pd.DataFrame(out, columns=["space", "market", "seq", "publishable", "reason", "best_yes", "best_no", "size"])
-            yield frame.astype({"best_yes": "Int64", "best_no": "Int64"})
-
-    return dealt.select("space", "market", "seq", "epoch", "kind", "side", "price", "change").mapInPandas(fold, BOOK_STATE)
+                apply_frame(book, r, (r.generation, r.faults))
+                out.append((r.space, r.market, r.generation, r.seq, *book.state()))
+            yield book_rows(out)
+
+    return dealt.select("space", "market", "generation", "seq", "faults", "kind", "levels", "side", "price", "change").mapInPandas(fold, BOOK_STATE)
+
+
+def apply_frame(book: Book, frame: Any, epoch: tuple[int, int]) -> None:
+    whole = lambda x: None if x is None else int(x)
+    book.begin(epoch)
+    if frame.kind == "snapshot":
+        book.snapshot([(x["side"], whole(x["price"]), whole(x["size"])) for x in (frame.levels if frame.levels is not None else ())])
+    else:
+        book.delta(frame.side, whole(frame.price), whole(frame.change))
+
+
+def book_rows(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in BOOK_STATE.split(", ")])
+    return frame.astype({c: "Int64" for c in ("space", "market", "generation", "seq", "best_yes", "best_no", "size")})
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -136,23 +136,50 @@ def sequence_audit(spark: SparkSession, d: str) -> DataFrame:
     return sequences.audit(rows, "conv_id", "seq", ["turn"]).select("conv_id", "turn", "last_seq", "verdict")
 
 
-def book_frames(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as book frames: an order's first line is a snapshot, the others are deltas of supplier levels."""
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
-    start = F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))
-    sign = F.when(F.col("l_returnflag") == "R", -F.col("q")).otherwise(F.col("q"))
-    return line.select(
-        (F.col("l_orderkey") % 97).alias("space"), F.col("l_orderkey").alias("market"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.lit(0).cast("long").alias("generation"),
-        F.when(F.col("l_linenumber") == start, "snapshot").otherwise("delta").alias("kind"), F.when(F.col("l_suppkey") % 2 == 0, "yes").otherwise("no").alias("side"),
-        (F.col("l_suppkey") % 100).alias("price"), F.when(F.col("l_linenumber") == start, F.col("q")).otherwise(sign).alias("change"),
-    )
+# Order lines as frames of books, in SQL that both engines read alike: k is the order, n the line, s the supplier, q the quantity.
+_FRAME = {
+    "space": "k % 97", "market": "k", "generation": "n // 4", "kind": "CASE WHEN n = 1 OR (n = 4 AND k % 3 <> 0) THEN 'snapshot' WHEN n = 2 AND k % 11 = 0 THEN 'trade' ELSE 'delta' END",
+    "side": "CASE WHEN s % 2 = 0 THEN 'yes' ELSE 'no' END", "price": "CASE WHEN n = 1 THEN s % 100 ELSE (k + n) % 40 END", "change": "CASE WHEN k % 131 <> 5 THEN CASE WHEN r = 'R' THEN -(q % 9) ELSE q END END",
+}
+_LEVELS = (("'yes'", "(k + 2) % 40", "q"), ("'yes'", "CASE WHEN k % 53 = 0 THEN (k + 2) % 40 ELSE (k + 5) % 40 + 40 END", "q % 7"), ("'no'", "(k + 3) % 40", "q + 1"), ("'no'", "(k + 6) % 40 + 40", "3"))
 
 
-@query()
+def book_frames(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as frames: first and some fourth lines are snapshots of four levels, some second ones control frames; the fourth begins a generation; numbers skip here and there and some frames come twice."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("r"))
+    sql = lambda e: F.expr(e.replace("//", "div"))
+    levels = F.when(sql(_FRAME["kind"]) == "snapshot", F.array(*[F.struct(sql(a).alias("side"), sql(b).cast("long").alias("price"), sql(c).cast("long").alias("size")) for a, b, c in _LEVELS]))
+    line = line.select("k", "n", *[sql(e).alias(n) for n, e in _FRAME.items()], levels.alias("levels"), "s", "q", "r")
+    order = ["n", "k", "s", "q", "r"]  # lines alike in all of these are the same frame
+    turn = F.row_number().over(Window.partitionBy("space").orderBy(*order))
+    numbered = Window.partitionBy("space", "generation").orderBy(*order)
+    seq = F.row_number().over(numbered) + F.sum(F.when((F.col("n") == 2) & (F.col("k") % 301 == 0), 1).otherwise(0)).over(numbered.rowsBetween(Window.unboundedPreceding, 0))
+    copies = F.explode(F.when((F.col("n") == 3) & (F.col("k") % 101 == 7), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    rows = line.withColumn("_turn", turn).withColumn("seq", seq.cast("long")).select("*", copies)
+    return rows.select("space", "market", F.col("generation").cast("long").alias("generation"), (F.col("_turn") * 2 + F.col("copy")).cast("long").alias("turn"), "seq", "kind", "levels", "side", F.col("price").cast("long").alias("price"), F.col("change").cast("long").alias("change"))
+
+
+_BOOKS = f"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS r FROM lineitem),
+f AS (SELECT k, n, s, q, r, {', '.join(f'{e} AS {n}' for n, e in _FRAME.items())} FROM l),
+g AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY n, k, s, q, r) AS turn, row_number() OVER w + sum(CASE WHEN n = 2 AND k % 301 = 0 THEN 1 ELSE 0 END) OVER w AS seq FROM f WINDOW w AS (PARTITION BY space, generation ORDER BY n, k, s, q, r ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, coalesce(seq > max(seq) OVER (PARTITION BY space, generation ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, false) AS gap FROM g),
+e AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY space ORDER BY turn) AS faults FROM v),
+b AS (SELECT *, count(*) FILTER (WHERE kind = 'snapshot') OVER (PARTITION BY market, generation, faults ORDER BY turn) AS based FROM e WHERE kind <> 'trade'),
+lv AS (SELECT market, generation, faults, based, turn, unnest([{', '.join(f"{{'side': {a}, 'price': {p}, 'size': {z}}}" for a, p, z in _LEVELS)}]) AS x FROM b WHERE kind = 'snapshot'),
+bad AS (SELECT market, generation, faults, based, count(*) > count(DISTINCT (x.side, x.price)) AS rejected FROM lv GROUP BY 1, 2, 3, 4),
+ch AS (SELECT market, generation, faults, based, turn, x.side AS side, x.price AS price, x.size AS size FROM lv UNION ALL SELECT market, generation, faults, based, turn, side, price, change FROM b WHERE kind = 'delta' AND based > 0),
+run AS (SELECT *, sum(size) OVER (PARTITION BY market, generation, faults, based, side, price ORDER BY turn) AS level FROM ch),
+halt AS (SELECT market, generation, faults, based, arg_min(CASE WHEN size IS NULL THEN 'delta_rejected' ELSE 'negative_level' END, turn) AS fault, min(turn) AS since FROM run WHERE size IS NULL OR level < 0 GROUP BY 1, 2, 3, 4),
+st AS (SELECT b.*, CASE WHEN b.based = 0 THEN 'awaiting_rebase' WHEN rejected THEN 'snapshot_rejected' WHEN b.turn >= since THEN fault ELSE 'ok' END AS reason FROM b LEFT JOIN bad USING (market, generation, faults, based) LEFT JOIN halt USING (market, generation, faults, based)),
+lev AS (SELECT st.market, st.turn, run.side, run.price, arg_max(run.level, run.turn) AS level FROM st JOIN run ON run.market = st.market AND run.generation = st.generation AND run.faults = st.faults AND run.based = st.based AND run.turn <= st.turn WHERE reason = 'ok' GROUP BY 1, 2, 3, 4),
+top AS (SELECT market, turn, max(price) FILTER (WHERE side = 'yes' AND level > 0) AS best_yes, max(price) FILTER (WHERE side = 'no' AND level > 0) AS best_no, sum(level) AS size FROM lev GROUP BY 1, 2)
+SELECT space, st.market, CAST(generation AS BIGINT) AS generation, CAST(seq AS BIGINT) AS seq, reason = 'ok' AS publishable, reason, CAST(best_yes AS BIGINT) AS best_yes, CAST(best_no AS BIGINT) AS best_no, CAST(top.size AS BIGINT) AS size FROM st LEFT JOIN top ON top.market = st.market AND top.turn = st.turn"""
+
+
+@query(_BOOKS)
 def book_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Every market's book after every frame; one sequence per space, numbered without gaps."""
-    frames = book_frames(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy("space").orderBy("at")).cast("long"))
-    return sequences.replay_books(frames)
+    """Every market's book after every frame: snapshots of levels, control frames, gaps, redeliveries, two generations."""
+    return sequences.replay_books(book_frames(spark, d))
 
 
 @query("""WITH o AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1), t AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sequences import BOOK_STATE, Book
+from ..operators.sequences import BOOK_STATE, Book, apply_frame, book_rows
 from ..session import put_on_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -71,39 +71,48 @@ class SequenceAudit(StatefulProcessor):
 
 
 class BookKeeper(StatefulProcessor):
-    """Keeps every market's book of a sequence space; a gap puts all of them out until their own next snapshot."""
+    """Keeps every market's book of a sequence space: the space's last number and faults in one value, a book's levels by market.
+
+    Control frames use up numbers; a fault puts all books out until their own next snapshot, a new generation too.
+    Only the books that a micro-batch touches are read and written.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.space = handle.getValueState("space", "seq long, epoch long")
+        self.space = handle.getValueState("space", "generation long, seq long, faults long")
         self.books = handle.getMapState("books", "market long", "state string")
 
     def _load(self, market: int) -> Book:
         book = Book()
         if self.books.containsKey((market,)):
             x = json.loads(self.books.getValue((market,))[0])
-            book.sides = {s: {int(p): q for p, q in levels.items()} for s, levels in x["sides"].items()}
-            book.generation, book.based, book.fault = x["generation"], x["based"], x["fault"]
+            book.snapshot([(s, int(p), q) for s, levels in x["sides"].items() for p, q in levels.items()])
+            book.epoch, book.fault = x["epoch"] and tuple(x["epoch"]), x["fault"]
         return book
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        last, epoch = self.space.get() if self.space.exists() else (None, 0)
+        generation, last, faults = self.space.get() if self.space.exists() else (None, None, 0)
         out, loaded = [], {}
-        for r in _in_order(rows, ["seq"]).itertuples(index=False):
-            if last is not None and r.seq > last + 1:
-                epoch += 1
-            last = r.seq
+        batch = _in_order(rows, ["turn"])
+        for r in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+            of_book = r.kind in ("snapshot", "delta") and r.market is not None
+            if not of_book and r.seq is None:
+                continue
+            if r.generation != generation:
+                generation, last = r.generation, None
+            verdict = "missing" if r.seq is None else "ok" if last is None or r.seq == last + 1 else "duplicate" if r.seq == last else "regression" if r.seq < last else "gap"
+            faults += verdict in ("gap", "regression", "missing")
+            last = r.seq if last is None or (r.seq is not None and r.seq > last) else last
+            if not of_book or verdict == "duplicate":
+                continue
             book = loaded.get(r.market) or loaded.setdefault(r.market, self._load(int(r.market)))
-            book.begin(int(epoch + r.generation * 1_000_000))
-            if r.kind == "snapshot":
-                book.snapshot({r.side: {int(r.price): int(r.change)}})
-            else:
-                book.delta(r.side, int(r.price), int(r.change))
-            out.append((r.space, r.market, r.seq, *book.state()))
+            apply_frame(book, r, (int(generation), int(faults)))
+            out.append((r.space, r.market, r.generation, r.seq, *book.state()))
         for market, b in loaded.items():
-            self.books.updateValue((int(market),), (json.dumps({"sides": b.sides, "generation": b.generation, "based": b.based, "fault": b.fault}),))
-        self.space.update((int(last), int(epoch)))
-        frame = pd.DataFrame(out, columns=["space", "market", "seq", "publishable", "reason", "best_yes", "best_no", "size"])
-        yield frame.astype({"best_yes": "Int64", "best_no": "Int64"})
+            self.books.updateValue((int(market),), (json.dumps({"sides": b.sides, "epoch": b.epoch, "fault": b.fault}),))
+        if generation is not None:
+            self.space.update((int(generation), None if last is None else int(last), int(faults)))
+        if out:
+            yield book_rows(out)
 
     def close(self) -> None:
         pass
@@ -122,6 +131,6 @@ def sequence_stream(frames: DataFrame) -> DataFrame:
 
 
 def book_stream(frames: DataFrame) -> DataFrame:
-    """frames: space, market, seq, generation, kind, side, price, change."""
+    """frames as ``sequences.replay_books`` takes them, in ascending generations, with the same states."""
     put_on_path(frames.sparkSession)
     return frames.groupBy("space").transformWithStateInPandas(BookKeeper(), BOOK_STATE, "Append", "None")
