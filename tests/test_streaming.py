@@ -1,10 +1,12 @@
 """Streams against their batch forms."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import book_rows, ticks
 
-from tidemark.operators import buckets, sequences, windows
+from tidemark.operators import buckets, dedupe, sequences, windows
 from tidemark.streaming import stateful
 from tidemark.streaming import windows as stream_windows
 
@@ -57,3 +59,26 @@ def test_book_stream(spark, tmp_path):
 def test_redeliveries(spark, tmp_path, late):
     rows = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 3)], "delivery string, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(r[0] for r in played(spark, tmp_path, [rows], lambda s: stream_windows.redeliveries_dropped(s, late), "redelivery")) == ["d1", "d2"]
+
+
+@pytest.mark.parametrize("retention", [10**12, 40_000_000])
+def test_ledgers_over_shuffled_batches(spark, tmp_path, retention):
+    rng = random.Random(retention % 97)
+    second = 1_000_000
+    rows = [(i, i * second + rng.randrange(3), rng.choice([None, f"d{rng.randrange(60)}"]), f"m{rng.randrange(40)}", rng.choice([None, f"c{rng.randrange(25)}"])) for i in range(120)]
+    rows += [(1000 + i, 60 * second, f"d{i}", "m1", "c1") for i in range(3)]  # ties
+    schema = "id long, t long, delivery string, message string, content string"
+    dealt = sorted(rows, key=lambda r: r[1] + rng.randrange(-9, 9) * second)  # out of order, within the lateness
+    closer = [(9999, 10**6 * second, None, None, None)]
+    frames = [spark.createDataFrame(dealt[i : i + 30], schema) for i in range(0, len(dealt), 30)] + [spark.createDataFrame(closer, schema)]
+    evidence = spark.createDataFrame(played(spark, tmp_path, frames, lambda s: stateful.ledger_stream(s, "30 seconds", retention), "ledger"), stateful.EVIDENCE)
+    want = {r["id"]: r["verdict"] for r in dedupe.verdicts(spark.createDataFrame(rows, schema), retention).collect()}
+    assert {r["id"]: r["verdict"] for r in dedupe.from_ledgers(evidence).collect()} == want
+    assert len(set(want.values())) == 5
+    forgotten = {(r["kind"], r["key"]): r["n"] for r in evidence.where("id is null").groupBy("kind", "key").agg(F.count("*").alias("n")).collect()}
+    if retention > 10**9:
+        assert not forgotten
+    else:  # each key once after its last row, and once per longer pause
+        times = sorted((r for r in rows if r[3] == "m7"), key=lambda r: r[1])
+        pauses = sum(b[1] - a[1] >= retention for a, b in zip(times, times[1:], strict=False))
+        assert forgotten["message", "=m7"] == pauses + 1

@@ -28,7 +28,7 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list
     The result is staged first, as a job can't read what it overwrites; a rerun gives the same table.
     """
     touched = new.select(partition).distinct()
-    old = spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi")
+    old = spark.read.parquet(path).join(touched, partition, "left_semi")
     upsert(old.select(new.columns), new, keys).write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.dedupe import ledger_rows
 from ..operators.sequences import BOOK_STATE, Book, apply_frame, book_rows
 from ..session import put_on_path
 
@@ -118,6 +120,72 @@ class BookKeeper(StatefulProcessor):
         pass
 
 
+class Ledger(StatefulProcessor):
+    """What is known of one key: whether it was seen, and with which content; forgotten ``retention`` microseconds after its last row.
+
+    Rows wait until the watermark has passed their time and are then taken in order of (t, id), so micro-batches
+    may bring them in any order within the lateness. A timer forgets the key, and a row without an id says so,
+    so that what was evicted can be counted.
+    """
+
+    def __init__(self, retention: int):
+        self.retention = retention
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, id long, content string")
+        self.known = handle.getValueState("known", "t long, content string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch.astype(object).where(batch.notna(), None)
+            taken = [(int(t), int(i), c) for t, i, c in zip(batch["t"], batch["id"], batch["content"], strict=True)]
+            self.waiting.appendList(taken)
+            for at in {t // 1000 + 1 for t, _, _ in taken}:
+                self.handle.registerTimer(at)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, (kind, name) = expiredTimerInfo.getExpiryTimeInMs() * 1000, key
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = sorted((r for r in held if r[0] < due), key=lambda r: r[:2]), [r for r in held if r[0] >= due]
+        known, out = (tuple(self.known.get()) if self.known.exists() else None), []
+        evicted = lambda: out.append((kind, name, None, None, None, None, known[0] + self.retention))
+        for t, i, content in ready:
+            if known and t - known[0] >= self.retention:
+                evicted()
+                known = None
+            out.append((kind, name, i, known is not None, known and known[1], content, t))
+            known = (t, content)
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.known.update(known)
+            self.handle.registerTimer((known[0] + self.retention) // 1000 + 1)
+        elif known and due > known[0] + self.retention:
+            evicted()
+            self.known.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "key", "id", "seen", "was", "content", "t"]).astype({"id": "Int64", "seen": "boolean", "t": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+EVIDENCE = "kind string, key string, id long, seen boolean, was string, content string, t long"
+
+
+def ledger_stream(artifacts: DataFrame, late: str, retention: int) -> DataFrame:
+    """Evidence for ``dedupe.from_ledgers``: three rows per artifact, and one without an id per key forgotten.
+
+    artifacts: id, t (microseconds), delivery, message, content. Each ledger's keys are dealt out by
+    themselves, so no task holds a whole ledger. The three rows of an artifact come in one micro-batch, the one in which the
+    watermark (``late`` behind the latest time) passes it; rows later than that are dropped, which Spark counts.
+    """
+    put_on_path(artifacts.sparkSession)
+    timed = artifacts.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", late)
+    return ledger_rows(timed).groupBy("kind", "key").transformWithStateInPandas(Ledger(retention), EVIDENCE, "Append", "EventTime")
+
+
 def cooldown_stream(rows: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """rows: the keys, t (microseconds), id; the rows that pass."""
     put_on_path(rows.sparkSession)
