@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import absence as A
-from .registry import query, table
+from ..operators import asof, fills
+from .registry import micros, query, table
 
 # Whole amounts drawn from an order's key, in SQL that both engines read alike.
 _PARTS = {
@@ -37,3 +38,105 @@ def network_costs(spark: SparkSession, d: str) -> DataFrame:
         F.col("k").alias("o_orderkey"), F.col("base.value").alias("base"), F.col("residual.value").alias("residual"), F.col("residual.reason").alias("residual_reason"), F.col("budget.value").alias("budget"),
         F.col("priority.value").alias("priority"), F.col("priority.reason").alias("priority_reason"), F.col("cost.value").alias("cost"), F.col("cost.reason").alias("cost_reason"),
     )
+
+
+# Facts of an order's transaction, in SQL that both engines read alike: k is the order, cu its customer, st its status, c its price in cents.
+_TX = {
+    "party": "concat('c', cu)", "relayed": "k % 7 = 0", "failed": "st = 'F' AND k % 9 = 0", "fee": "CASE WHEN k % 23 <> 0 THEN 5000 * (1 + k % 2) + k % 50 * 20 END", "tip_units": "k % 1000 + 1",
+    "destination": "CASE WHEN k % 4 = 0 THEN 'tip_one' WHEN k % 4 = 1 THEN 'tip_two' ELSE concat('friend', k % 5) END", "mint": "concat('m', k % 6)", "units": "c * 3 + k % 10", "opens": "k % 3 = 0",
+    "owned": "k % 29 <> 0", "balances": "k % 31 <> 0", "tokens": "k % 37 <> 0", "readable": "k % 5 <> 0", "second": "k % 17 = 0", "decision": "CASE WHEN k % 11 <> 0 THEN k END",
+}
+_RENT, _START, _REGISTRY = 2039, 10_000_000_000, ["tip_one", "tip_two"]
+_QUOTE = {"input_mint": "CASE WHEN k % 41 = 0 THEN 'other' ELSE 'native' END", "output_mint": "CASE WHEN k % 43 = 0 THEN 'other' ELSE concat('m', k % 6) END", "quoted_input": "c + CASE WHEN k % 8 = 0 THEN c ELSE 0 END", "least_output": "CASE WHEN k % 47 = 0 THEN c * 4 ELSE c * 2 END", "quoted_price": "3.0 + (k % 5) / 100.0"}
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cu"), F.col("o_orderstatus").alias("st"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"), micros("o_orderdate").alias("t"))
+    return rows.select("*", *[F.expr(e).alias(n) for n, e in _TX.items()])
+
+
+def transactions(spark: SparkSession, d: str) -> DataFrame:
+    """orders as transactions: each spends its price in native units for units of a mint; some fail, are relayed, hide an owner or come without balances, tokens or instructions."""
+    f = _facts(spark, d)
+    ok, zero = ~F.col("failed"), F.lit(0).cast("long")
+    if_ok = lambda x: F.when(ok, x).otherwise(zero)
+    rent = if_ok(F.when(F.col("opens"), _RENT).otherwise(0))
+    spent = if_ok(F.col("c") + F.col("tip_units")) + rent
+    fee = F.coalesce("fee", F.lit(5000).cast("long"))
+    start = F.lit(_START).cast("long")
+    payer = F.when(F.col("relayed"), "relay").otherwise(F.col("party"))
+    keys = F.array(payer, F.concat(F.lit("a"), "k"), F.concat(F.lit("b"), "k"), F.col("destination"))
+    tail = lambda x: F.when(F.col("relayed"), F.array(x)).otherwise(F.array().cast(x_type(x)))
+    x_type = lambda x: "array<string>" if x is party else "array<long>"
+    party = F.col("party")
+    opened = F.when(F.col("opens"), 0).otherwise(_RENT).cast("long")
+    pre = F.array(start, opened, F.lit(_RENT).cast("long"), F.lit(7).cast("long"))
+    post = F.array(start - fee - F.when(F.col("relayed"), zero).otherwise(spent), opened + rent, F.lit(_RENT).cast("long"), 7 + if_ok(F.col("tip_units")))
+    token = lambda at, mint, units, owner: F.struct(F.lit(at).alias("at"), owner.alias("owner"), mint.alias("mint"), units.cast("long").alias("units"), F.lit(6).alias("decimals"))
+    owner = F.when(F.col("owned"), party)
+    some = lambda c, x: F.when(F.col(c), x)
+    return f.select(
+        F.col("k").alias("signature"), "t", "party", "decision", F.when(F.col("failed"), "custom").alias("error"), F.col("fee").cast("long").alias("fee"), F.concat(keys, tail(party)).alias("keys"),
+        some("balances", F.concat(pre, tail(start))).alias("pre"), some("balances", F.concat(post, tail(start - spent))).alias("post"),
+        some("tokens", F.array(token(1, F.col("mint"), F.lit(4), owner))).alias("pre_tokens"),
+        some("tokens", F.concat(F.array(token(1, F.col("mint"), 4 + if_ok(F.col("units")), owner)), F.when(F.col("second") & ok, F.array(token(2, F.lit("x"), F.lit(5), party))).otherwise(F.array().cast("array<struct<at: int, owner: string, mint: string, units: long, decimals: int>>")))).alias("post_tokens"),
+        some("readable", F.array(F.struct(F.when(F.col("relayed"), party).otherwise(payer).alias("source"), F.col("destination").alias("destination"), F.col("tip_units").cast("long").alias("units")))).alias("transfers"),
+    )
+
+
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    return _facts(spark, d).where("k % 13 <> 0").select(F.col("k").alias("decision"), *[F.expr(e).cast("double" if n == "quoted_price" else "string" if n.endswith("mint") else "long").alias(n) for n, e in _QUOTE.items()])
+
+
+# What must come of it, by arithmetic on the facts alone.
+_DECODED = f"""f AS (SELECT k, cu, st, c, t, {', '.join(f'{e} AS {n}' for n, e in _TX.items())} FROM (SELECT o_orderkey AS k, o_custkey AS cu, o_orderstatus AS st, CAST(round(o_totalprice * 100) AS BIGINT) AS c, epoch_us(o_orderdate) AS t FROM orders)),
+g AS (SELECT *, destination LIKE 'tip%' AS listed, balances AND (relayed OR fee IS NOT NULL) AS has_native, CASE WHEN failed OR NOT opens THEN 0 ELSE {_RENT} END AS rent, owned AND tokens AS seen FROM f),
+h AS (SELECT *, CASE WHEN has_native THEN CASE WHEN failed THEN 0 ELSE -(c + CASE WHEN readable AND listed THEN 0 ELSE tip_units END + rent - CASE WHEN seen THEN rent ELSE 0 END) END END AS native,
+ CASE WHEN balances THEN CASE WHEN listed AND NOT failed THEN tip_units ELSE 0 END WHEN readable THEN CASE WHEN listed THEN tip_units ELSE 0 END END AS tip, CASE WHEN readable THEN CASE WHEN listed THEN tip_units ELSE 0 END END AS attempted FROM g),
+d AS (SELECT *, CASE WHEN failed THEN 'transaction_failed' WHEN NOT tokens THEN 'not_provided' WHEN native IS NULL OR native = 0 OR owned = second THEN 'not_reconstructable' END AS refusal, CASE WHEN owned THEN mint ELSE 'x' END AS om, CASE WHEN owned THEN units ELSE 5 END AS ou FROM h)"""
+
+
+@query(f"""WITH {_DECODED} SELECT k AS signature, CAST(native AS BIGINT) AS native, CASE WHEN native IS NULL THEN 'not_reconstructable' END AS native_reason, CAST(CASE WHEN balances THEN CASE WHEN seen THEN rent ELSE 0 END END AS BIGINT) AS rent, CAST(tip AS BIGINT) AS tip, CASE WHEN tip IS NULL THEN 'not_reconstructable' END AS tip_reason, CAST(attempted AS BIGINT) AS tip_attempted,
+CASE WHEN refusal IS NULL THEN 'native' END AS input_mint, CAST(CASE WHEN refusal IS NULL THEN -native END AS BIGINT) AS input, CASE WHEN refusal IS NULL THEN om END AS output_mint, CAST(CASE WHEN refusal IS NULL THEN ou END AS BIGINT) AS output, refusal FROM d""")
+def decoded_fills(spark: SparkSession, d: str) -> DataFrame:
+    """F1, of F2 the tip: what changed hands in each transaction, or why it can't be told."""
+    rows = fills.decoded(transactions(spark, d), _REGISTRY)
+    value = lambda c: F.col(f"{c}.value").alias(c)
+    return rows.select("signature", value("native"), F.col("native.reason").alias("native_reason"), value("rent"), value("tip"), F.col("tip.reason").alias("tip_reason"), value("tip_attempted"), "input_mint", value("input"), "output_mint", value("output"), "refusal")
+
+
+_LINKED = f"""{_DECODED}, q AS (SELECT k, {', '.join(f'{e} AS {n}' for n, e in _QUOTE.items())} FROM f WHERE k % 13 <> 0),
+l AS (SELECT d.*, q.k AS quote, q.input_mint AS q_in, q.output_mint AS q_out, q.quoted_input, q.least_output, q.quoted_price, list_filter([CASE WHEN decision IS NULL THEN 'no_decision' END, CASE WHEN decision IS NOT NULL AND q.k IS NULL THEN 'no_quote' END, CASE WHEN refusal IS NULL AND q.input_mint <> 'native' THEN 'input_mint_mismatch' END,
+ CASE WHEN refusal IS NULL AND q.output_mint <> om THEN 'output_mint_mismatch' END, CASE WHEN refusal IS NULL AND q.output_mint = om AND ou < least_output THEN 'min_output_breach' END], lambda x: x IS NOT NULL) AS refusals FROM d LEFT JOIN q ON q.k = d.decision)"""
+_PRICE = "((ou / 1000000.0::DOUBLE) / (-native / 1000000000.0::DOUBLE))"
+
+
+@query(f"""WITH {_LINKED} SELECT k AS signature, array_to_string(refusals, ',') AS refusals, len(refusals) = 0 AS linked, CASE WHEN len(refusals) = 0 AND refusal IS NULL THEN round((quoted_price - {_PRICE}) / quoted_price, 9) END AS slippage,
+CASE WHEN len(refusals) = 0 AND refusal IS NULL THEN round(-native::DOUBLE / quoted_input, 9) END AS fill_ratio, CASE WHEN len(refusals) = 0 AND refusal IS NULL THEN -native < quoted_input END AS partial FROM l""")
+def linked_fills(spark: SparkSession, d: str) -> DataFrame:
+    """Fills held against the quotes that they name; mints and the least output may refute the link."""
+    rows = fills.linked(fills.decoded(transactions(spark, d), _REGISTRY), quotes(spark, d))
+    return rows.select("signature", F.array_join("refusals", ",").alias("refusals"), "linked", F.round("slippage", 9).alias("slippage"), F.round("fill_ratio", 9).alias("fill_ratio"), "partial")
+
+
+_MARK, _WITHIN = 30 * 86_400_000_000, 20 * 86_400_000_000
+
+
+def _status(rows: DataFrame) -> Column:
+    return F.when(F.col("error").isNotNull(), "failed").when(F.col("refusal").isNotNull(), "undecodable").otherwise("confirmed")
+
+
+@query(f"""WITH {_LINKED}, p AS (SELECT cu AS key, t, arg_min(c, k) AS price FROM f GROUP BY 1, 2),
+m AS (SELECT l.k, min((abs(p.t - l.t - {_MARK}), p.t, p.price)) AS x FROM l LEFT JOIN p ON p.key = l.cu AND abs(p.t - l.t - {_MARK}) <= {_WITHIN} GROUP BY 1)
+SELECT l.k AS signature, CASE WHEN failed THEN 'failed' WHEN refusal IS NOT NULL THEN 'undecodable' ELSE 'confirmed' END AS status, len(refusals) = 0 AS linked, CAST(CASE WHEN failed THEN 0 ELSE 1 END * coalesce(tip, 0) + coalesce(fee, 0) AS BIGINT) AS known_cost,
+fee IS NOT NULL AND tip IS NOT NULL AS cost_known, CAST(x[3] AS BIGINT) AS mark, CAST(x[1] AS BIGINT) AS mark_distance, CASE WHEN x[3] IS NULL THEN 'no_price_near' ELSE 'observed' END AS mark_source FROM l JOIN m USING (k)""")
+def realized_fills(spark: SparkSession, d: str) -> DataFrame:
+    """one row per transaction: status, link, cost and the price a month on; what no source gives stays absent and is named."""
+    rows = fills.linked(fills.decoded(transactions(spark, d), _REGISTRY), quotes(spark, d))
+    facts = _facts(spark, d).select(F.col("cu").alias("key"), F.col("k").alias("id"), "t", F.col("c").alias("price"))
+    marks = asof.nearest(facts.select("key", "id", "t"), facts, "key", "t", "id", "price", _MARK, _WITHIN).select(F.col("id").alias("signature"), F.col("near_value").alias("mark"), F.col("near_distance").alias("mark_distance"))
+    cost = A.combined(F.struct(F.col("fee").alias("value"), F.when(F.col("fee").isNull(), "not_provided").alias("reason")), F.col("tip"))
+    return rows.join(marks, "signature").select(
+        "signature", _status(rows).alias("status"), "linked", (F.when(F.col("error").isNull(), F.coalesce("tip.value", F.lit(0))).otherwise(0) + F.coalesce("fee", F.lit(0))).cast("long").alias("known_cost"),
+        cost["reason"].isNull().alias("cost_known"), "mark", "mark_distance", F.when(F.col("mark").isNull(), "no_price_near").otherwise("observed").alias("mark_source"),
+    )
