@@ -285,6 +285,63 @@ def book_rows(spark):
     return spark.createDataFrame([r for r, _ in rows], FRAMES), [(r[0], r[2], r[3], r[4], w[0] == "ok", *w) for r, w in rows if w]
 
 
+@pytest.mark.parametrize(("width", "grace", "margin"), [(20, 2, 3), (20, 0, 0), (7, 1, 0)])
+def test_feasible_pairs(spark, width, grace, margin):
+    rng = random.Random(width + grace)
+    rows = [(rng.choice([1, 2, None]), i, o := rng.randrange(120), rng.choice([None, o - rng.randrange(5), o + rng.randrange(25)])) for i in range(150)] + [(1, 900, None, 3)]
+    got = linkage.feasible_pairs(spark.createDataFrame(rows, "g long, id long, open long, ready long").repartition(3), "g", width, grace, margin).collect()
+    want = {}
+    for g, i, o, p in rows[:-1]:
+        others = [r for r in rows[:-1] if r[0] == g and r[1] != i]
+        d = o + width - grace - margin
+        use = [(max(b[2] - margin, b[3]), b[1]) for b in others if (b[2], b[1]) > (o, i) and p is not None and p <= d and b[3] is not None and b[3] <= d and b[2] + grace <= o + width and b[3] <= b[2] + width - grace - margin]
+        want[i] = (sum(abs(b[2] - o) <= width for b in others), len(use), min(use)[1] if use else None)
+    assert {r["id"]: (r["overlapping"], r["usable"], r["partner"]) for r in got} == want
+    assert linkage.feasible_pairs(spark.createDataFrame([], "g long, id long, open long, ready long"), "g", width, grace, margin).count() == 0
+
+
+def family(spark):
+    grand = spark.createDataFrame([(1, "old", False), (2, "old", True), (3, "new", False), (4, "old", False), (5, None, None)], "id long, age string, safe boolean")
+    parents = spark.createDataFrame([(10, 1, "old", False), (11, 1, "new", False), (12, 2, "old", False), (13, 4, "old", False), (14, None, "old", None), (15, 99, "old", False), (11, 1, "new", False)], "id long, of long, age string, safe boolean")
+    children = spark.createDataFrame([(100, 10, "new", False), (101, 11, "old", False), (102, 12, "old", True), (103, 13, "new", True), (104, 14, "old", None), (105, None, "new", False)], "id long, of long, age string, safe boolean")
+    old, safe = F.col("age") == "old", F.col("safe")
+    policies = {"grand": retention.Policy(old, safe), "child": retention.Policy(old, safe, "parent", "of", "id"), "parent": retention.Policy(old, safe, "grand", "of", "id")}
+    return {"grand": grand, "parent": parents, "child": children}, policies
+
+
+FATES = {
+    "grand": [(1, "deleted"), (2, "kept_protected"), (3, "kept"), (4, "kept_for_child"), (5, "kept")],
+    "parent": [(10, "deleted"), (11, "cascaded"), (11, "cascaded"), (12, "kept_for_child"), (13, "kept_for_child"), (14, "deleted"), (15, "deleted")],
+    "child": [(100, "cascaded"), (101, "deleted"), (102, "kept_protected"), (103, "kept"), (104, "deleted"), (105, "kept")],
+}
+
+
+def test_cascade(spark):
+    tables_, policies = family(spark)
+    fates = retention.cascade(tables_, policies)
+    assert list(fates) == ["child", "parent", "grand"]
+    assert {n: sorted((r["id"], r["fate"]) for r in df.collect()) for n, df in fates.items()} == FATES
+    empty = retention.cascade({n: df.limit(0) for n, df in tables_.items()}, policies)
+    assert [r["n"] for r in retention.plan(empty).collect()] == [0, 0, 0]
+
+
+def test_prune_removes_what_the_plan_says(spark, tmp_path):
+    from tidemark.sources import tables
+
+    made, policies = family(spark)
+    paths = {n: str(tmp_path / n) for n in made}
+    for n, df in made.items():
+        df.withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(paths[n])
+    read = lambda: {n: spark.read.parquet(p) for n, p in paths.items()}
+    fates = retention.cascade(read(), policies)
+    planned = {r["table"]: r["deleted"] + r["cascaded"] for r in retention.plan(fates).collect()}
+    paths = {n: paths[n] for n in fates}
+    assert tables.prune(spark, paths, fates, dict.fromkeys(paths, "part"), str(tmp_path / "staging")) == planned == {"child": 3, "parent": 5, "grand": 1}
+    assert {n: sorted(r["id"] for r in df.collect()) for n, df in read().items()} == {n: [i for i, f in rows if f not in ("deleted", "cascaded")] for n, rows in FATES.items()}
+    again = retention.cascade(read(), policies)
+    assert tables.prune(spark, paths, again, dict.fromkeys(paths, "part"), str(tmp_path / "again")) == dict.fromkeys(paths, 0)
+
+
 def test_book_replay(spark):
     frames, want = book_rows(spark)
     for df in (frames, frames.repartition(3), frames.orderBy(F.desc("turn"))):

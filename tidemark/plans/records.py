@@ -236,6 +236,26 @@ def retention_dry_run(spark: SparkSession, d: str) -> DataFrame:
     return retention.dry_run(t.join(F.broadcast(cut)), "t", F.col("cut"), ["type"], F.col("cents") > 9000)
 
 
+_FATES = ("deleted", "cascaded", "kept_protected", "kept_for_child", "kept")
+_DUE = {"lineitem": "l_shipdate < TIMESTAMP '1993-06-01'", "orders": "o_orderdate < TIMESTAMP '1994-01-01'", "customer": "c_acctbal < 0"}
+_HELD = {"lineitem": "l_returnflag = 'R' AND l_linenumber = 6", "orders": "o_orderstatus = 'P'", "customer": "c_mktsegment = 'BUILDING'"}
+
+
+@query(f"""WITH l AS (SELECT *, coalesce({_HELD['lineitem']}, false) AS held, coalesce({_DUE['lineitem']}, false) AS due FROM lineitem), o AS (SELECT *, coalesce({_HELD['orders']}, false) AS held, coalesce({_DUE['orders']}, false) AS due, o_orderkey IN (SELECT l_orderkey FROM l WHERE held) AS child FROM orders),
+c AS (SELECT *, coalesce({_HELD['customer']}, false) AS held, coalesce({_DUE['customer']}, false) AS due, c_custkey IN (SELECT o_custkey FROM o WHERE held OR child) AS child FROM customer),
+cf AS (SELECT c_custkey, CASE WHEN due AND NOT held AND NOT child THEN 'deleted' WHEN held AND due THEN 'kept_protected' WHEN child AND due THEN 'kept_for_child' ELSE 'kept' END AS fate FROM c),
+of AS (SELECT o_orderkey, CASE WHEN due AND NOT held AND NOT child THEN 'deleted' WHEN NOT held AND NOT child AND o_custkey IN (SELECT c_custkey FROM cf WHERE fate = 'deleted') THEN 'cascaded' WHEN held AND due THEN 'kept_protected' WHEN child AND due THEN 'kept_for_child' ELSE 'kept' END AS fate FROM o),
+lf AS (SELECT CASE WHEN due AND NOT held THEN 'deleted' WHEN NOT held AND l_orderkey IN (SELECT o_orderkey FROM of WHERE fate IN ('deleted', 'cascaded')) THEN 'cascaded' WHEN held AND due THEN 'kept_protected' ELSE 'kept' END AS fate FROM l),
+u AS (SELECT 'customer' AS "table", fate FROM cf UNION ALL SELECT 'orders', fate FROM of UNION ALL SELECT 'lineitem', fate FROM lf)
+SELECT "table", count(*) AS n, {', '.join(f"CAST(count(*) FILTER (WHERE fate = '{f}') AS BIGINT) AS {f}" for f in _FATES)} FROM u GROUP BY 1""")
+def retention_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """What goes from three tables that belong together: children with their parents, and no parent of a protected row."""
+    sql = lambda e: F.expr(e.replace("TIMESTAMP '", "TIMESTAMP_NTZ'").replace("-01'", "-01 00:00:00'"))
+    of = lambda name, *edge: retention.Policy(sql(_DUE[name]), sql(_HELD[name]), *edge)
+    policies = {"lineitem": of("lineitem", "orders", "l_orderkey", "o_orderkey"), "orders": of("orders", "customer", "o_custkey", "c_custkey"), "customer": of("customer")}
+    return retention.plan(retention.cascade({n: table(spark, d, n) for n in policies}, policies))
+
+
 @query("""WITH n AS (SELECT 'day' AS tier, date_trunc('day', o_orderdate) AS p, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders GROUP BY 2 ORDER BY 2 DESC LIMIT 7), w AS (SELECT 'week' AS tier, date_trunc('week', o_orderdate) AS p, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders GROUP BY 2 ORDER BY 2 DESC LIMIT 4), m AS (SELECT 'month' AS tier, date_trunc('month', o_orderdate) AS p, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders GROUP BY 2 ORDER BY 2 DESC LIMIT 6)
 SELECT id AS o_orderkey, string_agg(tier, ',' ORDER BY tier) AS tiers FROM (FROM n UNION ALL FROM w UNION ALL FROM m) x GROUP BY 1""")
 def tiered_retention(spark: SparkSession, d: str) -> DataFrame:

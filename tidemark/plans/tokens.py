@@ -92,6 +92,25 @@ def shared_windows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_W = T.HORIZONS["15m"]
+
+
+@query(f"""WITH {TICKS}, m AS (SELECT key, key % 2 AS g, {_ANCHOR} + {_W} - {_W} // 2 AS o, {_ANCHOR} + {_W} - {_W} // 2 + (key % 23 - 6) * 60000000 AS p FROM ticks GROUP BY key), a AS (SELECT *, o + {_W} AS c, o + {_W} - {_G} - {_M} AS d, greatest(o - {_M}, p) AS k, p <= o + {_W} - {_G} - {_M} AS armed FROM m),
+v AS (SELECT a.key, count(*) AS overlapping FROM a JOIN a b ON a.g = b.g AND a.key <> b.key AND b.o BETWEEN a.o - {_W} AND a.o + {_W} GROUP BY 1),
+u AS (SELECT a.key, count(*) AS usable, arg_min(b.key, (b.k, b.key)) AS partner FROM a JOIN a b ON a.g = b.g AND (b.o, b.key) > (a.o, a.key) AND a.armed AND b.p <= a.d AND b.o + {_G} <= a.c GROUP BY 1),
+r AS (SELECT a.*, coalesce(overlapping, 0) AS overlapping, coalesce(usable, 0) AS usable, partner, o + (key % 9 - 3) * 180000000 AS now FROM a LEFT JOIN v USING (key) LEFT JOIN u USING (key)), x AS (SELECT r.*, q.o AS po FROM r LEFT JOIN a q ON q.key = r.partner)
+SELECT key, armed, overlapping, usable, partner, CASE WHEN po IS NULL THEN 'no_overlapping_pair' WHEN now > c THEN 'expired' WHEN po + {_G} > c OR c - {_G} - {_M} < po OR now > c - {_G} - {_M} THEN 'insufficient_arm_slack' WHEN now < po - {_M} THEN 'pair_detected_not_due' WHEN now < po THEN 'pair_ready_for_manual_preparation' ELSE 'shared_due_now_ready' END AS state FROM x""")
+def pair_feasibility(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each one's window meets, with how many it could be used together, the one that is ready first, and how ready that pair is; counted by a sweep, no pair is made."""
+    anchor = F.expr(f"born - born % 86400000000 + key % 40 * 60000000 + {_W} - {_W} div 2")
+    m = ticks(spark, d).groupBy("key").agg(F.min("t").alias("born")).select(F.col("key").alias("id"), (F.col("key") % 2).alias("g"), anchor.alias("open"), (anchor + (F.col("key") % 23 - 6) * 60_000_000).alias("ready"))
+    found = linkage.feasible_pairs(m, "g", _W, _G, _M)
+    opens = m.select(F.col("id").alias("partner"), F.col("open").alias("shared"))
+    now = F.col("open") + (F.col("id") % 9 - 3) * 180_000_000
+    state = F.when(F.col("shared").isNull(), "no_overlapping_pair").otherwise(T.readiness(F.col("shared"), F.col("open") + _W, now, _M))
+    return found.join(opens, "partner", "left").select(F.col("id").alias("key"), "armed", "overlapping", "usable", "partner", state.alias("state"))
+
+
 _PAIR = {
     "price": "CASE WHEN pair % 13 <> 0 THEN cents END",
     "liquidity": "CASE WHEN pair % 7 <> 0 THEN quantity * 1000 ELSE 0 END",

@@ -33,9 +33,32 @@ def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def prune(spark: SparkSession, path: str, kept: DataFrame, partition: str) -> None:
-    """Overwrites the partitions of ``kept`` with what is kept of them; ``kept`` must not read from ``path``."""
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def prune(spark: SparkSession, paths: dict[str, str], fates: dict[str, DataFrame], partition: dict[str, str], staging: str) -> dict[str, int]:
+    """Removes what ``retention.cascade`` says goes, table by table, children first; returns the rows removed.
+
+    What stays of the touched partitions is staged for all tables before the first is rewritten, as the fates are read from the
+    tables themselves. A partition of which nothing stays is removed. After a failure the run is repeated on what is
+    there: a child's rows that are gone are gone, and no parent goes before its children.
+    """
+    gone = {n: F.col("fate").isin("deleted", "cascaded") for n in fates}
+    for name, df in fates.items():
+        df.where(gone[name]).groupBy(partition[name]).agg(F.count("*").alias("removed")).write.mode("overwrite").parquet(f"{staging}/{name}/touched")
+        touched = spark.read.parquet(f"{staging}/{name}/touched").select(partition[name])
+        df.join(touched, partition[name], "left_semi").where(~gone[name]).drop("fate").write.mode("overwrite").parquet(f"{staging}/{name}/kept")
+    removed = {}
+    for name, path in paths.items():
+        touched, kept = (spark.read.parquet(f"{staging}/{name}/{x}") for x in ("touched", "kept"))
+        removed[name] = touched.agg(F.sum("removed")).first()[0] or 0
+        if removed[name]:
+            for r in touched.select(partition[name]).join(kept.select(partition[name]).distinct(), partition[name], "left_anti").toLocalIterator():
+                _remove(spark, f"{path}/{partition[name]}={r[0]}")
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition[name]).parquet(path)
+    return removed
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def file_statistics(spark: SparkSession, path: str) -> DataFrame:
