@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import absence, codec, gates, scoring, stats, text, tokens, venues
 from tidemark.functions import labels as L
-from tidemark.operators import asof, buckets, calibration, dedupe, linkage, predicates, ranking, retention, sequences, similarity, windows
+from tidemark.operators import asof, buckets, calibration, dedupe, linkage, predicates, ranking, retention, selection, sequences, similarity, windows
 
 TICKS = "key long, id long, t long, cents long, type string"
 
@@ -342,6 +342,48 @@ def test_prune_removes_what_the_plan_says(spark, tmp_path):
     assert tables.prune(spark, paths, again, dict.fromkeys(paths, "part"), str(tmp_path / "again")) == dict.fromkeys(paths, 0)
 
 
+def test_rotation_reaches_every_row(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, None]), rng.choice([None, rng.randrange(1000)])) for i in range(47)]
+    df = spark.createDataFrame(rows, "id long, tier int, t long").repartition(3)
+    placed = selection.queue_places(df, "tier", "t", "id", 50).cache()
+    key = lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or 0, r[0])
+    assert [r["id"] for r in placed.orderBy("place").collect()] == [r[0] for r in sorted(rows, key=key)]
+    assert [r["place"] for r in placed.orderBy("place").collect()] == list(range(47))
+    seen = [[r["id"] for r in selection.rotation(placed, 10, F.lit(c)).orderBy("turn").collect()] for c in range(5)]
+    assert all(len(x) == 10 for x in seen) and len({i for x in seen for i in x}) == 47
+    assert seen[0] == [r[0] for r in sorted(rows, key=key)][:10]
+    assert selection.rotation(placed, 100, F.lit(3)).count() == 47
+    assert selection.rotation(placed.limit(0), 10, F.lit(3)).count() == 0
+
+
+def test_spread_picks_and_gates(spark):
+    rng = random.Random(9)
+    strata = ["high", "medium", "low"]
+    schema = "id long, stratum string, event string, series long, value double, place long"
+    for trial in range(3):
+        rows = [(i, strata[i // 30], rng.choice([None, *(f"e{k}" for k in range((3, 8, 40)[trial]))]), i % 3, float(100 - i), i + 1) for i in range(90)]
+        used, want = set(), set()
+        for s in strata:
+            own = [r for r in rows if r[1] == s]
+            chosen = []
+            for r in own:
+                event = r[2] or f"row {r[5]}"
+                if len(chosen) < 5 and event not in used:
+                    chosen.append(r[0])
+                    used.add(event)
+            want |= set(chosen + [r[0] for r in own if r[0] not in chosen][: 5 - len(chosen)])
+        picked = selection.spread_picks(spark.createDataFrame(rows, schema).repartition(4), 5, strata)
+        assert {r["id"] for r in picked.collect()} == want
+    gates = lambda rows, n=1: selection.gate_failures(spark.createDataFrame(rows, schema), n, strata, 2.0, 3, 2, 1).first()["failures"]
+    good = [(1, "high", "a", 1, 40.0, 1), (2, "medium", "b", 2, 20.0, 2), (3, "low", "c", 3, 10.0, 3)]
+    assert gates(good) == []
+    assert gates(good, 2) == ["stratum_high_not_full", "stratum_medium_not_full", "stratum_low_not_full"]
+    assert gates([(1, "high", "a", 1, 20.0, 1), *good[1:]]) == ["high_over_medium_tied"]
+    assert gates([(1, "high", "a", 1, 30.0, 1), good[1], (3, "low", "a", 1, 0.0, 3)]) == ["high_over_medium_too_close", "medium_over_low_undefined", "few_events", "one_event_dominates"]
+    assert gates([]) == ["stratum_high_not_full", "stratum_medium_not_full", "stratum_low_not_full", "few_events", "few_series"]
+
+
 def test_book_replay(spark):
     frames, want = book_rows(spark)
     for df in (frames, frames.repartition(3), frames.orderBy(F.desc("turn"))):

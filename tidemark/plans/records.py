@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codec, labels as L, stats, text
-from ..operators import buckets, dedupe, predicates, ranking, retention, sequences, similarity
+from ..operators import buckets, dedupe, predicates, ranking, retention, selection, sequences, similarity
 from .registry import TICKS, micros, query, table, ticks
 
 
@@ -289,6 +289,58 @@ def bounded_supplement(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_retailprice").join(taken, "p_partkey", "left_anti").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
 
 
+_CYCLE, _BUDGET = 7, 40
+_TIER = "CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' THEN 0 WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderstatus = 'O' THEN 2 END"
+
+
+@query(f"""WITH q AS (SELECT o_orderkey, {_TIER} AS tier, row_number() OVER (ORDER BY {_TIER}, o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders WHERE o_orderstatus <> 'F')
+SELECT o_orderkey, tier, CAST((place - ({_CYCLE} * {_BUDGET}) % n + n) % n AS BIGINT) AS turn FROM q WHERE (place - ({_CYCLE} * {_BUDGET}) % n + n) % n < {_BUDGET}""")
+def rotating_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Whose turn it is in the eighth round of a budget: the unsettled by urgency, read on from where the seventh ended."""
+    tier = F.expr(_TIER.replace("TIMESTAMP '1996-01-01'", "TIMESTAMP_NTZ'1996-01-01 00:00:00'"))
+    rows = table(spark, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", tier.alias("tier"), micros("o_orderdate").alias("t"))
+    return selection.rotation(selection.queue_places(rows, "tier", "t", "o_orderkey", 30 * 86_400_000_000), _BUDGET, F.lit(_CYCLE)).select("o_orderkey", "tier", "turn")
+
+
+_STRATA = ["high", "medium", "low"]
+
+
+def _universe(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    r = ranking.placed(s, "s_acctbal", "s_suppkey", 10).join(F.broadcast(s.agg(F.count("*").alias("n"))))
+    stratum = F.when(F.col("place") <= F.floor(F.col("n") / 3), "high").when(F.col("place") <= F.floor(F.col("n") * 2 / 3), "medium").otherwise("low")
+    ranked = r.select("s_suppkey", stratum.alias("stratum"), F.col("s_nationkey").alias("event"), (F.col("s_nationkey") % 7).alias("series"), F.col("s_acctbal").alias("value"), "place")
+    return selection.spread_picks(ranked, 4, _STRATA)
+
+
+def _greedy_sql() -> str:
+    """The same picks, a table per stratum: fresh events first, then the next rows."""
+    out, used = "", "SELECT NULL AS event WHERE false"
+    for s in _STRATA:
+        out += f""", {s}_f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY place) AS turn FROM r WHERE stratum = '{s}' AND event NOT IN ({used})) WHERE turn = 1 ORDER BY place LIMIT 4),
+{s}_p AS (SELECT s_suppkey, stratum, event, value, place FROM {s}_f UNION ALL (SELECT s_suppkey, stratum, event, value, place FROM r WHERE stratum = '{s}' AND s_suppkey NOT IN (SELECT s_suppkey FROM {s}_f) ORDER BY place LIMIT (SELECT 4 - count(*) FROM {s}_f)))"""
+        used = f"SELECT event FROM {s}_f" if used.startswith("SELECT NULL") else f"{used} UNION SELECT event FROM {s}_f"
+    return out
+
+
+_UNIVERSE = f"""WITH k AS (SELECT s_suppkey, s_nationkey AS event, s_acctbal AS value, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place, count(*) OVER () AS n FROM supplier),
+r AS (SELECT *, CASE WHEN place <= n // 3 THEN 'high' WHEN place <= 2 * n // 3 THEN 'medium' ELSE 'low' END AS stratum FROM k){_greedy_sql()}, u AS (FROM high_p UNION ALL FROM medium_p UNION ALL FROM low_p)"""
+
+
+@query(_UNIVERSE + " SELECT s_suppkey, stratum, event FROM u")
+def separated_universe(spark: SparkSession, d: str) -> DataFrame:
+    """Picks of three strata that share no nation while there are others."""
+    return _universe(spark, d).select("s_suppkey", "stratum", "event")
+
+
+@query(_UNIVERSE + """, x AS (SELECT count(DISTINCT event) AS events, count(DISTINCT event % 7) AS series, """ + ", ".join(f"count(*) FILTER (WHERE stratum = '{s}') AS n_{s}, min(value) FILTER (WHERE stratum = '{s}') AS low_{s}, max(value) FILTER (WHERE stratum = '{s}') AS high_{s}" for s in _STRATA) + """ FROM u), m AS (SELECT max(k) AS largest FROM (SELECT event, count(*) AS k FROM u GROUP BY 1))
+SELECT array_to_string(list_filter([""" + ", ".join(f"CASE WHEN n_{s} <> 4 THEN 'stratum_{s}_not_full' END" for s in _STRATA) + ", " + ", ".join(f"'{a}_over_{b}_' || CASE WHEN low_{a} = high_{b} THEN 'tied' WHEN NOT high_{b} > 0 THEN 'undefined' WHEN low_{a} / high_{b} < 2.0 THEN 'too_close' END" for a, b in zip(_STRATA, _STRATA[1:], strict=False)) + """,
+CASE WHEN events < 6 THEN 'few_events' END, CASE WHEN series < 7 THEN 'few_series' END, CASE WHEN largest > 3 THEN 'one_event_dominates' END], lambda z: z IS NOT NULL), ',') AS failures FROM x, m""")
+def universe_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Which gates the picks fail: full strata, strata apart, events and series enough, none dominating."""
+    return selection.gate_failures(_universe(spark, d), 4, _STRATA, 2.0, 6, 7, 3).select(F.array_join("failures", ",").alias("failures"))
+
+
 @query("""(SELECT 'urgent' AS lane, o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 30) UNION ALL (SELECT 'rest', o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '1%' AND o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 20)""")
 def split_budget(spark: SparkSession, d: str) -> DataFrame:
     """The earliest of two lanes, each under its own cap."""
