@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import archive, evidence, fills, forecasting, market, policies, records, reports, states, streams, timing, tokens, venues
+from .plans import archive, evidence, fills, forecasting, landed, market, policies, records, reports, states, streams, timing, tokens, venues
 from .plans.registry import QUERIES, SQL, Query
 
-__all__ = ["archive", "evidence", "fills", "forecasting", "market", "oracle_sql", "policies", "queries", "records", "reports", "states", "streams", "timing", "tokens", "venues"]
+__all__ = ["archive", "evidence", "fills", "forecasting", "landed", "market", "oracle_sql", "policies", "queries", "records", "reports", "states", "streams", "timing", "tokens", "venues"]
 
 
 def queries() -> dict[str, Query]:

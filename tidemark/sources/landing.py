@@ -47,3 +47,32 @@ def pairs(pages: DataFrame) -> DataFrame:
 def stream_lines(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """JSON lines as they land, by schema."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+#: A page of one market's book: whole cents and contracts, or dollars and contracts as text; a side may be left out.
+BOOK = "ticker string, orderbook struct<yes array<array<long>>, no array<array<long>>>, orderbook_fp struct<yes_dollars array<array<string>>, no_dollars array<array<string>>>"
+
+
+def books(pages: DataFrame) -> DataFrame:
+    """One row per level of each page: ticker, side, price (hundredths of a cent), size (hundredths of a contract) and shape.
+
+    A level that is no pair, has a part that is no number, a price outside (0, 1) dollars or a size below 0 keeps its row with nulls and
+    ``valid`` false, as a level left out would look like none. A page without a book has no rows; a level of size 0 is valid and empty.
+    """
+    whole = lambda side: F.transform(F.col(f"orderbook.{side}"), lambda x: F.struct(F.lit(side).alias("side"), F.lit("cents").alias("shape"), F.when(F.size(x) == 2, F.get(x, F.lit(0)) * 100).alias("price"), F.when(F.size(x) == 2, F.get(x, F.lit(1)) * 100).alias("size")))
+    number = lambda x, i, unit: F.when(F.size(x) == 2, F.round(F.get(x, F.lit(i)).try_cast("decimal(18,6)") * unit).cast("long"))
+    text = lambda side: F.transform(F.col(f"orderbook_fp.{side}_dollars"), lambda x: F.struct(F.lit(side).alias("side"), F.lit("dollars").alias("shape"), number(x, 0, 10_000).alias("price"), number(x, 1, 100).alias("size")))
+    none = F.array().cast("array<struct<side: string, shape: string, price: long, size: long>>")
+    levels = F.concat(*[F.coalesce(f(side), none) for f in (whole, text) for side in ("yes", "no")])
+    rows = pages.select("ticker", F.explode(levels).alias("x")).select("ticker", "x.*")
+    fit = F.coalesce((F.col("price") > 0) & (F.col("price") < 10_000) & (F.col("size") >= 0), F.lit(False))
+    return rows.select("ticker", "side", "shape", F.when(fit, F.col("price")).alias("price"), F.when(fit, F.col("size")).alias("size"), fit.alias("valid"))
+
+
+def tops(levels: DataFrame) -> DataFrame:
+    """Per ticker: best_yes, best_no, yes_ask (the complement of best_no), spread, depth and how many levels were not valid; of empty levels none is a best one."""
+    full = F.col("size") > 0
+    best = lambda side: F.max(F.when(full & (F.col("side") == side), F.col("price")))
+    by = levels.groupBy("ticker").agg(best("yes").alias("best_yes"), best("no").alias("best_no"), F.coalesce(F.sum("size"), F.lit(0)).alias("depth"), F.count(F.when(~F.col("valid"), 1)).alias("invalid"))
+    ask = 10_000 - F.col("best_no")
+    return by.select("ticker", "best_yes", "best_no", ask.alias("yes_ask"), (ask - F.col("best_yes")).alias("spread"), "depth", "invalid")
