@@ -438,7 +438,9 @@ def test_membership_digest_ignores_order_and_repeats(spark):
     assert predicates.membership_digest(a, "k").first()["digest"] != predicates.membership_digest(a.where("k < 99"), "k").first()["digest"]
 
 
-def test_similarity_against_all_pairs(spark):
+@pytest.mark.parametrize("counted", [0, similarity.COUNTED_TOKENS])
+def test_similarity_against_all_pairs(spark, counted, monkeypatch):
+    monkeypatch.setattr(similarity, "COUNTED_TOKENS", counted)
     import itertools
     import random
 
@@ -458,7 +460,9 @@ def test_similarity_against_all_pairs(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in got)
 
 
-def test_vetoed_partners_against_all_pairs(spark):
+@pytest.mark.parametrize("counted", [0, similarity.COUNTED_TOKENS])
+def test_vetoed_partners_against_all_pairs(spark, counted, monkeypatch):
+    monkeypatch.setattr(similarity, "COUNTED_TOKENS", counted)
     import itertools
     import random
 

@@ -8,10 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Tokens of the right side (some 50 bytes each) up to which they are broadcast and counted; beyond it rows meet by prefixes.
+COUNTED_TOKENS = 500_000
 #: Whether the facts of a left and a right row rule each other out.
 Veto = Callable[[Column, Column], Column]
 
 
+def _counted(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (l, r) of similarity ``least`` or more: the right side's tokens are few, so they go to the left rows, whose shared tokens are counted in their own task first."""
+    each = lambda rows, x: rows.select(F.col("id").alias(x), F.size("tokens").alias(f"n_{x}"), F.explode("tokens").alias("token"))
+    met = each(left, "l").join(F.broadcast(each(right, "r")), "token").groupBy("l", "r", "n_l", "n_r").agg(F.count("*").alias("shared"))
+    return met.where(F.col("shared") >= F.lit(least) * (F.col("n_l") + F.col("n_r") - F.col("shared")) - F.lit(1e-9)).select("l", "r")
+
+
+def _by_prefix(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (l, r) that may have similarity ``least`` or more: they share a token of their prefixes, and what they have left could reach it."""
+    both = left.select("tokens").unionByName(right.select("tokens"))
+    rank = both.select(F.explode("tokens").alias("token")).groupBy("token").count()
+
+    def prefixes(side: DataFrame, name: str) -> DataFrame:
+        n = F.size("tokens")
+        each = side.select(F.col("id").alias(name), n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
+        place = F.row_number().over(Window.partitionBy(name).orderBy("count", "token"))
+        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("place")).alias(f"rest_{name}"))
+
+    fits = F.least("n_l", "n_r") >= F.lit(least) * F.greatest("n_l", "n_r") - F.lit(1e-9)
+    needed = F.lit(least / (1 + least)) * (F.col("n_l") + F.col("n_r")) - F.lit(1e-9)
+    fits = fits & (1 + F.least("rest_l", "rest_r") >= needed)
+    return prefixes(left, "l").join(prefixes(right, "r"), "token").where(fits).select("l", "r").distinct()
+
+
 def best_partner(left: DataFrame, right: DataFrame, floor: float, bonus: float = 0.0, vetoes: dict[str, Veto] | None = None) -> DataFrame:
     """For each left row (id, tokens, domain) the right row with the highest Jaccard similarity of at least ``floor``.
 
@@ -20,7 +46,8 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float, bonus: float =
     all are ruled out the most similar one is still returned. The column reasons names, in order and joined
     by commas, what rules the partner out; a null fact rules out nothing.
 
-    Prefix filter, at the floor less the bonus: with tokens in one global order, rare ones first, two sets of similarity s or more
+    Ids are distinct on each side. The right side's tokens are counted first: up to ``COUNTED_TOKENS`` they are broadcast and shared
+    tokens counted. Beyond that a prefix filter, at the floor less the bonus: with tokens in one global order, rare ones first, two sets of similarity s or more
     share a token among the first n - ceil(s * n) + 1 of each. Only those are exploded; sizes must let the
     pair reach s, and so must what both sets have left from a shared token on, which drops most pairs that
     meet on common words (they come last). At a low floor the prefix is long, and a common word still
@@ -29,19 +56,8 @@ def best_partner(left: DataFrame, right: DataFrame, floor: float, bonus: float =
     """
     vetoes, least = vetoes or {}, max(floor - bonus, 0.0)
     facts = F.col("facts") if vetoes else F.lit(None)
-    both = left.select("tokens").unionByName(right.select("tokens"))
-    rank = both.select(F.explode("tokens").alias("token")).groupBy("token").count()
-
-    def prefixes(side: DataFrame, name: str) -> DataFrame:
-        n = F.size("tokens")
-        each = side.select(F.col("id").alias(name), n.alias("n"), F.explode("tokens").alias("token")).join(rank, "token")
-        place = F.row_number().over(Window.partitionBy(name).orderBy("count", "token"))
-        return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select(name, "token", F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("place")).alias(f"rest_{name}"))
-
-    fits = F.least("n_l", "n_r") >= F.lit(least) * F.greatest("n_l", "n_r") - F.lit(1e-9)
-    needed = F.lit(least / (1 + least)) * (F.col("n_l") + F.col("n_r")) - F.lit(1e-9)
-    fits = fits & (1 + F.least("rest_l", "rest_r") >= needed)
-    pairs = prefixes(left, "l").join(prefixes(right, "r"), "token").where(fits).select("l", "r").distinct()
+    right_tokens = right.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    pairs = _counted(left, right, least) if right_tokens <= COUNTED_TOKENS else _by_prefix(left, right, least)
     side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}t"), F.col("domain").alias(f"{x}d"), facts.alias(f"{x}f"))
     named = pairs.join(side(left, "l"), "l").join(side(right, "r"), "r").where(F.coalesce(F.col("ld") == F.col("rd"), F.lit(True)))
     shared = F.size(F.array_intersect("lt", "rt"))

@@ -39,7 +39,7 @@ _GATES = {"enough": "samples >= 12", "toward": "coalesce(toward_rate >= 0.5, fal
 s AS (SELECT type, count(closure) AS samples, count(*) FILTER (WHERE closure > 0)::DOUBLE / nullif(count(closure), 0) AS toward_rate, count(*) FILTER (WHERE closure <= -0.25)::DOUBLE / nullif(count(closure), 0) AS away_rate, count(DISTINCT CASE WHEN closure IS NOT NULL THEN key END) AS keys FROM c GROUP BY 1)
 SELECT type, {', '.join(f'{c} AS {n}' for n, c in _GATES.items())}, {' AND '.join(f'({c})' for c in _GATES.values())} AS passes FROM s""")
 def selection_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Gates registered beforehand; a cohort passes if all hold."""
+    """Four gates of this report on follow-through by type; a cohort passes if all hold. The gates of A29 are in gate_states."""
     n = F.count("closure")
     s = closures(spark, d).groupBy("type").agg(
         n.alias("samples"), stats.rate(stats.count_where(F.col("closure") > 0), n).alias("toward_rate"), stats.rate(stats.count_where(F.col("closure") <= L.AWAY), n).alias("away_rate"),
@@ -76,7 +76,7 @@ def offset_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TICKS} SELECT t - t % 21600000000 AS bucket, count(*) AS n, count(DISTINCT key) AS keys, CAST(count(*) FILTER (WHERE type = 'error') AS BIGINT) AS errors, max(cents) AS worst, CASE WHEN count(*) < 20 THEN 'thin' WHEN count(*) FILTER (WHERE type = 'error') * 5 > count(*) THEN 'degraded' ELSE 'ok' END AS state FROM ticks GROUP BY 1""")
 def interval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counters per interval and what they say."""
+    """R14, of R13 the counters per interval and what they say; nothing is validated here."""
     errors = stats.count_where(F.col("type") == "error")
     return ticks(spark, d).groupBy(buckets.bucket_start(F.col("t"), 21_600).alias("bucket")).agg(
         F.count("*").alias("n"), F.count_distinct("key").alias("keys"), errors.alias("errors"), F.max("cents").alias("worst"),
@@ -120,7 +120,7 @@ def identity_ladder(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TICKS}, r AS (SELECT key, t - t % 86400000000 AS day, count(*) >= 3 AS ready FROM ticks GROUP BY 1, 2), i AS (SELECT *, sum(CASE WHEN ready AND coalesce(pr, false) AND day - pd = 86400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY day) AS run FROM (SELECT *, lag(ready) OVER (PARTITION BY key ORDER BY day) AS pr, lag(day) OVER (PARTITION BY key ORDER BY day) AS pd FROM r) x)
 SELECT key, min(day) AS first_day, count(*) AS days FROM i WHERE ready GROUP BY key, run""")
 def ready_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of consecutive days on which a key has rows enough."""
+    """Runs of consecutive days on which a key has rows enough."""
     w = Window.partitionBy("key").orderBy("day")
     r = ticks(spark, d).groupBy("key", buckets.bucket_start(F.col("t"), 86_400).alias("day")).agg((F.count("*") >= 3).alias("ready"))
     goes_on = F.col("ready") & F.coalesce(F.lag("ready").over(w), F.lit(False)) & (F.col("day") - F.lag("day").over(w) == 86_400_000_000)
@@ -162,7 +162,7 @@ def pair_selection(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_orderpriority AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_orderdate >= TIMESTAMP '1995-06-01' AS late FROM orders)
 SELECT k, CAST(sum(v) FILTER (WHERE NOT late) AS BIGINT) AS pinned, CAST(sum(v) FILTER (WHERE late) AS BIGINT) AS now, CASE WHEN count(*) FILTER (WHERE late) = 0 THEN 'absent' WHEN sum(v) FILTER (WHERE late) = sum(v) FILTER (WHERE NOT late) THEN 'same' ELSE 'drifted' END AS state FROM o GROUP BY 1""")
 def drift(spark: SparkSession, d: str) -> DataFrame:
-    """Pinned figures against those of now."""
+    """G17, of F5 the figures: pinned sums against those of now."""
     late = F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ'1995-06-01 00:00:00'")
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), late.alias("late"))
     part = lambda x: F.sum(F.when(F.col("late") == x, F.col("v")))

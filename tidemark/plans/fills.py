@@ -140,3 +140,47 @@ def realized_fills(spark: SparkSession, d: str) -> DataFrame:
         "signature", _status(rows).alias("status"), "linked", (F.when(F.col("error").isNull(), F.coalesce("tip.value", F.lit(0))).otherwise(0) + F.coalesce("fee", F.lit(0))).cast("long").alias("known_cost"),
         cost["reason"].isNull().alias("cost_known"), "mark", "mark_distance", F.when(F.col("mark").isNull(), "no_price_near").otherwise("observed").alias("mark_source"),
     )
+
+
+_MODELLED = "CASE WHEN k % 6 <> 0 THEN 5000 * (1 + k % 2) END"
+
+
+@query(f"""WITH {_LINKED}, p AS (SELECT l.*, {_PRICE} AS price, CASE WHEN k % 10 <> 0 THEN 2.9 + (k % 7) / 100.0::DOUBLE END AS bench, {_MODELLED} AS modelled, fee + tip AS paid FROM l),
+t AS (SELECT k, len(refusals) = 0 AND refusal IS NULL AS linked, (bench - price) / bench AS price_real, (bench - quoted_price) / bench AS price_quote, paid / 1e9::DOUBLE / (c / 1e9::DOUBLE) AS fee_real, modelled / 1e9::DOUBLE / (c / 1e9::DOUBLE) AS fee_quote FROM p)
+SELECT k AS signature, round(CASE WHEN linked THEN price_real + fee_real END, 9) AS realized, round(CASE WHEN linked THEN price_quote + fee_quote END, 9) AS quoted, round(CASE WHEN linked THEN price_real + fee_real - price_quote - fee_quote END, 9) AS residual, round(CASE WHEN linked THEN price_real - price_quote END, 9) AS price_residual,
+CASE WHEN NOT linked THEN 'not_linked' WHEN price_real IS NULL THEN 'no_benchmark' WHEN fee_real IS NULL THEN 'cost_unknown' WHEN fee_quote IS NULL THEN 'no_model' WHEN abs(price_real + fee_real - price_quote - fee_quote) <= 0.0005 THEN 'as_quoted' WHEN price_real + fee_real > price_quote + fee_quote THEN 'adverse' ELSE 'better' END AS reading FROM t""")
+def cost_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What a linked fill cost against a benchmark, price and fees together, less what its quote and a fee stated beforehand said; an absent part makes the sum absent, and is named."""
+    rows = fills.linked(fills.decoded(transactions(spark, d), _REGISTRY), quotes(spark, d))
+    k = F.col("signature")
+    facts = _facts(spark, d).select(F.col("k").alias("signature"), "c", F.expr(_MODELLED).alias("modelled"))
+    said = quotes(spark, d).select(F.col("decision").alias("signature"), "quoted_price")
+    rows = rows.join(facts, "signature").join(said, "signature", "left")
+    bench = F.when(k % 10 != 0, F.lit(2.9) + (k % 7) / F.lit(100.0))
+    of = lambda price: (bench - price) / bench  # noqa: E731  more for the same is a gain
+    fee = lambda units: units / F.lit(1e9) / (F.col("c") / F.lit(1e9))
+    stands = F.col("linked") & F.col("refusal").isNull()
+    parts = {"price_real": of(fills.price()), "price_quote": of(F.col("quoted_price")), "fee_real": fee(F.col("fee") + F.col("tip.value")), "fee_quote": fee(F.col("modelled"))}
+    rows = rows.select("signature", stands.alias("stands"), *[c.alias(n) for n, c in parts.items()])
+    real, quote = F.col("price_real") + F.col("fee_real"), F.col("price_quote") + F.col("fee_quote")
+    to = lambda c: F.round(F.when(F.col("stands"), c), 9)
+    reading = (
+        F.when(~F.col("stands"), "not_linked").when(F.col("price_real").isNull(), "no_benchmark").when(F.col("fee_real").isNull(), "cost_unknown").when(F.col("fee_quote").isNull(), "no_model")
+        .when(F.abs(real - quote) <= 0.0005, "as_quoted").when(real > quote, "adverse").otherwise("better")
+    )
+    return rows.select("signature", to(real).alias("realized"), to(quote).alias("quoted"), to(real - quote).alias("residual"), to(F.col("price_real") - F.col("price_quote")).alias("price_residual"), reading.alias("reading"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS k, o_custkey AS cu, CAST(round(o_totalprice * 100) AS BIGINT) AS c, epoch_us(o_orderdate) AS t FROM orders), p AS (SELECT cu AS key, t, arg_min(c, k) AS price FROM f GROUP BY 1, 2),
+""" + f"""m AS (SELECT f.k, f.c, min((abs(p.t - f.t - {_MARK}), p.t, p.price)) AS x FROM f LEFT JOIN p ON p.key = f.cu AND abs(p.t - f.t - {_MARK}) <= {_WITHIN} GROUP BY 1, 2),
+s AS (SELECT CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * (x[3] - c)::DOUBLE / nullif(c, 0) AS signed FROM m)
+SELECT side, count(*) AS fills, count(signed) AS marked, CAST(count(*) FILTER (WHERE signed < 0) AS BIGINT) AS adverse, round(avg(signed), 6) AS mean_signed, CASE WHEN count(signed) < 12 THEN 'too_thin' WHEN avg(signed) < 0 AND count(*) FILTER (WHERE signed < 0) * 2 > count(signed) THEN 'adverse' ELSE 'not_adverse' END AS reading FROM s GROUP BY 1""")
+def adverse_selection(spark: SparkSession, d: str) -> DataFrame:
+    """How the price a month on lies to the fill's, by side; below zero the fills had were those not wanted. Fills without a price near are counted, not marked."""
+    facts = _facts(spark, d).select(F.col("cu").alias("key"), F.col("k").alias("id"), "t", F.col("c").alias("price"))
+    marks = asof.nearest(facts, facts, "key", "t", "id", "price", _MARK, _WITHIN)
+    buy = F.col("id") % 2 == 0
+    signed = F.when(buy, 1).otherwise(-1) * (F.col("near_value") - F.col("price")) / F.nullif(F.col("price"), F.lit(0))
+    by = marks.select(F.when(buy, "buy").otherwise("sell").alias("side"), signed.alias("signed")).groupBy("side").agg(F.count("*").alias("fills"), F.count("signed").alias("marked"), F.count(F.when(F.col("signed") < 0, 1)).alias("adverse"), F.avg("signed").alias("mean"))
+    reading = F.when(F.col("marked") < 12, "too_thin").when((F.col("mean") < 0) & (F.col("adverse") * 2 > F.col("marked")), "adverse").otherwise("not_adverse")
+    return by.select("side", "fills", "marked", "adverse", F.round("mean", 6).alias("mean_signed"), reading.alias("reading"))

@@ -95,7 +95,7 @@ def three_valued_rates(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT dim, count(*) AS cohorts, CASE WHEN count(rate) >= 2 THEN max(rate) - min(rate) END AS delta, sum(known)::DOUBLE / sum(n) AS known_share FROM r GROUP BY 1)
 SELECT dim, cohorts, delta, known_share, CASE WHEN cohorts < 2 THEN 'too_thin' WHEN known_share < 0.3 OR delta IS NULL THEN 'provider_gap_dominates' WHEN delta >= 0.25 THEN 'strong' WHEN delta >= 0.10 THEN 'weak' ELSE 'none' END AS label FROM s""")
 def separation(spark: SparkSession, d: str) -> DataFrame:
-    """The spread of measured cohort rates per dimension, thin and unmeasured ones said first."""
+    """Of A32 the spread of measured cohort rates per dimension, thin and unmeasured ones said first; source_stratification reads it by kind of source."""
     dims = F.array(*[F.struct(F.lit(x).alias("dim"), F.col(x).alias("v")) for x in ("lang", "source")])
     each = _outcomes(spark, d).select(F.explode(dims).alias("g"), "good").select("g.*", "good")
     by = each.groupBy("dim", "v").agg(F.count("*").alias("n"), F.count("good").alias("known"), F.when(F.count("good") >= 6, stats.count_where(F.col("good")) / F.count("good")).alias("rate")).where("n >= 12")

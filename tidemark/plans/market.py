@@ -257,7 +257,7 @@ _FEE = 0.07
 k AS (SELECT type, CASE WHEN 0.5 > m0 THEN mh - m0 ELSE m0 - mh END AS move, {_FEE}::DOUBLE * (m0 * (1 - m0) + mh * (1 - mh)) AS fee FROM c)
 SELECT type, count(*) AS n, CAST(count(*) FILTER (WHERE move > 0) AS BIGINT) AS toward, CAST(count(*) FILTER (WHERE move - 0.01 > 0) AS BIGINT) AS toward_after_spread, CAST(count(*) FILTER (WHERE move - 0.01 - fee > 0) AS BIGINT) AS toward_after_costs FROM k GROUP BY 1""")
 def cost_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    """Toward moves before and after half the spread and fees at both ends."""
+    """Of A30 the counts of toward moves before and after half the spread and fees; cost_cohorts has closures, touch prices and labels."""
     price = lambda c: F.least(F.col(c), F.lit(9999)) / F.lit(10000.0)
     rows = follow(spark, d).where("after_60m IS NOT NULL AND cents <> 5000").select("type", price("cents").alias("m0"), price("after_60m").alias("mh"))
     move = S.toward_move(F.col("m0"), F.col("mh"), F.lit(0.5) - F.col("m0"))
@@ -335,7 +335,7 @@ def domain_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN p_retailprice IS NULL THEN 'unknown' WHEN p_retailprice < 1000 THEN '<1k' WHEN p_retailprice < 1500 THEN '1k-1.5k' ELSE '>1.5k' END AS price_bucket, CASE WHEN p_size <= 1 THEN '1' WHEN p_size <= 2 THEN '2' WHEN p_size <= 5 THEN '3-5' WHEN p_size <= 10 THEN '6-10' ELSE '>10' END AS size_bucket, CASE WHEN starts_with(p_brand, 'Brand#1') THEN 'one' WHEN starts_with(p_brand, 'Brand#2') THEN 'two' ELSE 'other' END AS domain, split_part(p_brand, '#', 1) AS series FROM part""")
 def bucketizers(spark: SparkSession, d: str) -> DataFrame:
-    """Ladders with an unknown bucket, domains by prefix, series by split."""
+    """Of P10 to P12 the ladder with an unknown bucket, a domain by prefix and a series by split; the ladders themselves are in market_domains and cohort_followthrough."""
     return table(spark, d, "part").select(
         "p_partkey", L.ladder(F.col("p_retailprice"), [(1000, "<1k"), (1500, "1k-1.5k")], ">1.5k").alias("price_bucket"), L.spread_bucket(F.col("p_size")).alias("size_bucket"),
         text.by_prefix(F.col("p_brand"), [("Brand#1", "one"), ("Brand#2", "two")], "other").alias("domain"), F.split("p_brand", "#")[0].alias("series"),

@@ -50,7 +50,7 @@ def first_value_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TICKS}, e AS (SELECT max(t) AS now FROM ticks), k AS (SELECT key, min(t) AS born, arg_min(cents, (t, id)) AS first_cents, max(t) AS last_seen FROM ticks GROUP BY 1)
 SELECT key, CASE WHEN now - born > 29 * 86400000000 AND now - last_seen > 86400000000 THEN 'retention_lost' WHEN first_cents < 300 THEN 'missing_initial_state' WHEN now - born < 86400000000 THEN 'not_yet_due' WHEN now - last_seen <= 86400000000 THEN 'recoverable' ELSE 'other' END AS state FROM k, e""")
 def backlog_classification(spark: SparkSession, d: str) -> DataFrame:
-    """An ordered ladder of why a key's window can or can't be had."""
+    """Of J20 the ordered ladder, over conditions on a key's age and first value that stand in for those of J18 and J19."""
     t, day = ticks(spark, d), 86_400_000_000
     k = t.groupBy("key").agg(F.min("t").alias("born"), F.min_by("cents", F.struct("t", "id")).alias("first_cents"), F.max("t").alias("last_seen"))
     now = t.agg(F.max("t").alias("now"))
@@ -193,7 +193,7 @@ def reconcile_accounts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT conv_id, turn, sha256(conv_id::VARCHAR || ':' || turn::VARCHAR || ':' || coalesce(text, '')) AS dg FROM conversations), c AS (SELECT *, CASE WHEN turn % 6 = 5 THEN 'x' ELSE lag(dg) OVER (PARTITION BY conv_id ORDER BY turn) END AS pv, lag(dg) OVER (PARTITION BY conv_id ORDER BY turn) AS bf FROM e)
 SELECT conv_id, count(*) AS n, min(turn) FILTER (WHERE CASE WHEN bf IS NULL THEN pv IS NOT NULL ELSE pv IS DISTINCT FROM bf END) AS first_broken FROM c GROUP BY 1""")
 def hash_chain(spark: SparkSession, d: str) -> DataFrame:
-    """R11, of G15 the links: turns as a chain of digests, some links broken."""
+    """Of R11 and G15 the links: turns as a chain of digests, some links broken; segment_verification makes the digests anew."""
     digest = F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.coalesce("text", F.lit(""))), 256)
     rows = table(spark, d, "conversations").select("conv_id", "turn", digest.alias("digest"))
     before = F.lag("digest").over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -223,14 +223,14 @@ def predicate_population(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_MEMBERS}, p AS (SELECT DISTINCT o_orderkey::VARCHAR AS k, o_orderkey // 1000 AS part FROM m WHERE member), g AS (SELECT part, sha256(string_agg(k, ',' ORDER BY k)) AS dg, count(*) AS n FROM p GROUP BY 1)
 SELECT part, dg AS digest, n FROM g""")
 def membership_digests(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of the sorted members by part of the key; the digest over parts is tested apart."""
+    """Digests of the sorted members by part of the key; the digest over parts is tested apart."""
     members = _population(spark, d).where("member").select(F.col("o_orderkey").cast("string").alias("k"), F.floor(F.col("o_orderkey") / 1000).alias("part")).distinct()
     return members.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ","), 256).alias("digest"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {TICKS}, e AS (SELECT max(t) - 7 * 86400000000 AS cut FROM ticks) SELECT type, count(*) AS n, CAST(count(*) FILTER (WHERE t < cut AND NOT cents > 9000) AS BIGINT) AS would_delete, CAST(count(*) FILTER (WHERE t < cut AND cents > 9000) AS BIGINT) AS kept_protected, min(t) AS oldest FROM ticks, e GROUP BY 1""")
 def retention_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    """What a cut at seven days would delete, protected rows left."""
+    """Of S13 one table: what a cut at seven days would delete, protected rows left; retention_cascade goes by dependency."""
     t = ticks(spark, d)
     cut = t.agg((F.max("t") - 7 * 86_400_000_000).alias("cut"))
     return retention.dry_run(t.join(F.broadcast(cut)), "t", F.col("cut"), ["type"], F.col("cents") > 9000)
@@ -265,7 +265,7 @@ def tiered_retention(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(coalesce(sum(strlen(CASE WHEN props <> 'null' THEN props END)), 0) AS BIGINT) AS bytes, count(*) AS n FROM (SELECT props FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) x")
 def newest_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Stored bytes of the newest rows."""
+    """Stored bytes of the newest rows."""
     return retention.newest_bytes(table(spark, d, "events"), "props", [F.desc("ts"), F.desc("event_id")], 500)
 
 
@@ -284,7 +284,7 @@ def top_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def bounded_supplement(spark: SparkSession, d: str) -> DataFrame:
-    """The limit comes after the exclusion, so it never hides rows that need work."""
+    """The limit comes after the exclusion, so it never hides rows that need work."""
     taken = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").select("p_partkey", "p_retailprice").join(taken, "p_partkey", "left_anti").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
 
@@ -380,7 +380,7 @@ def promote_top(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place, count(*) OVER () AS n FROM supplier), t AS (SELECT *, CASE WHEN place <= n // 3 THEN 0 WHEN place <= 2 * n // 3 THEN 1 ELSE 2 END AS stratum FROM r), e AS (SELECT *, row_number() OVER (PARTITION BY stratum, s_nationkey ORDER BY place) AS turn FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY turn, place) AS pick FROM e)
 SELECT s_suppkey, stratum FROM k WHERE pick <= 8""")
 def stratified_universe(spark: SparkSession, d: str) -> DataFrame:
-    """Contiguous thirds of the ranking; of each, picks spread over nations before a second one is taken.
+    """Of G7 the strata: contiguous thirds of the ranking; of each, picks spread over nations before a second one is taken.
 
     A row after the eighth of its stratum and nation can't be picked, so few rows reach the last window.
     """
@@ -394,7 +394,7 @@ def stratified_universe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TICKS}, b AS (SELECT key, min(t) AS o, min(t) + 900000000 AS c FROM ticks GROUP BY 1) SELECT a.key AS a, b.key AS b FROM b a JOIN b ON a.o <= b.c AND b.o <= a.c AND a.key < b.key""")
 def overlapping_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of keys whose windows after birth overlap; windows of one length meet in one or the next bucket of it."""
+    """Pairs of keys whose windows after birth overlap; windows of one length meet in one or the next bucket of it. The pairs themselves, so as many as there are; pair_feasibility counts them without."""
     width = 900_000_000
     b = ticks(spark, d).groupBy("key").agg(F.min("t").alias("o")).withColumn("slot", F.floor(F.col("o") / width))
     left = b.select(F.col("key").alias("a"), F.col("o").alias("ao"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
@@ -436,7 +436,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH b AS (SELECT l_orderkey AS tx, l_suppkey AS mint, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS d, count(*) AS legs, bool_or(l_linestatus = 'O') AS open FROM lineitem GROUP BY 1, 2)
 SELECT tx, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS BIGINT) AS received, CAST(-sum(CASE WHEN d < 0 THEN d ELSE 0 END) AS BIGINT) AS sent, count(*) AS mints, CASE WHEN bool_or(open) THEN 'not_final' WHEN count(*) > 4 THEN 'too_many_mints' WHEN sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) = 0 THEN 'nothing_sent' ELSE 'decoded' END AS verdict FROM b GROUP BY 1""")
 def balance_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """net change per asset of a transaction, and why one is refused."""
+    """Of F1 the net change per asset of an order's lines, and why one is refused; decoded_fills decodes whole transactions."""
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity").cast("long")).otherwise(F.col("l_quantity").cast("long"))
     per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("tx"), "l_suppkey").agg(F.sum(signed).alias("d"), F.bool_or(F.col("l_linestatus") == "O").alias("open"))
     spent = stats.count_where(F.col("d") < 0)
@@ -447,7 +447,7 @@ def balance_deltas(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT l_orderkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, CAST(round(l_discount * 100) AS BIGINT) AS disc, CAST(round(l_tax * 100) AS BIGINT) AS tax, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS q FROM lineitem)
 SELECT l_orderkey, CAST(sum(price) AS BIGINT) AS base, CAST(sum(price * tax) AS BIGINT) AS fee_cents100, CAST(sum(price * disc) AS BIGINT) AS rebate_cents100, CAST(max(q) AS INT) AS worst_source FROM c GROUP BY 1""")
 def fee_decomposition(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of what a fill cost, in whole numbers, and the worst source among them."""
+    """parts of what a fill cost, in whole numbers, and the worst source among them."""
     whole = lambda c: F.round(F.col(c) * 100).cast("long")
     rank = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
     c = table(spark, d, "lineitem").select("l_orderkey", whole("l_extendedprice").alias("price"), whole("l_discount").alias("disc"), whole("l_tax").alias("tax"), rank.alias("q"))
@@ -465,7 +465,7 @@ def distribution_maps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT conv_id, count(*) AS n, CAST(count(text) AS BIGINT) AS with_text, CAST(count(*) FILTER (WHERE text = '') AS BIGINT) AS empty, count(role) AS with_role FROM conversations GROUP BY 1""")
 def field_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """What is there and what is absent per field."""
+    """A39, of G11 the fields: what is there and what is absent."""
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), stats.count_where(F.col("text") == "").alias("empty"), F.count("role").alias("with_role"))
 
 
@@ -494,7 +494,7 @@ def base58_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def canonical_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Payload text in canonical form and its digest."""
+    """2.8: payload text in canonical form and its digest."""
     rows = table(spark, d, "events").select("event_id", codec.canonical_json("props").alias("canonical"))
     return rows.withColumn("digest", F.sha2("canonical", 256))
 
@@ -519,6 +519,6 @@ def observation_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, epoch_us(ts) AS at, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def typed_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of a JSON payload by schema, filtered."""
+    """Of G4 the fields of a JSON payload by schema, filtered."""
     p = F.from_json("props", "k bigint", {"mode": "PERMISSIVE"})
     return table(spark, d, "events").select("event_id", micros("ts").alias("at"), p["k"].alias("k")).where("k >= 50")

@@ -71,7 +71,7 @@ def champion_challenger(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT sum(y) FILTER (WHERE i <= m // 2)::DOUBLE / sum(n) FILTER (WHERE i <= m // 2) AS early, sum(y) FILTER (WHERE i > m // 2)::DOUBLE / sum(n) FILTER (WHERE i > m // 2) AS late, CAST(sum(n) FILTER (WHERE i <= m // 2) AS BIGINT) AS n_early, CAST(sum(n) FILTER (WHERE i > m // 2) AS BIGINT) AS n_late, count(*) AS weeks FROM k)
 SELECT early, late, n_early, n_late, weeks, CASE WHEN n_early < 15 OR n_late < 15 THEN 'insufficient' WHEN late - early > 0.02 THEN 'worsening' WHEN early - late > 0.02 THEN 'improving' ELSE 'stable' END AS trend FROM s""")
 def weekly_trend(spark: SparkSession, d: str) -> DataFrame:
-    """The early half of the ISO weeks against the late half. The window ranks weeks, not rows."""
+    """The status rate of the early half of the ISO weeks against the late half; A22 is in weekly_reliability and reliability_trend. The window ranks weeks, not rows."""
     week = F.expr("extract(YEAROFWEEK FROM o_orderdate) * 100 + extract(WEEK FROM o_orderdate)").cast("int")
     by = table(spark, d, "orders").groupBy(week.alias("period")).agg(F.count("*").alias("n"), stats.count_where(F.col("o_orderstatus") == "F").alias("y"))
     halves = by.withColumn("first", F.row_number().over(Window.orderBy("period")) <= F.floor(F.count("*").over(Window.partitionBy()) / 2))
