@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import absence, codec, gates, scoring, stats, text, tokens, venues
 from tidemark.functions import labels as L
-from tidemark.operators import asof, buckets, calibration, dedupe, linkage, predicates, ranking, retention, selection, sequences, similarity, windows
+from tidemark.operators import asof, buckets, calibration, dedupe, drift, linkage, predicates, ranking, retention, selection, sequences, similarity, windows
 
 TICKS = "key long, id long, t long, cents long, type string"
 
@@ -104,6 +104,25 @@ def test_game_tickers(spark, ticker, spec):
     assert (got["kind"], got["threshold"], got["team"], got["home"]) == spec
 
 
+@pytest.mark.parametrize(("ticker", "spec"), [
+    ("KXWCTOTAL-26JUN14USAWAL-2.5", ("total", 2.5, None, None)), ("kxwctotal-26JUN141800USAWAL-T3", ("total", 2.5, None, None)), ("KXWCTOTAL-26JUN14USAWAL", ("unknown", None, None, None)), ("KXUCLADVANCE-26JUN14USAWAL-WAL", ("advance", None, "WAL", True)),
+    ("KXEPLSPREAD-26JUN14USAWAL-USA2", ("spread", 1.5, "USA", False)), ("KXEPLSPREAD-26JUN14USAWAL-BRA2", ("unknown", None, None, None)), ("KXMLSGOALSCORER-26JUN14USAWAL-USAX9", ("player_goal", None, None, None)), ("KXWCGAME-26JUN14USAWAL-USA", ("winner", None, "USA", False)),
+    ("KXWCGAME-26JUN14USAENGL-USA", ("unknown", None, None, None)), ("KXWCGAME-26FOO14USAWAL-USA", ("unknown", None, None, None)), ("KXMLBGAME-26JUN14USAWAL-USA", ("unknown", None, None, None)), ("", ("unknown", None, None, None)), (None, ("unknown", None, None, None)),
+])
+def test_soccer_tickers(spark, ticker, spec):
+    got = venues.with_soccer_spec(spark.createDataFrame([(ticker,)], "ticker string"), "ticker").first()
+    assert (got["kind"], got["threshold"], got["team"], got["second_listed"]) == spec
+
+
+@pytest.mark.parametrize(("ticker", "spec"), [
+    ("KXATPMATCH-25MAY26DJOKALC-DJOK", ("winner", "DJOK", True)), ("KXATPMATCH-25MAY26DJOKALC-ALC", ("winner", "ALC", False)), ("kxwtawinner-25MAY261030SWIGAU-gau", ("winner", "GAU", False)), ("KXATPMATCH-25MAY26DJOKALC-XYZ", ("unknown", None, None)),
+    ("KXATPMATCH-25MAY26AAAAA-AA", ("unknown", None, None)), ("KXITFSET-25MAY26SWIGAU-SWI", ("unknown", None, None)), ("KXATPMATCH-25MAY26SWIGAU", ("unknown", None, None)), (None, ("unknown", None, None)),
+])
+def test_tennis_tickers(spark, ticker, spec):
+    got = venues.with_tennis_spec(spark.createDataFrame([(ticker,)], "ticker string"), "ticker").first()
+    assert (got["kind"], got["player"], got["first_listed"]) == spec
+
+
 def test_domains(spark):
     assert one(spark, venues.domain(F.lit("kxwta-x"), F.lit("bitcoin"))) == "sports_tennis"
     assert one(spark, venues.domain(F.lit("X-KXMLB"), F.lit("Inflation and the senate"))) == "macro"
@@ -384,6 +403,15 @@ def test_spread_picks_and_gates(spark):
     assert gates([]) == ["stratum_high_not_full", "stratum_medium_not_full", "stratum_low_not_full", "few_events", "few_series"]
 
 
+def test_drift_of_odd_rows(spark):
+    rows = lambda x: spark.createDataFrame(x, "k long, a string, b int, c string")
+    pinned = rows([(1, "x", 1, "p"), (2, "x", 1, "p"), (3, None, 1, "p"), (4, "", None, "p"), (5, "x", 1, "p"), (None, "x", 1, "p")])
+    live = rows([(1, "x", 1, "q"), (2, "y", None, "p"), (3, "", 1, "p"), (4, "", None, "p"), (6, "x", 1, "p"), (None, "z", 1, "p")])
+    got = {r["k"]: (r["state"], r["changed"]) for r in drift.drift(pinned, live, "k", ["b", "a"]).collect()}
+    assert got == {1: ("unchanged", []), 2: ("drifted", ["a", "b"]), 3: ("drifted", ["a"]), 4: ("unchanged", []), 5: ("unknown", []), 6: ("unpinned", [])}
+    assert drift.drift(pinned.limit(0), live.limit(0), "k", ["a"]).count() == 0
+
+
 def test_book_replay(spark):
     frames, want = book_rows(spark)
     for df in (frames, frames.repartition(3), frames.orderBy(F.desc("turn"))):

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import labels as L
 from ..functions import stats
 from ..operators import asof, buckets
+from ..operators import drift as drifts
+from ..sources import tables
 from .market import _FOLLOW, closures
 from .registry import FORECASTS, TICKS, forecasts, micros, query, table, ticks
 
@@ -183,3 +185,43 @@ def canonical_times(spark: SparkSession, d: str) -> DataFrame:
     """Canonical timestamps and ISO weeks of events."""
     ts = F.col("ts")
     return table(spark, d, "events").select("event_id", F.floor(micros("ts") / 1_000_000).alias("second"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("canonical"), F.extract(F.lit("YEAROFWEEK"), ts).cast("int").alias("iso_year"), F.weekofyear(ts).alias("iso_week"))
+
+
+_PINNED = ("p_brand", "p_name", "p_size", "p_type")
+_LIVE = {"p_brand": "CASE WHEN p_partkey % 7 = 0 THEN concat(p_brand, '!') ELSE p_brand END", "p_name": "p_name", "p_size": "CASE WHEN p_partkey % 11 <> 0 THEN p_size END", "p_type": "CASE WHEN p_partkey % 21 = 0 THEN '' ELSE p_type END"}
+_DIGEST = "sha256(concat_ws(chr(10), " + ", ".join(f"'{f}=' || coalesce('+' || {{0}}{f}, '-')" for f in _PINNED) + "))"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, {', '.join(_PINNED)}, {_DIGEST.format('')} AS digest FROM part WHERE p_partkey % 13 <> 0), l AS (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in _LIVE.items())} FROM part WHERE p_partkey % 17 <> 0), b AS (SELECT *, {_DIGEST.format('')} AS digest FROM l)
+SELECT p_partkey, CASE WHEN b.digest IS NULL THEN 'unknown' WHEN a.digest IS NULL THEN 'unpinned' WHEN a.digest = b.digest THEN 'unchanged' ELSE 'drifted' END AS state,
+CASE WHEN a.digest <> b.digest THEN array_to_string(list_filter([{', '.join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in _PINNED)}], lambda x: x IS NOT NULL), ',') ELSE '' END AS changed, a.digest AS pinned_digest, b.digest AS live_digest FROM a FULL JOIN b USING (p_partkey)""")
+def subset_drift(spark: SparkSession, d: str) -> DataFrame:
+    """pinned records against those of now by digests of the fields that matter; what couldn't be fetched is unknown, not drift."""
+    part = table(spark, d, "part")
+    live = part.where("p_partkey % 17 <> 0").select("p_partkey", "p_retailprice", *[F.expr(e).alias(n) for n, e in _LIVE.items()])
+    return drifts.drift(part.where("p_partkey % 13 <> 0"), live, "p_partkey", list(_PINNED)).withColumn("changed", F.array_join("changed", ","))
+
+
+_SLOTS, _LABEL = 20, "^[a-z_]{1,12}$"
+
+
+@query(f"""WITH {TICKS}, g AS (SELECT t - t % 21600000000 AS bucket, t // 21600000000 AS b, count(*) AS n, count(DISTINCT type) AS types, count(DISTINCT key) AS keys FROM ticks GROUP BY 1, 2)
+SELECT bucket, array_to_string(list_filter([CASE WHEN b % 7 = 1 THEN 'count' END, CASE WHEN b % 8 = 1 THEN 'ended' END, CASE WHEN b % 5 = 1 THEN 'environment' END, CASE WHEN b % 3 = 1 THEN 'histogram' END, CASE WHEN b % 11 = 1 THEN 'lost' END, CASE WHEN b % 9 = 1 THEN 'run' END, CASE WHEN keys > {_SLOTS} THEN 'slots' END], lambda x: x IS NOT NULL), ',') AS invalid FROM g""")
+def interval_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Interval records against a closed schema: counts, clocks, pinned formats, histograms of labels only and lists of bounded length; the checks that don't hold are named."""
+    t = ticks(spark, d).withColumn("bucket", buckets.bucket_start(F.col("t"), 21_600))
+    kinds = t.groupBy("bucket", "type").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("type", "k"))).alias("histogram"))
+    keys = t.groupBy("bucket").agg(F.count("*").alias("count"), F.count_distinct("key").alias("keys"))
+    b = F.floor(F.col("bucket") / 21_600_000_000)
+    one = lambda k: b % k == 1
+    rows = keys.join(kinds, "bucket").select(
+        "bucket", F.when(one(7), -F.col("count")).otherwise(F.col("count")).alias("count"), F.col("bucket").alias("started"), F.when(one(8), F.col("bucket") - 1).otherwise(F.col("bucket") + 1).alias("ended"), F.when(one(5), "TEST").otherwise("demo").alias("environment"),
+        F.when(one(3), F.map_concat("histogram", F.create_map(F.lit("KX-26JUL"), F.lit(1).cast("long")))).otherwise(F.col("histogram")).alias("histogram"), F.when(one(11), F.lit(-1)).when(b % 2 == 0, F.lit(0)).alias("lost"), F.when(one(9), "run 7").otherwise("run-0007").alias("run"),
+        F.sequence(F.lit(1), F.col("keys").cast("int")).alias("slots"),
+    )
+    checks = {
+        "count": F.col("count") >= 0, "ended": F.col("ended") >= F.col("started"), "environment": F.col("environment").isin("demo", "prod"),
+        "histogram": F.forall(F.map_entries("histogram"), lambda e: e["key"].rlike(_LABEL) & (e["value"] >= 0)) & (F.size("histogram") <= 16), "lost": F.col("lost").isNull() | (F.col("lost") >= 0), "run": F.col("run").rlike("^run-[0-9]{4}$"),
+        "slots": (F.size("slots") <= _SLOTS) & F.forall("slots", lambda x: x >= 0),
+    }
+    return tables.validated(rows, checks).select("bucket", F.array_join("invalid", ",").alias("invalid"))

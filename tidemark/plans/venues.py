@@ -44,6 +44,38 @@ def game_specs(spark: SparkSession, d: str) -> DataFrame:
     return V.with_game_spec(table(spark, d, "part").select("p_partkey", F.expr(_GAME).alias("ticker")), "ticker").drop("ticker")
 
 
+_CODES = "CASE {0} WHEN 0 THEN 'USA' WHEN 1 THEN 'WAL' WHEN 2 THEN 'BRA' ELSE 'ENGL' END"
+_SA, _SB, _SC = _CODES.format("p_partkey % 4"), _CODES.format("p_size % 4"), _CODES.format("p_partkey % 3")
+_KINDS = "CASE p_partkey % 9 WHEN 0 THEN 'KXWCTOTAL' WHEN 1 THEN 'KXUCLADVANCE' WHEN 2 THEN 'KXEPLSPREAD' WHEN 3 THEN 'KXMLSGOALSCORER' WHEN 4 THEN 'KXWCGAME' WHEN 5 THEN 'KXWCFOO' WHEN 6 THEN 'KXWCTOTAL' WHEN 7 THEN 'KXEPLHANDICAP' ELSE 'KXNBAGAME' END"
+_TAIL = f"CASE p_partkey % 9 WHEN 0 THEN concat('T', p_size % 5, '.5') WHEN 6 THEN concat('', p_size % 5) WHEN 2 THEN concat({_SC}, p_size % 4) WHEN 7 THEN concat('X', p_size) ELSE {_SC} END"
+_MATCH = f"concat({_KINDS}, CASE WHEN p_partkey % 17 = 0 THEN '-26XXX14' WHEN p_size % 2 = 0 THEN '-26JUN141800' ELSE '-26JUN14' END, {_SA}, {_SB}, '-', {_TAIL})"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_KINDS} AS series, {_TAIL} AS tail, {_SA} AS a, {_SB} AS b, p_partkey % 17 <> 0 AS dated FROM part),
+c AS (SELECT *, dated AND series NOT LIKE 'KXNBA%' AS known, length(a) = length(b) AS even, CASE WHEN series LIKE '%SPREAD' OR series LIKE '%HANDICAP' THEN regexp_extract(tail, '^([A-Z]{{2,4}})([0-9]+)$', 1) ELSE regexp_extract(tail, '^[A-Z]+$') END AS code FROM t),
+d AS (SELECT *, CASE WHEN even AND code = a THEN false WHEN even AND code = b THEN true END AS second, TRY_CAST(regexp_extract(tail, '^[TB]*([0-9]+(\.[0-9]+)?)$', 1) AS DOUBLE) AS line FROM c),
+k AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN series LIKE '%TOTAL' THEN CASE WHEN line IS NOT NULL THEN 'total' ELSE 'unknown' END WHEN series LIKE '%GOAL%' THEN 'player_goal' WHEN second IS NULL OR series LIKE '%FOO' THEN 'unknown' WHEN series LIKE '%ADVANCE' THEN 'advance' WHEN series LIKE '%GAME' THEN 'winner' ELSE 'spread' END AS kind FROM d)
+SELECT p_partkey, kind, CASE kind WHEN 'total' THEN CASE WHEN line = floor(line) THEN line - 0.5 ELSE line END WHEN 'spread' THEN CAST(regexp_extract(tail, '([0-9]+)$', 1) AS DOUBLE) - 0.5 END AS threshold, CASE WHEN kind IN ('spread', 'winner', 'advance') THEN code END AS team, CASE WHEN kind IN ('spread', 'winner', 'advance') THEN second END AS second_listed FROM k""")
+def soccer_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Of G3 the grammar of football: totals, advances, spreads, winners and players' goals."""
+    return V.with_soccer_spec(table(spark, d, "part").select("p_partkey", F.expr(_MATCH).alias("ticker")), "ticker").drop("ticker")
+
+
+_RIVALS = "CASE {0} WHEN 0 THEN 'DJOK' WHEN 1 THEN 'ALC' WHEN 2 THEN 'SWI' WHEN 3 THEN 'DJO' ELSE 'GAU' END"
+_RA, _RB, _RC = _RIVALS.format("p_partkey % 5"), _RIVALS.format("p_size % 5"), _RIVALS.format("p_size % 3")
+_TENNIS = "CASE p_partkey % 4 WHEN 0 THEN 'KXATPMATCH' WHEN 1 THEN 'kxwtawinner' WHEN 2 THEN 'KXITFSET' ELSE 'KXATPGAME' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_TENNIS} AS series, {_RA} AS a, {_RB} AS b, {_RC} AS c, p_partkey % 7 <> 0 AS dated FROM part), m AS (SELECT *, a || b AS m FROM t),
+h AS (SELECT *, CASE WHEN length(m) % 2 = 0 THEN m[1:length(m) // 2] END AS x, CASE WHEN length(m) % 2 = 0 THEN m[length(m) // 2 + 1:] END AS y FROM m),
+f AS (SELECT *, CASE WHEN NOT dated OR series LIKE '%SET' THEN NULL WHEN x = c THEN true WHEN y = c THEN false WHEN starts_with(m, c) <> ends_with(m, c) THEN starts_with(m, c) END AS first_listed FROM h)
+SELECT p_partkey, CASE WHEN first_listed IS NULL THEN 'unknown' ELSE 'winner' END AS kind, CASE WHEN first_listed IS NOT NULL THEN c END AS player, first_listed FROM f""")
+def tennis_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Of G3 the grammar of tennis: winners only, the player told by half or end of the matchup."""
+    ticker = F.expr(f"concat({_TENNIS}, CASE WHEN p_partkey % 7 = 0 THEN '-26MAX25' ELSE '-26MAY25' END, {_RA}, {_RB}, '-', {_RC})")
+    return V.with_tennis_spec(table(spark, d, "part").select("p_partkey", ticker.alias("ticker")), "ticker").drop("ticker")
+
+
 @query(f"""WITH {FORECASTS}, b AS (SELECT source, {_BIN} AS bin, count(*) AS n, sum(p) AS sum_p, sum(y) AS yes, sum((p - 1000 * y) * (p - 1000 * y)) AS sq FROM forecasts GROUP BY 1, 2), t AS (SELECT source, sum(n) AS total, sum(yes)::DOUBLE / sum(n) AS base FROM b GROUP BY 1),
 c AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, max(base) AS prevalence, sum(sq)::DOUBLE / 1000000 / sum(n) AS brier, sum(abs(sum_p / 1000.0::DOUBLE - yes)) / sum(n) AS ece, coalesce(max(abs(sum_p / 1000.0::DOUBLE - yes) / n) FILTER (WHERE n >= 10), max(abs(sum_p / 1000.0::DOUBLE - yes) / n)) AS mce, count(*) AS populated_bins,
 sum(n * (sum_p / 1000.0::DOUBLE / n - yes::DOUBLE / n) ** 2) / sum(n) AS reliability, sum(n * (yes::DOUBLE / n - base) ** 2) / sum(n) AS resolution FROM b JOIN t USING (source) GROUP BY 1)
