@@ -412,6 +412,19 @@ def test_drift_of_odd_rows(spark):
     assert drift.drift(pinned.limit(0), live.limit(0), "k", ["a"]).count() == 0
 
 
+@pytest.mark.parametrize(("title", "rules", "want"), [
+    (None, None, (0, "unknown", "needs_manual_review", None, ["missing_rules_text"])), ("x", " \n ", (0, "unknown", "needs_manual_review", None, ["missing_rules_text"])),
+    ("x", "Resolves yes according to The Bureau of Records. Else no.", (100, "low", "researchable", "The Bureau of Records", [])),
+    ("Likely?", "Resolves by major and widely and generally and seen facts.", (10, "high", "avoid", None, ["subjective_wording:generally", "subjective_wording:likely", "subjective_wording:major", "subjective_wording:widely", "unclear_settlement_source", "multi_condition_phrasing"])),
+    ("x", "See stats.bls.gov/cpi for it", (80, "low", "researchable", "stats.bls.gov/cpi", ["rules_text_too_short"])),
+    ("x", "unlikelyhood isn't a term, as POSTED by the league office of the day", (100, "low", "researchable", "the league office of the day", [])),
+    ("x", "Both of the following: official league results and more words here", (80, "low", "researchable", "official league results and more words here", ["multi_condition_phrasing"])),
+])
+def test_clarity_of_rules(spark, title, rules, want):
+    r = text.with_clarity(spark.createDataFrame([(title, rules)], "title string, rules string"), "title", "rules").first()
+    assert (r["points"], r["risk"], r["tradeability"], r["settlement_source"], r["flags"]) == want
+
+
 def test_book_replay(spark):
     frames, want = book_rows(spark)
     for df in (frames, frames.repartition(3), frames.orderBy(F.desc("turn"))):

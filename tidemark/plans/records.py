@@ -484,6 +484,27 @@ def text_clarity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", points.alias("points"))
 
 
+_RULES = "CASE WHEN doc_id % 29 = 0 THEN '  ' WHEN doc_id % 6 = 0 THEN left(text, 30) WHEN doc_id % 5 = 0 THEN concat(left(text, 200), ' As Reported by the League; and so on') WHEN doc_id % 4 = 0 THEN concat('A major and likely and notable and serious change, see example.org/x. ', left(text, 90)) WHEN doc_id % 7 = 0 THEN concat('In combination, official results of the day. ', left(text, 80)) ELSE left(text, 400) END"
+
+
+def _clarity_sql() -> str:
+    source = "coalesce(" + ", ".join("nullif(trim(regexp_extract(r, '" + p.replace("'", "''") + "', 1, 'i')), '')" for p in text.SOURCE_PATTERNS) + ")"
+    terms = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(b, '\\b{t}\\b') THEN '{t}' END" for t in sorted(text.SUBJECTIVE_TERMS)) + "], lambda x: x IS NOT NULL)"
+    return f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce({_RULES}, ''), '^\\s+|\\s+$', '', 'g') AS r, lower(concat(coalesce(lang, ''), ' significant')) AS title FROM documents), e AS (SELECT *, title || ' ' || lower(r) AS b FROM d),
+f AS (SELECT *, {terms} AS terms, CASE WHEN r <> '' THEN {source} END AS source, regexp_matches(lower(r), '{"|".join(text.MULTI_CONDITION_MARKERS)}') OR len(string_split(lower(r), ' and ')) > 3 AS several, length(r) < {text.LEAST_LENGTH} AS short FROM e),
+g AS (SELECT *, CASE WHEN r = '' THEN 0 ELSE greatest(0, 100 - least({text.MOST_OF_TERMS}, {text.EACH_TERM} * len(terms)) - CASE WHEN source IS NULL THEN {text.NO_SOURCE} ELSE 0 END - CASE WHEN several THEN {text.SEVERAL} ELSE 0 END - CASE WHEN short THEN {text.TOO_SHORT} ELSE 0 END) END AS points FROM f)
+SELECT doc_id, CAST(points AS INTEGER) AS points, CASE WHEN r = '' THEN 'unknown' WHEN points >= {text.LOW_RISK} THEN 'low' WHEN points >= {text.MEDIUM_RISK} THEN 'medium' ELSE 'high' END AS risk, CASE WHEN r = '' THEN 'needs_manual_review' WHEN points >= {text.RESEARCHABLE} THEN 'researchable' WHEN points >= {text.AVOID} THEN 'needs_manual_review' ELSE 'avoid' END AS tradeability, source AS settlement_source,
+CASE WHEN r = '' THEN 'missing_rules_text' ELSE array_to_string(list_concat(list_transform(terms, lambda x: 'subjective_wording:' || x), list_filter([CASE WHEN source IS NULL THEN 'unclear_settlement_source' END, CASE WHEN several THEN 'multi_condition_phrasing' END, CASE WHEN short THEN 'rules_text_too_short' END], lambda x: x IS NOT NULL)), ',') END AS flags FROM g"""
+
+
+@query(_clarity_sql())
+def resolution_clarity(spark: SparkSession, d: str) -> DataFrame:
+    """How clear rules are, by all terms, ways of naming a source and signs of several conditions, with what it means for use."""
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit(" significant")).alias("title"), F.expr(_RULES).alias("rules"))
+    out = text.with_clarity(rows, "title", "rules")
+    return out.select("doc_id", "points", "risk", "tradeability", "settlement_source", F.array_join("flags", ",").alias("flags"))
+
+
 @query()
 def base58_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Addresses from digests, and back."""
