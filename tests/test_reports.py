@@ -67,3 +67,26 @@ def test_strata(spark, rows, label, diluted):
 
 def test_no_rows(spark):
     assert reports.stratified_separation(spark.createDataFrame([], "taped boolean, v string, good boolean"), ["v"]).count() == 0
+
+
+TOKEN = {"liquidity": 60_000.0, "volume": 150_000.0, "top10": 10, "sniper": 5, "insider": 5, "bundler": 5, "confidence": 0.9, "attention": 0.9, "attention_before": 0.5, "boost": 1, "boost_velocity": 1, "social": True, "catalysts": 3, "profile": 1.0, "age": 100, "liquidity_growth": 0.5, "volume_growth": 0.5, "snapshots": 3, "level": None, "provided": True}
+TOKEN |= dict.fromkeys(("rug", "honeypot", "mint_open", "freeze_open", "fake_volume", "removed", "spike", "unknown_provider"), False)
+TOKEN_SCHEMA = "liquidity double, volume double, top10 int, sniper int, insider int, bundler int, confidence double, attention double, attention_before double, boost int, boost_velocity int, social boolean, catalysts int, profile double, age int, liquidity_growth double, volume_growth double, snapshots int, level string, provided boolean, rug boolean, honeypot boolean, mint_open boolean, freeze_open boolean, fake_volume boolean, removed boolean, spike boolean, unknown_provider boolean"
+
+
+@pytest.mark.parametrize(("change", "risk", "priority"), [
+    ({}, 0.0, "high_review"), ({"level": "severe"}, 1.0, "reject_risk"), ({"level": "high"}, 0.8, "reject_risk"), ({"level": "medium"}, 0.4, "elevated_review"), ({"rug": True}, 1.0, "reject_risk"), ({"sniper": 21}, 0.7, "monitor"),
+    ({"provided": None}, 0.55, "elevated_review"), ({"unknown_provider": True}, 0.2, "high_review"), ({"attention": 0.0, "attention_before": 0.0, "boost": 0, "boost_velocity": 0, "social": False, "catalysts": 0, "profile": 0.0, "age": 10**6, "liquidity_growth": -1.0, "volume_growth": -1.0, "snapshots": 0}, 0.0, "elevated_review"),
+    (dict.fromkeys(TOKEN), 0.55, "low"),
+])
+def test_agents(spark, change, risk, priority):
+    from tidemark.functions import agents as A
+
+    rows = spark.createDataFrame([tuple({**TOKEN, **change}.values())], TOKEN_SCHEMA)
+    scores = {"structure": A.STRUCTURE, "velocity": A.VELOCITY, "timing": A.TIMING, "coverage": A.COVERAGE}
+    rows = rows.withColumns({n: F.expr(a.score()).cast("double") for n, a in scores.items()} | {"risk": F.expr(A.RISK).cast("double")}).withColumn("momentum", F.expr(A.MOMENTUM))
+    r = rows.withColumn("priority", F.expr(A.PRIORITY)).first()
+    assert (round(r["risk"], 6), r["priority"]) == (risk, priority)
+    assert all(0 <= r[n] <= 1 for n in scores)
+    if not any(v is not None for v in {**TOKEN, **change}.values()):
+        assert [r[n] for n in scores] == [0.3, 0.2, 0.4, 0.0]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import agents as A
 from ..functions import labels as L
 from ..functions import stats
 from ..operators import asof, buckets
@@ -225,3 +228,36 @@ def interval_validation(spark: SparkSession, d: str) -> DataFrame:
         "slots": (F.size("slots") <= _SLOTS) & F.forall("slots", lambda x: x >= 0),
     }
     return tables.validated(rows, checks).select("bucket", F.array_join("invalid", ",").alias("invalid"))
+
+
+# Facts of a token, in SQL that both engines read alike: k is the part, c its price in cents, z its size.
+_TOKEN = {
+    "liquidity": "CASE WHEN k % 7 <> 0 THEN c * (k % 9) * 0.1 END", "volume": "CASE WHEN k % 8 <> 0 THEN c * (z % 11) * 0.2 END", "top10": "CASE WHEN k % 5 <> 0 THEN z END", "sniper": "CASE WHEN k % 6 <> 0 THEN k % 26 END", "insider": "CASE WHEN k % 10 <> 0 THEN k % 18 END",
+    "bundler": "CASE WHEN k % 4 <> 0 THEN k % 29 END", "rug": "k % 53 = 0", "honeypot": "k % 59 = 0", "mint_open": "k % 13 = 0", "freeze_open": "k % 17 = 0", "confidence": "CASE WHEN k % 3 <> 0 THEN (k % 20) / 20.0 END", "attention": "CASE WHEN k % 9 <> 0 THEN (k % 25) / 20.0 END",
+    "attention_before": "CASE WHEN k % 2 = 0 THEN (k % 15) / 20.0 END", "boost": "k % 12", "boost_velocity": "CASE WHEN k % 14 = 0 THEN 2 END", "social": "CASE WHEN k % 11 <> 0 THEN k % 2 = 0 END", "catalysts": "k % 5", "profile": "CASE WHEN k % 19 <> 0 THEN (k % 8) / 8.0 END",
+    "age": "CASE WHEN k % 23 <> 0 THEN k % 40 * 7200 END", "liquidity_growth": "CASE WHEN k % 4 <> 1 THEN (k % 21 - 10) / 20.0 END", "volume_growth": "CASE WHEN k % 6 <> 1 THEN (k % 17 - 8) / 10.0 END", "snapshots": "k % 6", "level": "CASE WHEN k % 41 = 0 THEN 'severe' WHEN k % 31 = 0 THEN 'high' WHEN k % 21 = 0 THEN 'medium' END",
+    "fake_volume": "k % 37 = 0", "removed": "k % 43 = 0", "spike": "k % 47 = 0", "provided": "CASE WHEN k % 15 <> 0 THEN k % 7 <> 3 END", "unknown_provider": "k % 18 = 0",
+}
+_AGENTS = {"structure": A.STRUCTURE, "velocity": A.VELOCITY, "timing": A.TIMING, "coverage": A.COVERAGE}
+
+
+def _listed(reasons: tuple[tuple[str, str], ...]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in reasons) + ")"
+
+
+def _doubles(sql: str) -> str:
+    """Decimal literals as doubles, which both engines then add alike."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)", r"CAST(\1 AS DOUBLE)", sql)
+
+
+@query(_doubles(f"""WITH p AS (SELECT p_partkey AS k, CAST(round(p_retailprice * 100) AS BIGINT) AS c, p_size AS z FROM part), f AS (SELECT k, {', '.join(f'{e} AS {n}' for n, e in _TOKEN.items())} FROM p),
+a AS (SELECT *, {', '.join(f'{x.score()} AS {n}' for n, x in _AGENTS.items())}, {A.RISK} AS risk, concat_ws(';', {', '.join(_listed(x.reasons) for x in _AGENTS.values())}, {_listed(A.RISK_REASONS)}) AS trace FROM f), m AS (SELECT *, {A.MOMENTUM} AS momentum FROM a)
+SELECT k AS p_partkey, structure, velocity, timing, coverage, risk, momentum, {A.REVIEW} AS review, {A.PRIORITY} AS priority, trace FROM m"""))
+def token_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Structure, velocity, timing, coverage and risk of each token, and the priority of a review under one profile, gates included; the reasons of each in a trace."""
+    sql = lambda e: F.expr(_doubles(e))
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(F.col("p_retailprice") * 100).cast("long").alias("c"), F.col("p_size").alias("z"))
+    f = f.select("k", *[sql(e).alias(n) for n, e in _TOKEN.items()])
+    trace = F.concat_ws(";", *[F.expr(_listed(x.reasons)) for x in _AGENTS.values()], F.expr(_listed(A.RISK_REASONS)))
+    a = f.withColumns({**{n: sql(x.score()) for n, x in _AGENTS.items()}, "risk": sql(A.RISK), "trace": trace}).withColumn("momentum", sql(A.MOMENTUM))
+    return a.select(F.col("k").alias("p_partkey"), *_AGENTS, "risk", "momentum", sql(A.REVIEW).alias("review"), sql(A.PRIORITY).alias("priority"), "trace")
