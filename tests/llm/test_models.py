@@ -139,6 +139,21 @@ def test_recall_on_the_embeddings_in_several_shards(spark, data):
     assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) / (20 * len(want)) >= 0.9
 
 
+def test_recall_on_a_full_shard():
+    """8,192 vectors of 64 dimensions in clusters, a third of them one tight family."""
+    rng, n, k = np.random.default_rng(7), ann.SHARD_VECTORS, 20
+    centres = rng.normal(size=(60, 64))
+    v = centres[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 64))
+    v[: n // 3] = centres[0] + 0.02 * rng.normal(size=(n // 3, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, seen, hits = ann.Hnsw.build(v), np.full(n, -1, np.int64), 0
+    queries = rng.permutation(n)[:150].tolist()
+    for mark, q in enumerate(queries, 1):
+        near = set(graph.search(v[q], k + 1, ann.SEARCH_BREADTH, seen, mark)) - {q}
+        hits += len(near & (set(np.argsort(-(v @ v[q]), kind="stable")[: k + 1].tolist()) - {q}))
+    assert hits / (k * len(queries)) >= 0.95
+
+
 def test_ids_with_several_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_SLICE", 2)
     rng = np.random.default_rng(4)
