@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codec, labels as L, stats, text
-from ..operators import buckets, dedupe, predicates, ranking, retention, selection, sequences, similarity
+from ..operators import asof, buckets, dedupe, predicates, ranking, retention, selection, sequences, similarity
 from .registry import TICKS, micros, query, table, ticks
 
 
@@ -538,6 +538,27 @@ def observation_coverage(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(F.broadcast(now)).groupBy("horizon", cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
+_BANDS, _KEPT, _GRACE = {"15m": 900_000_000, "24h": 86_400_000_000, "7d": 604_800_000_000}, 20 * 86_400_000_000, 2 * 86_400_000_000
+
+
+@query(f"""WITH {TICKS}, a AS (SELECT key, min(t) AS t, arg_min(cents, (t, id)) AS first_cents FROM ticks GROUP BY 1), h AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {w})" for n, w in _BANDS.items())}) v(horizon, w)), e AS (SELECT max(t) AS now FROM ticks),
+o AS (SELECT a.key, a.t, first_cents, horizon, w, now, EXISTS (SELECT 1 FROM ticks b WHERE b.key = a.key AND b.t BETWEEN a.t + w - w // 4 AND a.t + w + w // 4) AS seen FROM a, h, e)
+SELECT horizon, CASE WHEN first_cents IS NULL OR first_cents < 300 THEN 'missing_initial_state' WHEN seen THEN 'complete' WHEN now < t + w - w // 4 THEN 'not_yet_due' WHEN now <= t + w + w // 4 THEN 'due_now' WHEN now - t > {_KEPT} THEN 'retention_lost' WHEN now <= t + w + w // 4 + {_GRACE} THEN 'recoverable' ELSE 'no_observation_in_window' END AS state, count(*) AS n FROM o GROUP BY 1, 2""")
+def backlog_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """J20 over J18 and J19: why a key's window at each horizon is or isn't had: first by its initial value, then by whether its band was observed, then by when it is due and how long rows are kept."""
+    t = ticks(spark, d)
+    members = t.groupBy("key").agg(F.min("t").alias("t"), F.min_by("cents", F.struct("t", "id")).alias("first_cents"))
+    seen = asof.interval_semi(members, t, "key", "t", [(h, w, w // 4) for h, w in _BANDS.items()])
+    rows = seen.join(members, ["key", "t"]).join(F.broadcast(t.agg(F.max("t").alias("now"))))
+    width = F.create_map(*[x for h, w in _BANDS.items() for x in (F.lit(h), F.lit(w))])[F.col("horizon")]
+    opens, closes = F.col("t") + width - F.floor(width / 4), F.col("t") + width + F.floor(width / 4)
+    now = F.col("now")
+    state = L.first_reason([
+        (F.coalesce(F.col("first_cents") < 300, F.lit(True)), "missing_initial_state"), (F.col("observed"), "complete"), (now < opens, "not_yet_due"), (now <= closes, "due_now"), (now - F.col("t") > _KEPT, "retention_lost"), (now <= closes + _GRACE, "recoverable"),
+    ], "no_observation_in_window")
+    return rows.groupBy("horizon", state.alias("state")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, epoch_us(ts) AS at, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def typed_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Of G4 the fields of a JSON payload by schema, filtered."""
