@@ -187,4 +187,4 @@ def test_copies_ties_and_bad_vectors(spark):
 
 
 def test_shards_grow_when_they_are_many():
-    assert [ann.shard_count(n) for n in (0, 1, 8192, 8193, 2_097_152, 100_000_000, 10**9)] == [1, 1, 1, 2, 256, 256, 954]
+    assert [ann.shard_count(n) for n in (0, 1, 8192, 8193, 2_097_152, 100_000_000, 10**9)] == [1, 1, 1, 2, 256, 763, 7630]

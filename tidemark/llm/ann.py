@@ -19,8 +19,8 @@ LINKS = 16
 BUILD_BREADTH, SEARCH_BREADTH = 64, 96
 #: Distinct vectors of a shard and queries of a slice, on average.
 SHARD_VECTORS, QUERY_SLICE = 8_192, 16_384
-#: Shards, as each query goes to each of them: beyond so many they grow instead, up to this many vectors (0.3 GB of 64 floats).
-MOST_SHARDS, LARGEST_SHARD = 256, 1 << 20
+#: Shards, as each query goes to each of them: beyond so many they grow instead, up to this many vectors (some ten minutes to build).
+MOST_SHARDS, LARGEST_SHARD = 256, 1 << 17
 
 
 class Hnsw:
