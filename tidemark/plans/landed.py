@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..functions import stats
+from ..operators import ranking
 from ..sources import landing
 from .registry import query, table
 
@@ -50,3 +53,24 @@ def landed_books(spark: SparkSession, d: str) -> DataFrame:
     old = F.col("k") % 2 == 0
     body = F.struct(F.concat(F.lit("M"), "k").alias("ticker"), F.when(old, F.struct(F.col("y").alias("yes"), F.col("n").alias("no"))).alias("orderbook"), F.when(~old, F.struct(F.col("yt").alias("yes_dollars"), F.col("nt").alias("no_dollars"))).alias("orderbook_fp"))
     return landing.tops(landing.books(_parsed(by.select(F.to_json(body).alias("body")), landing.BOOK)))
+
+
+_DOMAIN = "CASE s % 4 WHEN 0 THEN 'sports' WHEN 1 THEN 'macro' WHEN 2 THEN 'weather' END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS s, CAST(l_quantity AS INT) AS q FROM lineitem), f AS (SELECT coalesce({_DOMAIN}, 'unknown') AS domain, {_BID} AS bid, {_ASK} AS ask, n <> 5 AS booked FROM l),
+v AS (SELECT *, CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN ask - bid END AS spread FROM f),
+r AS (SELECT domain, spread, row_number() OVER (PARTITION BY domain ORDER BY spread) AS place, count(spread) OVER (PARTITION BY domain) AS known FROM v),
+p AS (SELECT domain, min(spread) FILTER (WHERE place >= ceil(0.5 * known)) AS p50, min(spread) FILTER (WHERE place >= ceil(0.9 * known)) AS p90, max(spread) AS worst FROM r WHERE spread IS NOT NULL GROUP BY 1)
+SELECT domain, count(*) AS markets, count(spread) AS two_sided, count(spread)::DOUBLE / count(*) AS two_sided_rate, CAST(count(*) FILTER (WHERE booked) AS BIGINT) AS booked, count(*) FILTER (WHERE booked)::DOUBLE / count(*) AS book_rate, CAST(any_value(p50) AS INTEGER) AS p50, CAST(any_value(p90) AS INTEGER) AS p90, CAST(any_value(worst) AS INTEGER) AS worst,
+CASE WHEN count(spread) < 12 THEN 'too_thin' WHEN count(spread)::DOUBLE / count(*) < 0.5 THEN 'one_sided' WHEN any_value(p50) <= 2 THEN 'tight' ELSE 'wide' END AS reading FROM v LEFT JOIN p USING (domain) GROUP BY 1""")
+def venue_census(spark: SparkSession, d: str) -> DataFrame:
+    """Per domain of a venue the markets, how many are quoted on both sides and have a book, and the spread's percentiles, from value counts."""
+    rows = _lines(spark, d).select(F.coalesce(F.expr(_DOMAIN), F.lit("unknown")).alias("domain"), F.expr(_BID).alias("bid"), F.expr(_ASK).alias("ask"), (F.col("n") != 5).alias("booked")).withColumn("spread", F.col("ask") - F.col("bid"))
+    n, two = F.count("*"), F.count("spread")
+    by = rows.groupBy("domain").agg(n.alias("markets"), two.alias("two_sided"), stats.rate(two, n).alias("two_sided_rate"), stats.count_where(F.col("booked")).alias("booked"), stats.rate(stats.count_where(F.col("booked")), n).alias("book_rate"), F.max("spread").alias("worst"))
+    counts = ranking.value_counts(rows.select("domain", "spread"), ["domain"], "spread", 1)
+    at = ranking.at_ranks(counts, ["domain"], "spread", {"p50": ranking.nearest_rank(F.col("known"), 0.5, 1), "p90": ranking.nearest_rank(F.col("known"), 0.9, 1)})
+    reading = L.first_reason([(F.col("two_sided") < 12, "too_thin"), (F.col("two_sided_rate") < 0.5, "one_sided"), (F.col("p50") <= 2, "tight")], "wide")
+    out = by.join(at.select("domain", "p50", "p90"), "domain")
+    return out.select("domain", "markets", "two_sided", "two_sided_rate", "booked", "book_rate", "p50", "p90", "worst", reading.alias("reading"))

@@ -135,6 +135,24 @@ def nearest_with_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return asof.nearest(t.where("type = 'purchase'"), t.where("type = 'view'"), "key", "t", "id", "cents", _H, _TOL).select("id", "near_value", "near_distance")
 
 
+@query(f"""WITH {TICKS}, a AS (SELECT * FROM ticks WHERE type = 'purchase'), b AS (SELECT DISTINCT key, t FROM ticks WHERE type = 'view'),
+m AS (SELECT a.id, a.t + {_H} AS target, max(b.t) FILTER (WHERE b.t <= a.t + {_H}) AS lo, min(b.t) FILTER (WHERE b.t > a.t + {_H}) AS hi FROM a LEFT JOIN b ON a.key = b.key GROUP BY 1, 2),
+c AS (SELECT CASE WHEN lo IS NULL AND hi IS NULL THEN 'never_observed' WHEN lo = target THEN 'exact' WHEN least(target - lo, hi - target) <= {_TOL} THEN CASE WHEN hi IS NULL OR target - lo <= hi - target THEN 'near_before' ELSE 'near_after' END WHEN lo IS NULL THEN 'starts_late' WHEN hi IS NULL THEN 'ends_early' ELSE 'gap' END AS cause, target - lo AS before, hi - target AS after FROM m)
+SELECT cause, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share, CAST(max(before) AS BIGINT) AS longest_before, CAST(max(after) AS BIGINT) AS longest_after FROM c GROUP BY 1""")
+def coverage_causes(spark: SparkSession, d: str) -> DataFrame:
+    """Why a target an hour after each purchase is or isn't covered by a view near it: the histogram of causes, from the nearest view on either side."""
+    t = ticks(spark, d)
+    found = asof.asof_bracket(t.where("type = 'purchase'"), t.where("type = 'view'"), "key", "t", "id", "cents", _H)
+    before, after = F.col("target") - F.col("before.t"), F.col("after.t") - F.col("target")
+    rows = found.select(before.alias("before"), after.alias("after"))
+    b, a = F.col("before"), F.col("after")
+    near = F.least(b, a) <= _TOL
+    cause = F.when(b.isNull() & a.isNull(), "never_observed").when(b == 0, "exact").when(near & (a.isNull() | (b <= a)), "near_before").when(near, "near_after").when(b.isNull(), "starts_late").when(a.isNull(), "ends_early").otherwise("gap")
+    by = rows.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"), F.max("before").alias("longest_before"), F.max("after").alias("longest_after"))
+    total = by.agg(F.sum("n").alias("total"))
+    return by.join(F.broadcast(total)).select("cause", "n", (F.col("n") / F.col("total")).alias("share"), "longest_before", "longest_after")
+
+
 @query(f"""WITH {TICKS}, a AS (SELECT * FROM ticks WHERE type = 'purchase'), b AS (SELECT key, t, arg_min(cents, id) AS cents FROM ticks WHERE type = 'view' GROUP BY 1, 2),
 l AS (SELECT a.id, a.t + {_H} AS target, max(CASE WHEN b.t <= a.t + {_H} THEN (b.t, b.cents) END) AS lo, min(CASE WHEN b.t > a.t + {_H} THEN (b.t, b.cents) END) AS hi FROM a LEFT JOIN b ON a.key = b.key GROUP BY 1, 2)
 SELECT id, CASE WHEN lo[1] = target THEN lo[2]::DOUBLE WHEN hi[1] - lo[1] <= {2880 * asof.MINUTE} THEN lo[2] + (hi[2] - lo[2]) * ((target - lo[1])::DOUBLE / (hi[1] - lo[1])) END AS line_value,
