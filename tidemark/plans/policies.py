@@ -135,8 +135,8 @@ FROM (SELECT *, coalesce(rate_30m, 0) >= 0.55 OR coalesce(rate_60m, 0) >= 0.55 O
 def shadow_policies(spark: SparkSession, d: str) -> DataFrame:
     """Eighteen filters on the same rows, with survival, follow-through, paths, concentration in one ticker or game, and a label.
 
-    Rows are grouped once, by policy, series, ticker and game, to counts and sums. All else comes from
-    that small table: the worst series is the one with the lowest toward rate of ten samples or more, the first by name
+    Rows are grouped once, by policy, series, ticker and game, to counts and sums, and that table is kept. All else comes from
+    it: the worst series is the one with the lowest toward rate of ten samples or more, the first by name
     among equals, and its policy is the baseline without its groups.
     """
     worst_left_out = "exclude_worst_series"
@@ -149,7 +149,7 @@ def shadow_policies(spark: SparkSession, d: str) -> DataFrame:
     sums |= {p: stats.count_where(F.col("path") == p) for p in ("continued_away", "reverted_toward", "flat")}
     for c in ("spread_change", "liquidity_change"):
         sums |= {f"n_{c}": F.count(c), c: F.sum(c)}
-    small = rows.groupBy("policy", "series", "ticker", "game").agg(*[c.alias(n) for n, c in sums.items()])
+    small = rows.groupBy("policy", "series", "ticker", "game").agg(*[c.alias(n) for n, c in sums.items()]).persist()  # read five times below; what is lost is made anew
     by_series = small.where("policy = 'baseline_all_watchlist'").groupBy("series").agg(F.sum("samples_60m").alias("n"), F.sum("toward_60m").alias("k")).where("n >= 10")
     worst = by_series.agg(F.min(F.struct(stats.rate(F.col("k"), F.col("n")).alias("rate"), "series")).alias("s")).select(F.col("s.series").alias("worst_series"))
     kept = small.join(F.broadcast(worst), how="left").where((F.col("policy") != worst_left_out) | F.expr(P.FILTERS[worst_left_out])).drop("worst_series")
