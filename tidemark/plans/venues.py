@@ -53,7 +53,7 @@ _MATCH = f"concat({_KINDS}, CASE WHEN p_partkey % 17 = 0 THEN '-26XXX14' WHEN p_
 
 @query(f"""WITH t AS (SELECT p_partkey, {_KINDS} AS series, {_TAIL} AS tail, {_SA} AS a, {_SB} AS b, p_partkey % 17 <> 0 AS dated FROM part),
 c AS (SELECT *, dated AND series NOT LIKE 'KXNBA%' AS known, length(a) = length(b) AS even, CASE WHEN series LIKE '%SPREAD' OR series LIKE '%HANDICAP' THEN regexp_extract(tail, '^([A-Z]{{2,4}})([0-9]+)$', 1) ELSE regexp_extract(tail, '^[A-Z]+$') END AS code FROM t),
-d AS (SELECT *, CASE WHEN even AND code = a THEN false WHEN even AND code = b THEN true END AS second, TRY_CAST(regexp_extract(tail, '^[TB]*([0-9]+(\.[0-9]+)?)$', 1) AS DOUBLE) AS line FROM c),
+d AS (SELECT *, CASE WHEN even AND code = a THEN false WHEN even AND code = b THEN true END AS second, TRY_CAST(regexp_extract(tail, '^[TB]*([0-9]+(\\.[0-9]+)?)$', 1) AS DOUBLE) AS line FROM c),
 k AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN series LIKE '%TOTAL' THEN CASE WHEN line IS NOT NULL THEN 'total' ELSE 'unknown' END WHEN series LIKE '%GOAL%' THEN 'player_goal' WHEN second IS NULL OR series LIKE '%FOO' THEN 'unknown' WHEN series LIKE '%ADVANCE' THEN 'advance' WHEN series LIKE '%GAME' THEN 'winner' ELSE 'spread' END AS kind FROM d)
 SELECT p_partkey, kind, CASE kind WHEN 'total' THEN CASE WHEN line = floor(line) THEN line - 0.5 ELSE line END WHEN 'spread' THEN CAST(regexp_extract(tail, '([0-9]+)$', 1) AS DOUBLE) - 0.5 END AS threshold, CASE WHEN kind IN ('spread', 'winner', 'advance') THEN code END AS team, CASE WHEN kind IN ('spread', 'winner', 'advance') THEN second END AS second_listed FROM k""")
 def soccer_specs(spark: SparkSession, d: str) -> DataFrame:
