@@ -51,3 +51,32 @@ def test_columns_with_names_used_inside(spark, data):
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.secrets, corpus_pipeline.toxicity):
         docs = stage(spark, docs, data)
     assert sorted(tuple(r) for r in docs.collect()) == [(1, "a b", "X", "Y", 5), (3, "c", "Z", None, 6)]
+
+
+def test_a_worker_keeps_the_memos_of_one_stage(spark):
+    """Workers go from stage to stage; memos of packing and near dedup that stay behind took an executor beyond its memory in exact dedup."""
+    from tidemark.llm.exact_dedup import exact_dedup
+    from tidemark.llm.near_dedup import near_dedup
+    from tidemark.llm.packing import pack
+
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 40), x -> concat('w', x * id))) AS text").repartition(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tidemark.llm import near_dedup, tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens._ids_memo.cache_info().currsize]), pa.array([len(near_dedup._words)])], ["memos", "words"])
+
+    # More tasks than cores, so that each worker of the pool tells.
+    def peek():
+        return [tuple(r) for r in spark.range(8).repartition(8).mapInArrow(held, "memos long, words long").collect()]
+
+    written = [f(docs) for f in (pack, near_dedup, exact_dedup)]
+    written[0].collect()
+    assert max(m for m, _ in peek()) == 1
+    for _ in range(4):  # till all workers of the pool had a task
+        exact_dedup(docs.repartition(8)).collect()
+    assert set(peek()) == {(0, 0)}
+    assert {r["doc_id"] for r in written[1].collect()} == {r["doc_id"] for r in written[2].collect()} == set(range(200))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkMemo, Encoded, Numbered
-from .common import put_on_path, text_blocks
+from .common import kept_for, put_on_path, text_blocks
 
 #: Pre-tokens whose ids a worker keeps, about, and the longest of them.
 MEMO_PRETOKENS, MEMO_CHARS = 600_000, 64
@@ -281,6 +281,9 @@ def encoder(ranks_path: str, pattern: str) -> BytePairEncoder:
         return BytePairEncoder({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}, pattern)
 
 
+kept_for("bpe", encoder.cache_clear)
+
+
 def _paths(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -297,7 +300,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     path, pattern = _paths(ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, 1, BLOCK):
+        for rows, texts in text_blocks(batches, 1, BLOCK, "bpe"):
             ids = encoder(path, pattern).encode(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -330,7 +333,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for rows, texts in text_blocks(batches, 1, BLOCK):
+        for rows, texts in text_blocks(batches, 1, BLOCK, "bpe"):
             n, of_ids, of_bytes = [], [], []
             for ids in coder.encode(texts):
                 n.append(len(ids))

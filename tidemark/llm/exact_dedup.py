@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_on_path, text_blocks
+from .common import put_on_path, text_blocks, turn_to
 
 #: Bytes of distinct text that a trie holds before its largest subtree is given off.
 TRIE_BYTES = 48 << 20
@@ -187,6 +187,7 @@ def exact_owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
         yield from _batches(given_off())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("texts")
         rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         part: list = []
         for text, keep, count in owners(rows, trie_bytes):

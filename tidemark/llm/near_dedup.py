@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_on_path, text_blocks, written
+from .common import kept_for, put_on_path, text_blocks, turn_to, written
 from .components import connected_components
 
 #: A pair at 0.8 shares one of 40 bands of 7 samples with a chance of 0.9999, at 0.85 of 0.9999998.
@@ -53,6 +53,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+kept_for("shingles", _words.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,7 +132,7 @@ def estimated_similarity(distance: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, 1):
+        for rows, texts in text_blocks(batches, 1, work="shingles"):
             n, keys, bands, sketches = [], [], [], []
             for text in texts:
                 values = shingles(text)
@@ -169,7 +170,7 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(ids, "cid", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in text_blocks(batches, 1):
+        for rows, block in text_blocks(batches, 1, work="shingles"):
             found = {}
             for cid, text in zip(rows.column(0).to_pylist(), block, strict=True):
                 values = shingles(text).tobytes()
@@ -251,6 +252,7 @@ def _linked(dealt: DataFrame, limit: int, percent: int, exact: bool, across: boo
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("links")
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import put_on_path, text_blocks
-from .tokens import default_tokenizer, ended_ids
+from .tokens import WORK, default_tokenizer, ended_ids
 
 SEQUENCE_TOKENS = 1024
 #: Documents of a group, on average; a group is what one call packs, whatever the corpus holds.
@@ -57,7 +57,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool) ->
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, 1):
+        for rows, texts in text_blocks(batches, 1, work=WORK):
             ids, groups = rows.column(0).to_pylist(), rows.column(2).to_pylist()
             out: list[tuple] = []
             for doc_id, group, data in zip(ids, groups, ended_ids(tokenizer_path, texts), strict=True):

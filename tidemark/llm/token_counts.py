@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import put_on_path, text_blocks
-from .tokens import default_tokenizer, encode_spans
+from .tokens import WORK, default_tokenizer, encode_spans
 
 RULES = ("first", "last", "largest")
 _COLUMNS = ["doc_id", "section", "section_start", "section_end", "n_tokens", "n_crossing"]
@@ -58,7 +58,7 @@ def attribute_tokens(docs: DataFrame, rule: str = "largest", sections: Callable[
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_blocks(batches, 1):
+        for rows, texts in text_blocks(batches, 1, work=WORK):
             ids, numbers, starts_all, ends_all, tokens, crossings = [], [], [], [], [], []
             for doc_id, text, spans in zip(rows.column(0).to_pylist(), texts, encode_spans(path, texts), strict=True):
                 starts = sections(text)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import put_on_path, shared_dir, text_blocks, written
-from .tokens import default_tokenizer, ended_ids
+from .tokens import WORK, default_tokenizer, ended_ids
 
 FRAME_IDS = 1 << 18
 # Fixed values of the zstd seekable format.
@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         store, base = pafs.FileSystem.from_uri(folder)
         mine, name = f"{base}/.{uuid.uuid4().hex}", f"{base}/part-{part:08d}.ids.zst"
         n, out, sink = 0, None, None
-        for rows, texts in text_blocks(batches, 1):
+        for rows, texts in text_blocks(batches, 1, work=WORK):
             if sink is None:
                 store.create_dir(base, recursive=True)
                 sink = store.open_output_stream(mine, compression=None)

@@ -9,7 +9,10 @@ from itertools import chain, pairwise
 import numpy as np
 
 from .chunks import ChunkMemo, Encoded
+from .common import kept_for
 
+#: The work whose tasks find the memos again.
+WORK = "tokens"
 #: The id that ends each document in packed and written form.
 END_ID = 0
 
@@ -73,6 +76,10 @@ def _spans_memo(path: str) -> ChunkMemo:
     return ChunkMemo(partial(_spans_each, path), kind=np.int32, width=2)
 
 
+kept_for(WORK, _ids_memo.cache_clear)
+kept_for(WORK, _spans_memo.cache_clear)
+
+
 def encode_ids(path: str, texts: list[str]) -> list[np.ndarray]:
     """Each text's ids as unsigned 32-bit integers, without special tokens added."""
     ids, counts = _ids_memo(path).encode(texts)
