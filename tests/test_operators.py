@@ -562,3 +562,14 @@ def test_absent_parts_stay_absent(spark):
     assert both(absence.reconciled(part(5), part(7))) == (None, "conflicting_sources")
     assert both(absence.reconciled(part(None), part(7))) == (7, None)
     assert both(absence.reconciled(part(None, "x"), part(None, "y"))) == (None, "x")
+
+
+def test_partitions_of_deadlines_grow_with_rows(spark, monkeypatch):
+    """A task's sort doesn't grow with the input: with ten rows a task the stream of deadlines spreads further than the session's partitions."""
+    from tidemark import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    rows = ticks(spark, [(k, i, i * asof.MINUTE, i) for k in range(40) for i in range(5)])
+    found = asof.last_within(rows, ["cents"], {"x": asof.MINUTE})
+    assert found.rdd.getNumPartitions() == 200 * 2 // 10
+    assert {(r["key"], r["id"]): r["x"] and r["x"]["cents"] for r in found.collect()} == {(k, i): i + 1 if i < 4 else None for k in range(40) for i in range(5)}

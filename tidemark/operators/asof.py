@@ -13,24 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import partitions
+
 MINUTE = 60_000_000
 
 
-def last_within(rows: DataFrame, values: list[str], widths: dict[str, int], key: str = "key", t: str = "t", tie: str = "id") -> DataFrame:
+def last_within(rows: DataFrame, values: list[str], widths: dict[str, int], key: str = "key", t: str = "t", tie: str = "id", size: int | None = None) -> DataFrame:
     """``rows`` with a struct of ``values`` per name of ``widths``: of the last row in (t, t + width], null if there is none.
 
     Each row's deadlines are laid in the key's stream behind the rows of their time, and the last row is
     carried over: one shuffle by key and one sort, whatever the number of rows within a width. Its deadlines
-    find back to a row by a number of its own, so rows that are alike stay apart.
+    find back to a row by a number of its own, so rows that are alike stay apart. Partitions follow
+    ``size``, the number of rows (counted if not given), so a task's sort stays as large as it is.
     """
     first = next(iter(widths))
+    parts = partitions(rows.sparkSession, (rows.count() if size is None else size) * (1 + len(widths)))
     rows = rows.select("*", F.monotonically_increasing_id().alias("_n"))
     columns = rows.columns[:-1]
     ticks = rows.select(key, F.col(t).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("t"), F.struct(*values).alias("v")).alias("_tick"))
     ends = rows.select(key, F.col(t).alias("_t"), "_n", F.struct(*columns).alias("_row"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("width")) for n, w in widths.items()])).alias("_w"))
     ends = ends.select(key, (F.col("_t") + F.col("_w.width")).alias("_at"), F.lit(1).alias("_side"), "_n", "_t", F.col("_w.name").alias("_name"), F.when(F.col("_w.name") == first, F.col("_row")).alias("_row"))
     order = Window.partitionBy(key).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = ticks.unionByName(ends, allowMissingColumns=True).withColumn("_last", F.last("_tick", ignorenulls=True).over(order)).where("_side = 1")
+    stream = ticks.unionByName(ends, allowMissingColumns=True).repartition(parts, key)
+    found = stream.withColumn("_last", F.last("_tick", ignorenulls=True).over(order)).where("_side = 1")
     last = F.when(F.col("_last.t") > F.col("_t"), F.col("_last.v"))
     out = found.groupBy(key, "_n").agg(F.any_value("_row", True).alias("_row"), *[F.any_value(F.when(F.col("_name") == n, last), True).alias(n) for n in widths])
     return out.select("_row.*", *widths)

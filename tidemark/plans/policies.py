@@ -39,9 +39,10 @@ def _closure(after: Column) -> Column:
 
 def watchlist(spark: SparkSession, d: str) -> DataFrame:
     """Ticks as watchlist rows: facts, buckets, the pre-move and its relation to the gap, and the closure of the gap at each horizon."""
-    rows = ticks(spark, d).select("*", *[F.expr(e).alias(n) for n, e in _FACTS.items()])
+    t = ticks(spark, d)
+    rows = t.select("*", *[F.expr(e).alias(n) for n, e in _FACTS.items()])
     rows = asof.first_in_lookback(rows, "price", "first", LOOKBACK * _HOUR)
-    rows = asof.last_within(rows.withColumn("move", F.col("price") - F.col("first")).drop("first"), ["price", "spread_cents", "liquidity_cents"], {f"after_{h}": n * _HOUR for h, n in HORIZONS.items()})
+    rows = asof.last_within(rows.withColumn("move", F.col("price") - F.col("first")).drop("first"), ["price", "spread_cents", "liquidity_cents"], {f"after_{h}": n * _HOUR for h, n in HORIZONS.items()}, size=t.count())
     closures = [_closure(F.col(f"after_{h}.price")).alias(f"closure_{h}") for h in HORIZONS]
     return rows.select(
         "key", "id", "t", *[n for n in _FACTS if n not in ("game", "phase_tag")], F.expr(_TICKER).alias("ticker"), P.game_of(F.expr(_TICKER)).alias("game"), *closures,
