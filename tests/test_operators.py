@@ -573,3 +573,14 @@ def test_partitions_of_deadlines_grow_with_rows(spark, monkeypatch):
     found = asof.last_within(rows, ["cents"], {"x": asof.MINUTE})
     assert found.rdd.getNumPartitions() == 200 * 2 // 10
     assert {(r["key"], r["id"]): r["x"] and r["x"]["cents"] for r in found.collect()} == {(k, i): i + 1 if i < 4 else None for k in range(40) for i in range(5)}
+
+
+def test_partitions_of_lines_grow_with_rows(spark, monkeypatch, data):
+    """With few rows a task an order's lines spread further than the session's partitions."""
+    from tidemark import catalog, session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    n = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    deltas = catalog.queries()["balance_deltas"](spark, data)
+    assert deltas.rdd.getNumPartitions() == -(-n // 500) > 4
+    assert session.partitions(spark, 1) == 4
